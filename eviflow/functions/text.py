@@ -187,11 +187,12 @@ def matches(
     ``core`` must begin at the match start; look-ahead on it first keeps the context capture off other positions.
     """
     n = _group_count(core)
+    subject = padded(text, before) if before else _c(text)
     pattern, fields, at = f"(?={core})", dict(groups), n
     if before:
         at += 1
         fields["before"] = at
-        pattern += f"(?<=((?s:^.{{0,{before - 1}}}|.{{{before}}})))"
+        pattern += f"(?<=((?s:.{{{before}}})))"
     if ahead:
         at += 1
         fields["ahead"] = at
@@ -203,8 +204,37 @@ def matches(
         at += 1
         fields["after"] = at
         pattern += f"(?=((?s:.{{0,{after}}})))"
-    cols = [F.regexp_extract_all(_c(text), F.lit(pattern), F.lit(g)).alias(name) for name, g in fields.items()]
-    return F.arrays_zip(*cols)
+    # One pass marks every match with the wanted groups, literal splits then take them apart.
+    for mark in (RECORD, FIELD):
+        subject = F.replace(subject, F.lit(mark), F.lit(""))
+    record = RECORD + FIELD.join(f"${g}" for g in fields.values()) + RECORD
+    pieces = F.split(F.regexp_replace(subject, pattern, record), RECORD)
+    rows = F.transform(F.filter(pieces, lambda p, i: i % 2 == 1), lambda p: F.split(p, FIELD))
+    return F.transform(
+        rows,
+        lambda r: F.struct(
+            *[
+                (unpadded(r[i]) if name == "before" else r[i]).alias(name)
+                for i, name in enumerate(fields)
+            ]
+        ),
+    )
+
+
+# Code points that Unicode keeps out of text.
+RECORD = "\ufdd0"
+FIELD = "\ufdd1"
+PAD = "\u0000"
+
+
+def padded(text: Column | str, width: int) -> Column:
+    """Text with filler in front, so that a fixed-length look-behind finds its characters everywhere (a
+    variable-length one tries every length)."""
+    return F.concat(F.lit(PAD * width), _c(text))
+
+
+def unpadded(col: Column) -> Column:
+    return F.ltrim(col, F.lit(PAD))
 
 
 def _group_count(pattern: str) -> int:

@@ -11,6 +11,15 @@ BROADCAST_ROWS = 20_000
 SALTS = 32
 
 
+def computed(df: DataFrame, *columns: Column) -> DataFrame:
+    """Add named columns that are worked out exactly once per row.
+
+    A filter on a plain derived column is pushed below its projection and works the expression out again, for every
+    time it is mentioned. A one-row generator keeps the filter above it.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def within_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Has the frame at most ``limit`` rows? Reads no further than that."""
     return df.limit(limit + 1).count() <= limit

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from eviflow import fixed_values as fv
 from eviflow.functions import text as tx
-from eviflow.operators.segment import split_documents
+from eviflow.operators import segment as sg
+from eviflow.operators.common import computed
 
 HIGH_CATEGORIES = ["budget_total", "revenue"]
 
@@ -94,17 +95,20 @@ def number_array(body: Column, doc: Column, category: str, pattern: str) -> Colu
     )
 
 
-def extract_values(documents: DataFrame) -> DataFrame:
-    """Every comparable figure of every document."""
-    doc, body = F.col("doc"), F.col("body")
-    figures = F.concat(
+def figure_array(doc: Column, body: Column) -> Column:
+    """Every comparable figure of one document."""
+    return F.concat(
         money_array(prose(body), doc),
         table_total_array(body, doc),
         number_array(body, doc, "phd_year", fv.PHD_YEAR),
         number_array(body, doc, "pd_pages", fv.PROJECT_PAGES),
         number_array(body, doc, "letter_pages", fv.LETTER_PAGES),
     )
-    return documents.select("case_id", "doc_ord", "doc", F.inline(figures))
+
+
+def extract_values(documents: DataFrame) -> DataFrame:
+    """Figures of document rows."""
+    return documents.select("case_id", "doc_ord", "doc", F.inline(figure_array(F.col("doc"), F.col("body"))))
 
 
 def budget_values(text: Column | str) -> Column:
@@ -114,52 +118,47 @@ def budget_values(text: Column | str) -> Column:
     return F.transform(F.concat(budget, table_total_array(tx._c(text), doc)), lambda f: f["value"])
 
 
-def future_dates(documents: DataFrame, as_of: str) -> DataFrame:
+def _date_finding(category: str, label: str, severity: str, value: Column, doc: Column, m: Column) -> Column:
+    return F.struct(
+        F.lit(category).alias("category"),
+        F.lit(label).alias("label"),
+        F.lit(severity).alias("severity"),
+        value.alias("value"),
+        doc.alias("source"),
+        tx.collapse_space(F.concat(m["before"], m["whole"], m["after"])).alias("context"),
+    )
+
+
+def future_date_array(doc: Column, body: Column, as_of: str) -> Column:
     """Dates more than one year past ``as_of``."""
     found = tx.matches(
-        "body", fv.DMY_DATE, {"whole": 0, "year": 3}, before=fv.CONTEXT_WIDTH, after=fv.CONTEXT_WIDTH
+        body, fv.DMY_DATE, {"whole": 0, "year": 3}, before=fv.CONTEXT_WIDTH, after=fv.CONTEXT_WIDTH
     )
-    return (
-        documents.select("case_id", "doc", F.inline(found))
-        .filter(F.col("year").cast("int") > F.year(F.to_date(F.lit(as_of))) + 1)
-        .select(
-            "case_id",
-            F.lit("date_future").alias("category"),
-            F.lit("Date in the future").alias("label"),
-            F.lit("medium").alias("severity"),
-            F.col("whole").alias("value"),
-            F.col("doc").alias("source"),
-            tx.collapse_space(F.concat("before", "whole", "after")).alias("context"),
-        )
+    late = F.filter(found, lambda m: m["year"].cast("int") > F.year(F.to_date(F.lit(as_of))) + 1)
+    return F.transform(
+        late, lambda m: _date_finding("date_future", "Date in the future", "medium", m["whole"], doc, m)
     )
 
 
-def date_order(documents: DataFrame) -> DataFrame:
+def date_order_array(doc: Column, body: Column) -> Column:
     """First start/end year pair of a document whose end lies before its start."""
     found = tx.matches(
-        "body",
-        fv.START_END,
-        {"whole": 0, "first": 1, "second": 2},
-        before=fv.CONTEXT_WIDTH,
-        after=fv.CONTEXT_WIDTH,
+        body, fv.START_END, {"whole": 0, "first": 1, "second": 2}, before=fv.CONTEXT_WIDTH, after=fv.CONTEXT_WIDTH
     )
-    return (
-        documents.select("case_id", "doc", F.get(found, F.lit(0)).alias("m"))
-        .filter(F.col("m.second").cast("int") < F.col("m.first").cast("int"))
-        .select(
-            "case_id",
-            F.lit("date_order").alias("category"),
-            F.lit("End date before start date").alias("label"),
-            F.lit("high").alias("severity"),
-            F.concat("m.first", F.lit(" → "), "m.second").alias("value"),
-            F.col("doc").alias("source"),
-            tx.collapse_space(F.concat("m.before", "m.whole", "m.after")).alias("context"),
-        )
+    wrong = F.filter(F.slice(found, 1, 1), lambda m: m["second"].cast("int") < m["first"].cast("int"))
+    return F.transform(
+        wrong,
+        lambda m: _date_finding(
+            "date_order", "End date before start date", "high", F.concat(m["first"], F.lit(" → "), m["second"]), doc, m
+        ),
     )
 
 
 def date_findings(documents: DataFrame, as_of: str) -> DataFrame:
-    return future_dates(documents, as_of).unionByName(date_order(documents))
+    doc, body = F.col("doc"), F.col("body")
+    return documents.select(
+        "case_id", F.inline(F.concat(future_date_array(doc, body, as_of), date_order_array(doc, body)))
+    )
 
 
 def discrepancies(values: DataFrame) -> DataFrame:
@@ -215,11 +214,82 @@ def case_risk(cases: DataFrame, documents: DataFrame, values: DataFrame, finding
     )
 
 
+def dossier_report(cases: DataFrame, as_of: str) -> DataFrame:
+    """One row per dossier ``(case_id, text)``: documents, figures, findings and risk.
+
+    A dossier is one row, so all of it is computed in place without a shuffle.
+    """
+    finding = (
+        "struct<category:string,label:string,severity:string,n_values:bigint,n_distinct:bigint,low_value:bigint,"
+        "high_value:bigint,value:string,source:string,context:string>"
+    )
+    docs = cases.select("case_id", sg.document_array("text").alias("docs"))
+    read = computed(
+        docs,
+        F.size("docs").cast("bigint").alias("n_docs"),
+        F.flatten(F.transform("docs", lambda d: figure_array(d["doc"], d["body"]))).alias("figures"),
+        F.flatten(
+            F.transform(
+                "docs",
+                lambda d: F.concat(future_date_array(d["doc"], d["body"], as_of), date_order_array(d["doc"], d["body"])),
+            )
+        ).alias("dates"),
+    )
+
+    def of_category(name: str) -> Column:
+        return F.transform(F.filter("figures", lambda f: f["category"] == name), lambda f: f["value"])
+
+    listed = computed(read, *[of_category(name).alias(f"_{name}") for name in fv.CATEGORY_LABELS])
+
+    def gap(name: str) -> Column:
+        values = F.col(f"_{name}")
+        low, high = F.array_min(values), F.array_max(values)
+        wide = (high - low) / high > fv.SPREAD_HIGH
+        severity = F.lit("high") if name in HIGH_CATEGORIES else F.when(wide, "high").otherwise("medium")
+        made = F.struct(
+            F.lit(name).alias("category"),
+            F.lit(fv.CATEGORY_LABELS[name]).alias("label"),
+            severity.alias("severity"),
+            F.size(values).cast("bigint").alias("n_values"),
+            F.size(F.array_distinct(values)).cast("bigint").alias("n_distinct"),
+            low.alias("low_value"),
+            high.alias("high_value"),
+            F.lit(None).cast("string").alias("value"),
+            F.lit(None).cast("string").alias("source"),
+            F.lit(None).cast("string").alias("context"),
+        )
+        return F.when(low != high, made)
+
+    def dated(d: Column) -> Column:
+        none = [F.lit(None).cast("bigint").alias(n) for n in ("n_values", "n_distinct", "low_value", "high_value")]
+        return F.struct(
+            *[d[n].alias(n) for n in ("category", "label", "severity")],
+            *none,
+            *[d[n].alias(n) for n in ("value", "source", "context")],
+        )
+
+    findings = F.concat(
+        F.transform("dates", dated).cast(f"array<{finding}>"),
+        F.array_compact(F.array(*[gap(name) for name in fv.CATEGORY_LABELS])).cast(f"array<{finding}>"),
+    )
+    full = computed(listed, findings.alias("findings"))
+    return full.select(
+        "case_id",
+        "n_docs",
+        F.size("figures").cast("bigint").alias("n_checked"),
+        *[F.size(f"_{name}").cast("bigint").alias(f"checked_{name}") for name in fv.CATEGORY_LABELS],
+        F.size("findings").cast("bigint").alias("n_findings"),
+        F.when(F.exists("findings", lambda f: f["severity"] == "high"), "mismatch_high")
+        .when(F.size("findings") > 0, "mismatch")
+        .otherwise("consistent")
+        .alias("risk"),
+        "figures",
+        "findings",
+    )
+
+
 def crosscheck(cases: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
-    """(findings, case risk) of whole dossiers ``(case_id, text)``."""
-    documents = split_documents(cases)
-    values = extract_values(documents)
-    gaps = discrepancies(values)
-    dates = date_findings(documents, as_of)
-    findings = gaps.unionByName(dates, allowMissingColumns=True)
-    return findings, case_risk(cases, documents, values, findings)
+    """(findings, case risk) of whole dossiers ``(case_id, text)``; for dossiers kept as document rows use
+    :func:`extract_values`, :func:`discrepancies`, :func:`date_findings` and :func:`case_risk`."""
+    report = dossier_report(cases, as_of)
+    return report.select("case_id", F.inline("findings")), report.drop("figures", "findings")

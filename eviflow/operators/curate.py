@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from eviflow import fixed_values as fv
 from eviflow.functions import text as tx
-from eviflow.operators.common import count_where, join_small, top_k
+from eviflow.operators.common import computed, count_where, join_small, top_k
 
 LABEL = ["ruleset_id", "case_id", "rule_id"]
 CASE = ["ruleset_id", "case_id"]
@@ -128,8 +128,11 @@ def doc_problems(texts: DataFrame) -> DataFrame:
         )
     )
     return (
-        texts.withColumn("phrases", F.array_join(F.slice(said, 1, 4), ", "))
-        .withColumn("n_words", tx.word_count("text").cast("bigint"))
+        computed(
+            texts,
+            F.array_join(F.slice(said, 1, 4), ", ").alias("phrases"),
+            tx.word_count("text").cast("bigint").alias("n_words"),
+        )
         .withColumn("abnormal_length", ~F.col("n_words").between(fv.DOC_MIN_WORDS, fv.DOC_MAX_WORDS))
         .filter((F.col("phrases") != "") | F.col("abnormal_length"))
         .drop("text")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from eviflow import fixed_values as fv
 from eviflow.functions import text as tx
-from eviflow.operators.common import count_where, join_small, ratio
+from eviflow.operators.common import computed, count_where, join_small, ratio
 from eviflow.operators.crosscheck import budget_values
 from eviflow.operators.fund_guards import fund_hits
 
@@ -270,7 +270,7 @@ def eval_numeric(constraints: DataFrame, cases: DataFrame, whole_percent: bool =
         fits = F.when(F.col("op") == "min", near >= 1).otherwise((near >= 2) & (right_before >= 2))
         return (f["kind"] == F.col("kind")) & fits
 
-    pairs = pairs.withColumn("found", F.transform(F.filter("figures", relevant), lambda f: f["value"]))
+    pairs = computed(pairs, F.transform(F.filter("figures", relevant), lambda f: f["value"]).alias("found"))
     below = (F.col("op") == "min") & (F.array_max("found") < F.col("value"))
     above = (F.col("op") == "max") & (F.array_max("found") > F.col("value"))
     return pairs.filter((F.size("found") > 0) & (below | above)).select(
@@ -290,7 +290,7 @@ def eval_numeric(constraints: DataFrame, cases: DataFrame, whole_percent: bool =
 def _asserted(sentence: Column, kind: Column, term: Column) -> Column:
     """Is the term stated in the sentence and not negated right before or after it?"""
     quoted = F.concat(F.lit("\\Q"), term, F.lit("\\E"))
-    left = f"(?<=((?s:^.{{0,{fv.NEGATION_WIDTH - 1}}}|.{{{fv.NEGATION_WIDTH}}})))"
+    left = f"(?<=((?s:.{{{fv.NEGATION_WIDTH}}})))"
     right = f"(?=((?s:.{{0,{fv.NEGATION_WIDTH}}})))"
     status = (kind == "excluded") & ~F.contains(term, F.lit(" "))
     pattern = F.concat(
@@ -301,12 +301,14 @@ def _asserted(sentence: Column, kind: Column, term: Column) -> Column:
         F.when(status, F.lit(fv.STATUS_TAIL)).otherwise(F.lit("")),
         F.lit(right),
     )
+    subject = tx.padded(sentence, fv.NEGATION_WIDTH)
     around = F.arrays_zip(
-        F.regexp_extract_all(sentence, pattern, F.lit(1)).alias("before"),
-        F.regexp_extract_all(sentence, pattern, F.lit(2)).alias("after"),
+        F.regexp_extract_all(subject, pattern, F.lit(1)).alias("before"),
+        F.regexp_extract_all(subject, pattern, F.lit(2)).alias("after"),
     )
     return F.exists(
-        around, lambda m: ~m["before"].rlike(fv.NEGATED_BEFORE) & ~m["after"].rlike(fv.NEGATED_AFTER)
+        around,
+        lambda m: ~tx.unpadded(m["before"]).rlike(fv.NEGATED_BEFORE) & ~m["after"].rlike(fv.NEGATED_AFTER),
     )
 
 
@@ -349,13 +351,16 @@ def generic_hits(rules: DataFrame, cases: DataFrame) -> DataFrame:
         tx.parse_digits(tx.first_group(quote, fv.GENERIC_MINIMUM)).alias("minimum"),
         tx.first_group(quote, fv.GENERIC_PAGES).cast("bigint").alias("limit"),
     ).filter(F.col("minimum").isNotNull() | F.col("limit").isNotNull())
-    norm = tx.guard_norm("text")
-    stated = cases.select(
-        "case_id",
-        "ruleset_id",
-        F.array_max(budget_values(norm)).alias("budget"),
-        tx.first_group(norm, fv.GENERIC_PAGES_FOUND).cast("bigint").alias("pages"),
-    ).filter(F.col("budget").isNotNull() | F.col("pages").isNotNull())
+    ready = computed(cases.select("case_id", "ruleset_id", "text"), tx.guard_norm("text").alias("norm"))
+    stated = (
+        computed(
+            ready,
+            F.array_max(budget_values("norm")).alias("budget"),
+            tx.first_group("norm", fv.GENERIC_PAGES_FOUND).cast("bigint").alias("pages"),
+        )
+        .filter(F.col("budget").isNotNull() | F.col("pages").isNotNull())
+        .select("case_id", "ruleset_id", "budget", "pages")
+    )
     low = F.col("budget") < F.col("minimum")
     long = F.col("pages") > F.col("limit")
     return join_small(stated, limits, ["ruleset_id"]).filter(low | long).select(

@@ -47,16 +47,20 @@ def chunks(df: DataFrame, key: str = "case_id", text: str = "text") -> DataFrame
     )
 
 
-def split_documents(df: DataFrame, key: str = "case_id", text: str = "text") -> DataFrame:
-    """(key, doc_ord, doc, body): the documents of a dossier; non-blank text before the first marker comes first."""
-    bodies = F.split(F.col(text), fv.DOC_MARKER)
+def document_array(text: Column | str) -> Column:
+    """Documents of a dossier as an array of (doc, body); non-blank text before the first marker comes first."""
+    text = tx._c(text)
     names = F.concat(
         F.array(F.lit(fv.MAIN_DOC)),
-        F.transform(F.regexp_extract_all(F.col(text), F.lit(fv.DOC_MARKER), F.lit(1)), tx.trim_space),
+        F.transform(F.regexp_extract_all(text, F.lit(fv.DOC_MARKER), F.lit(1)), tx.trim_space),
     )
-    docs = F.arrays_zip(names.alias("doc"), bodies.alias("body"))
-    kept = F.filter(docs, lambda d, i: (i > 0) | (tx.trim_space(d["body"]) != ""))
-    return df.select(key, F.posexplode(kept).alias("doc_ord", "d")).select(
+    docs = F.arrays_zip(names.alias("doc"), F.split(text, fv.DOC_MARKER).alias("body"))
+    return F.filter(docs, lambda d, i: (i > 0) | (tx.trim_space(d["body"]) != ""))
+
+
+def split_documents(df: DataFrame, key: str = "case_id", text: str = "text") -> DataFrame:
+    """(key, doc_ord, doc, body): one row per document of a dossier."""
+    return df.select(key, F.posexplode(document_array(text)).alias("doc_ord", "d")).select(
         key, "doc_ord", F.col("d.doc").alias("doc"), F.col("d.body").alias("body")
     )
 

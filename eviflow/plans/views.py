@@ -166,6 +166,10 @@ def money_figures(t: Tables) -> DataFrame:
         F.when(F.col("lines") < 100000, declared).otherwise(F.col("lines")).alias("attached"),
         F.when(F.col("o_orderpriority") == "1-URGENT", F.floor(F.col("o_totalprice") * 3)).alias("revenue"),
         F.year("o_orderdate").alias("year"),
+        (F.year("o_orderdate") + F.when(F.col("o_orderstatus") == "O", -1).otherwise(1)).alias("end_year"),
+        (F.year("o_orderdate") - F.when(F.col("o_orderpriority") == "2-HIGH", 9).otherwise(10)).alias("phd_year"),
+        (F.col("o_custkey") % 20 + 1).alias("pages"),
+        F.when(F.col("o_orderpriority") == "3-MEDIUM", "BIO").otherwise("CISE").alias("directorate"),
     )
 
 
@@ -174,7 +178,11 @@ v_money AS (
   SELECT o_orderkey AS case_id, o_custkey AS custkey, CAST(floor(o_totalprice) AS BIGINT) AS declared,
     CASE WHEN lines < 100000 THEN CAST(floor(o_totalprice) AS BIGINT) ELSE lines END AS attached,
     CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(floor(o_totalprice * 3) AS BIGINT) END AS revenue,
-    year(o_orderdate) AS year
+    year(o_orderdate) AS year,
+    year(o_orderdate) + CASE WHEN o_orderstatus = 'O' THEN -1 ELSE 1 END AS end_year,
+    year(o_orderdate) - CASE WHEN o_orderpriority = '2-HIGH' THEN 9 ELSE 10 END AS phd_year,
+    o_custkey % 20 + 1 AS pages,
+    CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'BIO' ELSE 'CISE' END AS directorate
   FROM orders LEFT JOIN (SELECT l_orderkey, CAST(sum(floor(l_extendedprice)) AS BIGINT) AS lines
     FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey)
 """
@@ -183,21 +191,47 @@ v_money AS (
 def money_dossiers(t: Tables) -> DataFrame:
     """Dossier texts that state the figures of :func:`money_figures`."""
     main = F.concat(
-        F.lit("APPLICATION "), "case_id", F.lit("\n\nThe applicant asks for support. The total requested budget is "),
-        _money(F.col("declared")),
+        F.lit("APPLICATION "), "case_id", F.lit("\n\nThe lead earned a Ph.D. in "), F.col("year") - 10,
+        F.lit(". The Project Description has "), "pages",
+        F.lit(" pages.\n\nThe applicant asks for support. The total requested budget is "), _money(F.col("declared")),
         F.lit(" over two years."),
-        F.coalesce(F.concat(F.lit(" The work is planned with two partners and will be reported to the office every quarter. Annual turnover was "), _money(F.col("revenue")), F.lit(".")), F.lit("")),
+        F.coalesce(
+            F.concat(
+                F.lit(" The work is planned with two partners and will be reported to the office every quarter. "
+                      "Annual turnover was "),
+                _money(F.col("revenue")), F.lit("."),
+            ),
+            F.lit(""),
+        ),
     )
-    table = F.concat(
+    plan = F.concat(
         F.lit("\n\n=== DOCUMENT: Cost plan ===\n\nItems are listed below.\n[TABLE 1]\n| Item | Cost |\n| Grand total | "),
         _money(F.col("attached")),
-        F.lit(" |\n[/TABLE 1]\nWork started in "), "year", F.lit(" and ended in "), F.col("year") + 1, F.lit("."),
+        F.lit(" |\n[/TABLE 1]\nWork started in "), "year", F.lit(" and ended in "), "end_year",
+        F.lit(". The letter has "), "pages", F.lit(" pages. A report is due on 15/03/"), F.col("year") + 2,
+        F.lit(". The lead holds a PhD since "), "phd_year", F.lit("."),
     )
     return money_figures(t).select(
-        "case_id", "custkey", F.concat(main, F.coalesce(table, F.lit(""))).alias("text")
+        "case_id", "custkey", "directorate", F.concat(main, F.coalesce(plan, F.lit(""))).alias("text")
     )
 
 
+V_MONEY_TEXT = """
+v_money_text AS (
+  SELECT *, 'APPLICATION ' || case_id || chr(10) || chr(10) || 'The lead earned a Ph.D. in ' || (year - 10)
+    || '. The Project Description has ' || pages || ' pages.' || chr(10) || chr(10)
+    || 'The applicant asks for support. The total requested budget is $' || format('{:,}', declared)
+    || ' over two years.'
+    || coalesce(' The work is planned with two partners and will be reported to the office every quarter. Annual turnover was $'
+      || format('{:,}', revenue) || '.', '') AS main,
+  'Items are listed below.' || chr(10) || '[TABLE 1]' || chr(10) || '| Item | Cost |' || chr(10)
+    || '| Grand total | $' || format('{:,}', attached) || ' |' || chr(10) || '[/TABLE 1]' || chr(10)
+    || 'Work started in ' || year || ' and ended in ' || end_year || '. The letter has ' || pages
+    || ' pages. A report is due on 15/03/' || (year + 2) || '. The lead holds a PhD since ' || phd_year || '.' AS plan
+  FROM v_money)
+"""
+
+
 # --- evaluation ----------------------------------------------------------------------------------
 def predictions(t: Tables) -> DataFrame:
     """Predicted verdict per document, from its length and language."""

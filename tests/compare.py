@@ -29,7 +29,7 @@ def spark_session(threads: str = "8"):
     builder = configured(SparkSession.builder.master(f"local[{threads}]")).config("spark.sql.shuffle.partitions", "8")
     builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 
@@ -102,7 +102,7 @@ def main():
         try:
             ok, message = compare(spark, con, name, queries[name], sqls.get(name), sf_dir)
         except Exception as error:  # report and go on
-            ok, message = False, f"{name}: ERROR {type(error).__name__} {str(error)[:1500]}"
+            ok, message = False, f"{name}: ERROR {type(error).__name__} {str(error)[:700]}"
         print(("  " if ok else "!! ") + message, flush=True)
         if not ok:
             bad.append(name)
