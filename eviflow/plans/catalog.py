@@ -1,4 +1,4 @@
 """All registered queries; importing a module registers its queries."""
 
-from eviflow.plans import text_queries  # noqa: F401
+from eviflow.plans import review_queries, text_queries  # noqa: F401
 from eviflow.plans.registry import QUERIES, SQL  # noqa: F401
