@@ -251,11 +251,12 @@ def _renumber(core: str, shift: int) -> str:
 
 def gaps_and_figures(text: Column | str, core: str) -> Column:
     """Array of (gap, figure): each figure with the text between it and the figure before it."""
-    pattern = f"(?s)(.*?){core}"
-    return F.arrays_zip(
-        F.regexp_extract_all(_c(text), F.lit(pattern), F.lit(1)).alias("gap"),
-        F.regexp_extract_all(_c(text), F.lit(pattern), F.lit(2)).alias("figure"),
-    )
+    subject = _c(text)
+    for mark in (RECORD, FIELD):
+        subject = F.replace(subject, F.lit(mark), F.lit(""))
+    rows = F.split(F.regexp_replace(subject, core, f"{FIELD}$1{RECORD}"), RECORD)
+    rows = F.transform(F.filter(rows, lambda r: F.contains(r, F.lit(FIELD))), lambda r: F.split(r, FIELD))
+    return F.transform(rows, lambda r: F.struct(r[0].alias("gap"), r[1].alias("figure")))
 
 
 def first_group(col: Column | str, pattern: str, group: int = 1) -> Column:

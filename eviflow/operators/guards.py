@@ -490,7 +490,8 @@ def coverage(levels: DataFrame) -> DataFrame:
 
 def coverage_rows(levels: DataFrame, constraints: DataFrame) -> DataFrame:
     """Constraint labels and gap reasons of every rule, one row each."""
-    return levels.join(constraints.select(*RULE, "ord", "kind", "label", "reason"), RULE, "left").select(
+    listed = levels.select(*RULE, "title", "guard_level", "hand")
+    return listed.join(constraints.select(*RULE, "ord", "kind", "label", "reason"), RULE, "left").select(
         *RULE, "title", "guard_level", "hand", "ord", "label", (F.col("kind") == "uncompilable").alias("is_gap"), "reason"
     )
 
