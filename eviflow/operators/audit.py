@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eviflow import fixed_values as fv
-from eviflow.operators.common import with_previous
+from eviflow.operators.common import with_position, with_previous
 
 HASHED = ["ts", "case_id", "actor", "role", "action", "detail"]
 
@@ -63,6 +63,29 @@ def build_chain(df: DataFrame, chain: str | None = None, seq: str = "seq", heads
     return ordered.mapInPandas(link, f"{schema}, prev_hash string, hash string")
 
 
+def build_chain_in_batches(
+    df: DataFrame, folder: str, chain: str | None = None, seq: str = "seq", batch_rows: int = 5_000_000
+) -> DataFrame:
+    """Build chains of any length without handing one task more than ``batch_rows`` rows of a chain.
+
+    Batch ``n`` holds rows ``n * batch_rows`` onward of every chain; it is written under ``folder`` before the next
+    one starts from its heads, so a lost executor repeats one batch only. The number of batches is the longest chain
+    divided by ``batch_rows``; logs that fit one batch are built in a single lazy pass.
+    """
+    keys = [chain] if chain else []
+    longest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest <= batch_rows:
+        return build_chain(df, chain, seq)
+    spark = df.sparkSession
+    placed = with_position(df, keys, seq, "_at").withColumn("_batch", F.floor((F.col("_at") - 1) / batch_rows))
+    heads = None
+    for n in range(-(-longest // batch_rows)):
+        part = placed.filter(F.col("_batch") == n).drop("_at", "_batch")
+        build_chain(part, chain, seq, heads).write.mode("overwrite").parquet(f"{folder}/batch={n}")
+        heads = chain_heads(spark.read.parquet(f"{folder}/batch={n}"), chain, seq)
+    return spark.read.parquet(folder).drop("batch")
+
+
 def chain_heads(df: DataFrame, chain: str | None = None, seq: str = "seq") -> DataFrame:
     """Last hash per chain."""
     keys = [chain] if chain else []

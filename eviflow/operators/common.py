@@ -32,14 +32,16 @@ def join_small(
     how: str = "inner",
     limit: int = BROADCAST_ROWS,
     salts: int = SALTS,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Equi-join whose right side is expected small and whose left keys may be skewed.
 
     The right side is counted first. Within ``limit`` rows it is broadcast; beyond it the left rows are spread over
     ``salts`` buckets per key and the right side is repeated once per bucket, so a hot key never lands in one task.
+    ``fits`` passes on a bound the caller has already checked.
     """
     on = list(on)
-    if within_rows(small, limit):
+    if within_rows(small, limit) if fits is None else fits:
         return big.join(F.broadcast(small), on, how)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
@@ -99,7 +101,8 @@ def with_position(
     bucket = "_bucket"
     cut = df.withColumn(bucket, F.floor(F.col(seq) / F.lit(width)))
     counts = cut.groupBy(*keys, bucket).agg(F.count("*").alias("_count"))
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    chain = Window.partitionBy(*keys) if keys else Window
+    before = chain.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*keys, bucket, F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*keys, bucket).orderBy(seq)
     return (

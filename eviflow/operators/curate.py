@@ -19,10 +19,10 @@ MARKER = r"\[\[FACT\]\]"
 
 
 # --- texts ---------------------------------------------------------------------------------------
-def _rule_ids(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Texts with the ids of their ruleset; a ruleset's ids are a short list by nature."""
-    ids = rules.groupBy("ruleset_id").agg(F.array_sort(F.collect_set("rule_id")).alias("_ids"))
-    return join_small(texts, ids, ["ruleset_id"], "left")
+def _found_ids(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Texts with a pattern of the rule ids they hold; no more ids than the text has words."""
+    found = leaked_ids(texts, rules).groupBy(*CASE).agg(F.array_sort(F.collect_set("rule_id")).alias("_ids"))
+    return texts.join(found, CASE, "left")
 
 
 def _word_pattern(ids: Column) -> Column:
@@ -94,7 +94,7 @@ def repair_meta(texts: DataFrame, rules: DataFrame, keep: str = "fact") -> DataF
     """Drop sentences that comment on the rules or name a rule id, line by line; the kept fact always stays.
 
     Adds ``text`` (repaired) and ``removed`` (the sentences taken out)."""
-    base = _rule_ids(texts, rules).withColumn("_ids", F.coalesce(_word_pattern(F.col("_ids")), F.lit(r"(?!)")))
+    base = _found_ids(texts, rules).withColumn("_ids", F.coalesce(_word_pattern(F.col("_ids")), F.lit(r"(?!)")))
 
     def meta(s):
         kept = tx.contains_cmp(s, F.col(keep))

@@ -15,6 +15,7 @@ from eviflow.functions.similarity import name_score, token_jaccard
 from eviflow.operators.common import count_where, join_small, top_k
 
 ROUNDING = 0.0005
+BROADCAST_LETTERS = 500_000
 # Letters by falling frequency in English names; rarer pieces sort first so that the kept prefix is selective.
 BY_FREQUENCY = " EATIONRSLHDCMUPGYBFWKVJXQZ0123456789"
 RARE_FIRST = "".join(sorted("abcdefghijklmnopqrstuvwxyz0123456789~", reverse=True))
@@ -95,6 +96,9 @@ def name_candidates(queries: DataFrame, register: DataFrame, threshold: float =
     reg = _profile(register.filter(F.length("norm") >= 1), "ord", "norm", threshold)
     right = reg.select(*[F.col(c).alias(f"r_{c}") for c in reg.columns])
 
+    # A name has fewer pieces than letters, so the letters of the register bound what a broadcast would hold.
+    letters = register.agg(F.sum(F.length("norm"))).first()[0] or 0
+    fits = letters <= BROADCAST_LETTERS
     total = F.col("len") + F.col("r_len")
     common = F.size(F.array_intersect("grams", "r_grams"))
     near = (F.least("len", "r_len") >= F.floor(total * r / 2)) & (common >= _shared(r, total))
@@ -107,14 +111,14 @@ def name_candidates(queries: DataFrame, register: DataFrame, threshold: float =
         q.withColumn("piece", F.explode("gram_keys")),
         right.withColumn("piece", F.explode("r_gram_keys")),
         ["piece"],
-        limit=200_000,
+        fits=fits,
     ).filter(near & met_once("gram_keys", "r_gram_keys"))
     jaccard = token_jaccard(F.col("norm"), F.col("r_norm"))
     by_token = join_small(
         q.withColumn("piece", F.explode("token_keys")),
         right.withColumn("piece", F.explode("r_token_keys")),
         ["piece"],
-        limit=200_000,
+        fits=fits,
     ).filter(~near & (0.55 * jaccard + 0.45 >= r) & met_once("token_keys", "r_token_keys"))
     out = [F.col("id").alias("query_id"), F.col("r_id").alias("ord"), "norm", "r_norm"]
     return by_gram.select(*out).unionByName(by_token.select(*out))
@@ -130,19 +134,22 @@ def scored_pairs(queries: DataFrame, register: DataFrame, threshold: float = fv.
     )
 
 
-def distinct_names(df: DataFrame, name: str) -> DataFrame:
-    """(query_id, norm): every searched name once, so repeated parties are scored once."""
-    return df.select(tx.name_norm(name).alias("norm")).filter(
-        F.length("norm") >= fv.MIN_QUERY_NAME
-    ).distinct().select(F.col("norm").alias("query_id"), "norm")
+def _scored_rows(names: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, ord, score) of names against register rows (ord, norm).
+
+    Distinct names meet distinct names; the register rows that carry a matching name are joined afterwards.
+    """
+    asked = names.select("norm").distinct().select(F.col("norm").alias("query_id"), "norm")
+    listed = rows.select("norm").distinct().select(F.col("norm").alias("ord"), "norm")
+    scores = scored_pairs(asked, listed).select("query_id", F.col("ord").alias("norm"), "score")
+    return scores.join(rows, "norm").select("query_id", "ord", "score")
 
 
 # --- registers -----------------------------------------------------------------------------------
 def match_banned(names: DataFrame, banned: DataFrame, top: int = 5) -> DataFrame:
     """Best ``top`` banned persons per normalised name ``norm``: score down, active first, register order."""
     variants = banned.select("ord", F.explode(F.array_distinct("norms")).alias("norm"))
-    scores = scored_pairs(names.select(F.col("norm").alias("query_id"), "norm").distinct(), variants)
-    best = scores.groupBy("query_id", "ord").agg(F.max("score").alias("score"))
+    best = _scored_rows(names, variants).groupBy("query_id", "ord").agg(F.max("score").alias("score"))
     hits = best.join(banned.drop("norms"), "ord")
     ranked = top_k(hits, ["query_id"], [F.desc("score"), F.desc("active"), F.asc("ord")], top)
     return ranked.select(
@@ -158,23 +165,22 @@ def match_banned(names: DataFrame, banned: DataFrame, top: int = 5) -> DataFrame
     )
 
 
-def match_sanctions(names: DataFrame, sanctions: DataFrame, want_type: str | None = None, top: int = 5) -> DataFrame:
+def match_sanctions(
+    names: DataFrame, entries: DataFrame, aliases: DataFrame, want_type: str | None = None, top: int = 5
+) -> DataFrame:
     """Best ``top`` sanctions entries per name over their aliases; entries without a type pass the type filter."""
-    entries = sanctions
+    kept = entries
     if want_type:
-        entries = entries.filter(
-            (F.coalesce("type", F.lit("")) == "") | (F.lower("type") == want_type.lower())
-        )
-    aliases = entries.select("ord", F.posexplode("names").alias("alias_no", "alias")).select(
-        F.struct("ord", "alias_no").alias("ord"), "alias.name", "alias.norm"
-    )
-    scores = scored_pairs(names.select(F.col("norm").alias("query_id"), "norm").distinct(), aliases.select("ord", "norm"))
+        kept = kept.filter((F.coalesce("type", F.lit("")) == "") | (F.lower("type") == want_type.lower()))
+        aliases = aliases.join(kept.select("ref"), "ref", "left_semi")
+    rows = aliases.select(F.struct("ref", "ord", "name").alias("ord"), "norm")
     best = (
-        scores.groupBy("query_id", F.col("ord.ord").alias("entry"))
-        .agg(F.max_by(F.struct("score", "ord.alias_no"), F.struct(F.col("score"), (-F.col("ord.alias_no")).alias("n"))).alias("b"))
-        .select("query_id", F.col("entry").alias("ord"), "b.score", "b.alias_no")
+        _scored_rows(names, rows)
+        .groupBy("query_id", F.col("ord.ref").alias("ref"))
+        .agg(F.max_by(F.struct("score", "ord.name"), F.struct(F.col("score"), (-F.col("ord.ord")).alias("n"))).alias("b"))
+        .select("query_id", "ref", "b.score", F.col("b.name").alias("matched_name"))
     )
-    hits = best.join(entries, "ord")
+    hits = best.join(kept, "ref")
     where = F.coalesce(F.nullif("citizenship", F.lit("")), F.nullif("birth", F.lit("")), F.lit(""))
     detail = F.regexp_replace(
         F.concat_ws(" · ", where, F.substring(F.coalesce("committees", F.lit("")), 1, 60)), r"^[ ·]+|[ ·]+$", ""
@@ -186,10 +192,10 @@ def match_sanctions(names: DataFrame, sanctions: DataFrame, want_type: str | Non
         "rank",
         "score",
         "ref",
-        F.get("names", F.col("alias_no"))["name"].alias("matched_name"),
+        "matched_name",
         F.col("type").alias("entity_type"),
         detail.alias("detail"),
-        F.size("names").alias("n_aliases"),
+        "n_aliases",
         F.lit(True).alias("active"),
         strength(F.col("score")).alias("strength"),
     )
@@ -229,19 +235,21 @@ def registry_status(registry: DataFrame) -> DataFrame:
     return registry.agg(F.count("*").alias("n")).withColumn("indexed", F.col("n") > 0)
 
 
-def lookup(names: DataFrame, banned: DataFrame, sanctions: DataFrame, registry: DataFrame, tokens: DataFrame) -> tuple[DataFrame, ...]:
+def lookup(
+    names: DataFrame, banned: DataFrame, sanctions: tuple[DataFrame, DataFrame], registry: DataFrame, tokens: DataFrame
+) -> tuple[DataFrame, ...]:
     """Ad-hoc search of ``names (name)`` of four characters or more in all registers, without a type filter."""
     asked = names.filter(F.length(tx.trim_space("name")) >= fv.MIN_QUERY_NAME)
     norms = asked.select(tx.name_norm("name").alias("norm"))
     return (
         match_banned(norms, banned),
-        match_sanctions(norms, sanctions),
+        match_sanctions(norms, *sanctions),
         lookup_registry(norms, registry, tokens),
     )
 
 
 # --- cases ---------------------------------------------------------------------------------------
-def screen_hits(cases: DataFrame, banned: DataFrame, sanctions: DataFrame) -> DataFrame:
+def screen_hits(cases: DataFrame, banned: DataFrame, sanctions: tuple[DataFrame, DataFrame]) -> DataFrame:
     """Register hits of every case: the applicant as a person, the organisation as an entity."""
     parties = cases.select(
         "case_id", tx.name_norm("applicant").alias("applicant_norm"), tx.name_norm("org").alias("org_norm")
@@ -250,9 +258,9 @@ def screen_hits(cases: DataFrame, banned: DataFrame, sanctions: DataFrame) -> Da
     orgs = parties.select(F.col("org_norm").alias("norm")).distinct()
     shared = ["norm", "source", "score", "matched_name", "active", "strength"]
     by_person = match_banned(people, banned).select(*shared).unionByName(
-        match_sanctions(people, sanctions, "Individual").select(*shared)
+        match_sanctions(people, *sanctions, "Individual").select(*shared)
     )
-    by_org = match_sanctions(orgs, sanctions, "Entity").select(*shared)
+    by_org = match_sanctions(orgs, *sanctions, "Entity").select(*shared)
     person = parties.select("case_id", F.col("applicant_norm").alias("norm")).join(by_person, "norm")
     entity = parties.select("case_id", F.col("org_norm").alias("norm")).join(by_org, "norm")
     return person.withColumn("party", F.lit("applicant")).unionByName(entity.withColumn("party", F.lit("org"))).drop("norm")
@@ -276,7 +284,9 @@ def screen_risk(cases: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def screen_cases(cases: DataFrame, banned: DataFrame, sanctions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def screen_cases(
+    cases: DataFrame, banned: DataFrame, sanctions: tuple[DataFrame, DataFrame]
+) -> tuple[DataFrame, DataFrame]:
     """(hits, risk per case)."""
     hits = screen_hits(cases, banned, sanctions)
     return hits, screen_risk(cases, hits)

@@ -74,7 +74,16 @@ def read_rulesets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
         F.posexplode("rulesets").alias("ord", "e"),
     )
     docs = spark.read.schema(RULESET).json(f"{folder}/*.json", multiLine=True).withColumn("_file", F.url_decode(_file_name()))
-    joined = entries.join(docs, F.col("e.file") == F.col("_file"))
+    matched = entries.join(docs, F.col("e.file") == F.col("_file"))
+    return _ruleset_tables(matched)
+
+
+def rulesets_from(docs: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same tables from documents and index entries (ord, e, _default) matched by id."""
+    return _ruleset_tables(entries.join(docs, F.col("e.id") == F.col("id")))
+
+
+def _ruleset_tables(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
     rulesets = joined.select(
         F.col("id").alias("ruleset_id"),
         F.coalesce("name", "e.name", "id").alias("name"),
@@ -187,29 +196,28 @@ SANCTION_COLUMNS = {
 }
 
 
-def sanctions_from(rows: DataFrame) -> DataFrame:
-    """Sanctions entries from alias rows (published column names, ``ord``): aliases grouped by the reference without
-    its trailing letters, other fields from the first row that fills them. Aliases of one entry are few."""
+def sanctions_from(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, aliases) of the sanctions list from alias rows (published column names, ``ord``).
+
+    Aliases share a reference up to its trailing letters; the other fields come from the first row that fills them.
+    Aliases stay rows ``(ref, ord, name, norm, kind)``, so an entry of any size is spread over tasks.
+    """
     flat = rows.select(
         "ord", *[F.trim(F.coalesce(F.col(f"`{src}`").cast("string"), F.lit(""))).alias(dst) for src, dst in SANCTION_COLUMNS.items()]
     )
     flat = flat.withColumn("ref", F.regexp_replace("reference", "[a-z]+$", "")).filter(F.col("ref") != "")
-    flat = flat.withColumn("norm", tx.name_norm("name"))
-    alias = F.when(F.col("name") != "", F.struct("ord", "name", "norm", "kind"))
     filled = [
         F.coalesce(F.min_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col("ord"))), F.lit("")).alias(c)
         for c in ("type", "birth", "citizenship", "committees")
     ]
-    return flat.groupBy("ref").agg(
-        F.transform(
-            F.array_sort(F.collect_list(alias)), lambda a: F.struct(a["name"].alias("name"), a["norm"].alias("norm"), a["kind"].alias("kind"))
-        ).alias("names"),
-        *filled,
-        F.min("ord").alias("ord"),
+    entries = flat.groupBy("ref").agg(
+        F.count_if(F.col("name") != "").alias("n_aliases"), *filled, F.min("ord").alias("ord")
     )
+    aliases = flat.filter(F.col("name") != "").select("ref", "ord", "name", tx.name_norm("name").alias("norm"), "kind")
+    return entries, aliases
 
 
-def read_sanctions(spark: SparkSession, path: str) -> DataFrame:
+def read_sanctions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
     return sanctions_from(rows.withColumn("ord", F.monotonically_increasing_id()))
 

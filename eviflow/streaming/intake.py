@@ -20,7 +20,12 @@ def _each_batch(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, i
 
 
 def screen_stream(
-    cases: DataFrame, banned: DataFrame, sanctions: DataFrame, out: str, checkpoint: str, once: bool = True
+    cases: DataFrame,
+    banned: DataFrame,
+    sanctions: tuple[DataFrame, DataFrame],
+    out: str,
+    checkpoint: str,
+    once: bool = True,
 ) -> StreamingQuery:
     """Screening risk of newly uploaded cases ``(case_id, applicant, org)``, one folder per batch."""
 
