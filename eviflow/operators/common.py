@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 20_000
 SALTS = 32
+SPREAD_BYTES = 64 * 1024 * 1024
 
 
 def computed(df: DataFrame, *columns: Column) -> DataFrame:
@@ -20,6 +21,21 @@ def computed(df: DataFrame, *columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*columns))))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before costly per-row work.
+
+    A file of one row group is one task however costly its rows are. Inputs that fill the cores with full partitions
+    by themselves are left alone, so large data is never moved by this.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if not df.isStreaming:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        if size >= cores * SPREAD_BYTES:
+            return df
+    return df.repartition(cores)
+
+
 def within_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Has the frame at most ``limit`` rows? Reads no further than that."""
     return df.limit(limit + 1).count() <= limit

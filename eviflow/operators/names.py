@@ -107,16 +107,17 @@ def name_candidates(queries: DataFrame, register: DataFrame, threshold: float =
         """The joined piece is the first one both sides are found by, so a pair appears once."""
         return F.array_min(F.array_intersect(keys, other)) == F.col("piece")
 
+    # Outer generators: a plain one adds a filter on its array that is pushed down and works the profile out again.
     by_gram = join_small(
-        q.withColumn("piece", F.explode("gram_keys")),
-        right.withColumn("piece", F.explode("r_gram_keys")),
+        q.withColumn("piece", F.explode_outer("gram_keys")),
+        right.withColumn("piece", F.explode_outer("r_gram_keys")),
         ["piece"],
         fits=fits,
     ).filter(near & met_once("gram_keys", "r_gram_keys"))
     jaccard = token_jaccard(F.col("norm"), F.col("r_norm"))
     by_token = join_small(
-        q.withColumn("piece", F.explode("token_keys")),
-        right.withColumn("piece", F.explode("r_token_keys")),
+        q.withColumn("piece", F.explode_outer("token_keys")),
+        right.withColumn("piece", F.explode_outer("r_token_keys")),
         ["piece"],
         fits=fits,
     ).filter(~near & (0.55 * jaccard + 0.45 >= r) & met_once("token_keys", "r_token_keys"))

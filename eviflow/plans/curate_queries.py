@@ -21,7 +21,7 @@ COMMENT = "This meets all criteria."
 def _texts(t: Tables) -> DataFrame:
     """Documents as generated texts of their language; French ones comment on the rules, Spanish ones keep a marker."""
     tail = F.when(F.col("lang") == "fr", " Fin. " + COMMENT).when(F.col("lang") == "es", " [[FACT]] ").otherwise("")
-    return t.documents.select(F.col("lang").alias("ruleset_id"), F.col("doc_id").alias("case_id"), F.concat("text", tail).alias("text"))
+    return t.spread("documents").select(F.col("lang").alias("ruleset_id"), F.col("doc_id").alias("case_id"), F.concat("text", tail).alias("text"))
 
 
 def _rules(t: Tables) -> DataFrame:
@@ -58,7 +58,7 @@ WHERE len(ph) > 0 OR CASE WHEN doc_id IN (SELECT doc_id FROM documents WHERE sou
 )
 def doc_problems(t: Tables) -> DataFrame:
     talk = F.when(F.col("source") == "src3", "Okay, let me write. ").otherwise("")
-    return cu.doc_problems(t.documents.select("doc_id", F.concat(talk, F.col("text")).alias("text")))
+    return cu.doc_problems(t.spread("documents").select("doc_id", F.concat(talk, F.col("text")).alias("text")))
 
 
 @query(
@@ -73,7 +73,7 @@ SELECT doc_id, CASE WHEN p > 0 THEN 'marker' ELSE 'appended' END AS placement, r
 def insert_fact(t: Tables) -> DataFrame:
     """Line breaks become markers, and the last one a copy of the fact."""
     fact = F.concat(F.lit("Farm "), "doc_id", F.lit(" has no stock."))
-    df = t.documents.select("doc_id", fact.alias("fact"), F.replace("text", F.lit("\n"), F.lit("[[FACT]]")).alias("text"))
+    df = t.spread("documents").select("doc_id", fact.alias("fact"), F.replace("text", F.lit("\n"), F.lit("[[FACT]]")).alias("text"))
     return cu.insert_fact(df).select("doc_id", "placement", "text")
 
 
@@ -219,7 +219,7 @@ UNION ALL SELECT ruleset_id, rule_id FROM (SELECT *, row_number() OVER (PARTITIO
 """,
 )
 def select_targets(t: Tables) -> DataFrame:
-    rules = t.part.select(F.col("p_brand").alias("ruleset_id"), F.col("p_partkey").alias("rule_id"), F.col("p_partkey").alias("ord"), "p_size", "p_type")
+    rules = t.spread("part").select(F.col("p_brand").alias("ruleset_id"), F.col("p_partkey").alias("rule_id"), F.col("p_partkey").alias("ord"), "p_size", "p_type")
     known = rules.filter("ruleset_id <> 'Brand#7'")
     picked = cu.select_targets(rules, known.filter("p_type = 'PROMO'"), known.filter("p_size > 40"), 4)
     return picked.select("ruleset_id", "rule_id")
@@ -298,14 +298,14 @@ FROM v_ask a JOIN v_open o ON o.ruleset_id = a.ruleset_id LEFT JOIN v_bad b ON b
     ),
 )
 def approval_report(t: Tables) -> DataFrame:
-    cases = t.documents.select(
+    cases = t.spread("documents").select(
         F.col("lang").alias("ruleset_id"), F.col("doc_id").alias("case_id"), F.when(F.col("n_chars") > 300, "T").alias("target"),
         F.when(F.col("source") == "src1", "disputed").when((F.col("source") == "src2") & (F.col("lang") == "de"), "needs_review").otherwise("pending_review").alias("status"),
     )
     edits = t.documents.filter("source = 'src1' AND lang = 'en'").select(
         F.col("lang").alias("ruleset_id"), F.col("doc_id").alias("case_id"), F.lit("dispute").alias("action"), F.lit("reviewer 1").alias("by")
     )
-    asked = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id").select(
+    asked = t.labels.join(t.spread("documents").select("doc_id", "lang"), "doc_id").select(
         F.col("lang").alias("ruleset_id"), F.when(F.col("quality") == 1, "reviewer 1").otherwise("reviewer 9").alias("approver")
     ).distinct()
     return cu.approval_report(asked, cases, edits, _texts(t), _rules(t))
@@ -326,7 +326,7 @@ SELECT conv_id || '-' || turn AS case_id, CASE WHEN len(string_split(f, ' ')) <
 )
 def confirm_facts(t: Tables) -> DataFrame:
     """Turns as planted facts: guards fire on the assistant's, the verifiers deny the system's."""
-    facts = t.conversations.select(
+    facts = t.spread("conversations").select(
         F.lit("en").alias("ruleset_id"), F.concat_ws("-", "conv_id", "turn").alias("case_id"), F.lit("R1").alias("rule_id"), F.col("text").alias("fact"), "role",
         F.when(F.col("role") == "system", F.array(F.lit("no"), F.lit("no"))).otherwise(F.array(F.lit("no"), F.lit("unclear"))).alias("votes"),
     )
@@ -343,7 +343,7 @@ SELECT conv_id, turn, regexp_replace(replace(text, fact, ' '), '[ \\t]{2,}', ' '
 """,
 )
 def contradiction_gate(t: Tables) -> DataFrame:
-    df = t.conversations.select(
+    df = t.spread("conversations").select(
         "conv_id", "turn", "text", F.substring_index("text", " ", 1).alias("fact"), F.when(F.col("role") == "system", "code").otherwise("verifier").alias("confirmed_by"),
         F.when(F.col("role") == "user", F.array(F.lit("yes"), F.lit("no"))).otherwise(F.array(F.lit("yes"), F.lit("yes"))).alias("rest_votes"), F.lit(False).alias("guard_on_text"),
     )

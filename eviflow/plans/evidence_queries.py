@@ -24,7 +24,7 @@ def _ws(x: str) -> str:
 # A conversation is a case and its turns are its chunks; benchmark passages are rules. Long conversations are assessed
 # against the passages of several lines, the others against those of one line.
 def _chunks(t: Tables) -> DataFrame:
-    return t.conversations.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("chunk_id"), "text")
+    return t.spread("conversations").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("chunk_id"), "text")
 
 
 def _case_sets(t: Tables) -> DataFrame:
@@ -174,7 +174,7 @@ def clean_facts(t: Tables) -> DataFrame:
         F.split("text", "\n"),
         lambda s, i: F.struct(F.trim(s).alias("fact"), (i + 1).alias("chunk_id"), F.lit(None).cast("string").alias("key_phrase")),
     )
-    df = t.documents.select(
+    df = t.spread("documents").select(
         "doc_id", facts.alias("facts"), F.array(F.lit(3), F.lit(1)).alias("hits"), F.lit(None).cast("string").alias("coverage")
     )
     got = ec.clean_facts(df)
@@ -246,7 +246,7 @@ FROM (SELECT doc_id, list_filter(ss, lambda s: lower({_ws('s')}) = lower({_ws('c
 def best_sentence(t: Tables) -> DataFrame:
     """Find the second sentence of every document again."""
     ss = tx.sentence_array("text")
-    df = t.documents.select("doc_id", F.col("text").alias("chunk_text"), F.upper(F.coalesce(F.get(ss, F.lit(1)), F.get(ss, F.lit(0)))).alias("key_phrase"))
+    df = t.spread("documents").select("doc_id", F.col("text").alias("chunk_text"), F.upper(F.coalesce(F.get(ss, F.lit(1)), F.get(ss, F.lit(0)))).alias("key_phrase"))
     return ec.best_sentence(df).select("doc_id", "aq")
 
 
@@ -264,7 +264,7 @@ def cite_ok(t: Tables) -> DataFrame:
     """Third sentences as quotations, misquoted in the longer documents."""
     ss = tx.sentence_array("text")
     quote = F.when(F.size(ss) > 3, F.replace(ss[2], F.lit("e"), F.when(F.size(ss) > 9, "3").otherwise("e"))).otherwise("")
-    return t.documents.select("doc_id", ec.cite_ok(F.concat(quote, F.when(quote != "", " ...").otherwise("")), "text").alias("cite_ok"))
+    return t.spread("documents").select("doc_id", ec.cite_ok(F.concat(quote, F.when(quote != "", " ...").otherwise("")), "text").alias("cite_ok"))
 
 
 @query(
@@ -278,7 +278,7 @@ SELECT w.doc_id, (SELECT seg FROM h WHERE h.doc_id = w.doc_id ORDER BY j - i DES
 )
 def attestation_span(t: Tables) -> DataFrame:
     some = F.array_join(F.slice(tx.words("text"), 3, 10), "  ")
-    df = t.documents.select("doc_id", F.col("text").alias("source"), F.concat(F.lit("As stated "), some, F.lit(" indeed")).alias("attestation"))
+    df = t.spread("documents").select("doc_id", F.col("text").alias("source"), F.concat(F.lit("As stated "), some, F.lit(" indeed")).alias("attestation"))
     return ec.attestation_span(df).select("doc_id", "span")
 
 
@@ -291,8 +291,8 @@ FROM conversations c JOIN documents d ON d.doc_id = c.conv_id
 )
 def rule_verbatim(t: Tables) -> DataFrame:
     """First word of every turn as a quote from the document of the same number."""
-    quotes = t.conversations.select("conv_id", "turn", F.regexp_extract("text", r"^\S+", 0).alias("quote"))
-    texts = t.documents.select(F.col("doc_id").alias("conv_id"), F.col("text").alias("guideline"))
+    quotes = t.spread("conversations").select("conv_id", "turn", F.regexp_extract("text", r"^\S+", 0).alias("quote"))
+    texts = t.spread("documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("guideline"))
     return ec.rule_verbatim_ok(quotes.join(texts, "conv_id")).select("conv_id", "turn", "verbatim_ok")
 
 
@@ -313,7 +313,7 @@ def _scrub(text: str, pattern: str, mark: str, extra: str = "false") -> str:
 )
 def redact_letters(t: Tables) -> DataFrame:
     letter = F.concat("text", F.lit(" Sent 2026-09-30, due 2026-10-07. Call 02 5550 1234 "), "doc_id", F.lit("."))
-    df = t.documents.select("doc_id", F.substring("text", 1, 300).alias("allowed"), letter.alias("letter"))
+    df = t.spread("documents").select("doc_id", F.substring("text", 1, 300).alias("allowed"), letter.alias("letter"))
     return ec.redact_letters(df, "2026-09-30").select("doc_id", "letter")
 
 
@@ -321,7 +321,7 @@ PART_RULES = "v_prules AS (SELECT DISTINCT CASE WHEN p_size < 25 THEN 'fund-a' E
 
 
 def _part_rules(t: Tables) -> DataFrame:
-    rules = t.part.select(
+    rules = t.spread("part").select(
         F.when(F.col("p_size") < 25, "fund-a").otherwise("fund-b").alias("ruleset_id"), F.concat(F.lit("R"), F.col("p_size") % 7 + 1).alias("rule_id")
     ).distinct()
     return rules.withColumn("title", F.concat(F.lit("title "), "ruleset_id", "rule_id")).withColumn("quote", F.col("title"))

@@ -27,7 +27,7 @@ def part_rules(t: Tables) -> DataFrame:
                      F.lit("; an employer of 100 or more employees that has not complied with the act"))
         )
     )
-    return t.part.select(
+    return t.spread("part").select(
         F.col("p_brand").alias("ruleset_id"), F.concat(F.lit("P"), "p_partkey").alias("rule_id"), F.col("p_partkey").alias("ord"),
         F.when(F.col("p_size") < 25, "quantitative").otherwise("qualitative").alias("type"), F.col("p_name").alias("title"), quote.alias("quote"),
     )
@@ -60,7 +60,7 @@ v_cons AS (
 
 @query("compile_rules", v.ctes(PART_CONSTRAINTS, body="SELECT * FROM v_cons"))
 def compile_rules(t: Tables) -> DataFrame:
-    cons = gd.compile_rules(part_rules(t)).join(t.part.select(F.concat(F.lit("P"), "p_partkey").alias("rule_id"), "p_type"), "rule_id")
+    cons = gd.compile_rules(part_rules(t)).join(t.spread("part").select(F.concat(F.lit("P"), "p_partkey").alias("rule_id"), "p_type"), "rule_id")
     anchors = F.when((F.col("p_type") == "MEDIUM") & F.col("anchors").isNotNull(), "?").otherwise(F.array_join("anchors", " "))
     return cons.select("ruleset_id", "rule_id", "ord", "kind", "op", "value", "term", "label", anchors.alias("anchors"))
 
@@ -69,7 +69,7 @@ def part_levels(t: Tables) -> DataFrame:
     """Guard levels; the largest parts carry a hand guard, rules of two types lose their constraints."""
     rules = part_rules(t)
     hand = t.part.filter("p_size >= 45").select(F.col("p_brand").alias("ruleset_id"), F.concat(F.lit("P"), "p_partkey").alias("rule_id"))
-    small = rules.join(t.part.select(F.concat(F.lit("P"), "p_partkey").alias("rule_id"), "p_type"), "rule_id")
+    small = rules.join(t.spread("part").select(F.concat(F.lit("P"), "p_partkey").alias("rule_id"), "p_type"), "rule_id")
     reworded = small.withColumn(
         "quote",
         F.when(F.col("p_type") == "ECONOMY", F.concat("title", F.lit(" must be sound")))
@@ -160,7 +160,7 @@ SELECT lower(replace(raw, '#', '')) AS ruleset_id, raw AS name, n AS n_valid,
 )
 def validate_rulesets(t: Tables) -> DataFrame:
     raw = F.concat("p_brand", F.when(F.col("p_size") > 47, F.concat(F.lit(" "), "p_size", F.lit("!"))).otherwise(F.concat(F.lit("-"), "p_size", F.lit("."), "p_type")))
-    rows = t.part.select(
+    rows = t.spread("part").select(
         F.replace(raw, F.lit("#"), F.lit("")).alias("ruleset_id"), raw.alias("name"), F.concat(F.lit("P"), "p_partkey").alias("rule_id"),
         F.when(~F.startswith("p_name", F.lit("red")), F.col("p_name")).alias("title"), F.lit("q").alias("quote"), F.lit("odd").alias("type"),
     )

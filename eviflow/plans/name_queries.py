@@ -20,7 +20,7 @@ def banned(t: Tables) -> DataFrame:
     """Parts as banned persons, written LAST, FIRST; larger parts are banned for good or until past AS_OF."""
     turned = F.concat(F.substring_index("p_name", " ", -1), F.lit(", "), F.substring_index("p_name", " ", 1))
     end = F.when(F.col("p_size") > 40, "").when(F.col("p_size") > 20, "1/7/2010").otherwise("30/06/2009")
-    rows = t.part.select(
+    rows = t.spread("part").select(
         F.col("p_partkey").alias("ord"), turned.alias("BD_PER_NAME"), F.col("p_type").alias("BD_PER_TYPE"),
         F.col("p_brand").alias("BD_PER_DOC_NUM"), F.lit("01/02/2001").alias("BD_PER_START_DT"), end.alias("BD_PER_END_DT"),
         F.lit("NSW").alias("BD_PER_ADD_STATE"), F.lit("AU").alias("BD_PER_ADD_COUNTRY"),
@@ -131,7 +131,7 @@ def sanctions_matches(t: Tables) -> DataFrame:
 def _parties(t: Tables) -> DataFrame:
     """Parts as applications: turned name as applicant, plain name as organisation when large."""
     turned = F.concat(F.substring_index("p_name", " ", -1), F.lit(" "), F.substring_index("p_name", " ", 1))
-    return t.part.select(
+    return t.spread("part").select(
         F.col("p_partkey").alias("case_id"), F.when(F.col("p_size") > 10, turned).alias("applicant"),
         F.when(F.col("p_size") > 45, F.col("p_name")).otherwise("zzz qqq").alias("org"),
     )
@@ -210,7 +210,7 @@ def registry_status(t: Tables) -> DataFrame:
 @query("name_candidates")
 def name_candidates(t: Tables) -> DataFrame:
     """Pairs of different part names that may reach the match threshold."""
-    names = t.part.select(tx.name_norm("p_name", exotic=False).alias("norm")).distinct()
+    names = t.spread("part").select(tx.name_norm("p_name", exotic=False).alias("norm")).distinct()
     pairs = nm.name_candidates(names.select(F.col("norm").alias("query_id"), "norm"), names.select(F.col("norm").alias("ord"), "norm"))
     return pairs.select("query_id", "ord")
 
@@ -226,7 +226,7 @@ FROM n a JOIN n b ON list_has_any(string_split(a.norm, ' '), string_split(b.norm
 )
 def name_overlap(t: Tables) -> DataFrame:
     """Token overlap of part names that share a word."""
-    names = t.part.select(tx.name_norm("p_name", exotic=False).alias("norm")).distinct()
+    names = t.spread("part").select(tx.name_norm("p_name", exotic=False).alias("norm")).distinct()
     words = names.select("norm", F.explode(tx.words("norm")).alias("w"))
     pairs = words.select(F.col("norm").alias("a"), "w").join(words.select(F.col("norm").alias("b"), "w"), "w").select("a", "b").distinct()
     return pairs.select("a", "b", F.round(nm.token_jaccard(F.col("a"), F.col("b")), 6).alias("overlap"))
@@ -235,7 +235,7 @@ def name_overlap(t: Tables) -> DataFrame:
 @query("name_scores")
 def name_scores(t: Tables) -> DataFrame:
     """Scores of part names against names of the same ending."""
-    names = t.part.select(tx.name_norm("p_name", exotic=False).alias("norm")).distinct().withColumn("w", F.substring_index("norm", " ", -1))
+    names = t.spread("part").select(tx.name_norm("p_name", exotic=False).alias("norm")).distinct().withColumn("w", F.substring_index("norm", " ", -1))
     pairs = names.select(F.col("norm").alias("a"), "w").join(names.select(F.col("norm").alias("b"), "w"), "w")
     return pairs.select("a", "b", name_score("a", "b").alias("score"))
 

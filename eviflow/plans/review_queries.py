@@ -414,7 +414,7 @@ def supplement_deadlines(t: Tables) -> DataFrame:
 # --- rules of a case -----------------------------------------------------------------------------
 def _fund_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Two funds in two versions each; every part is a rule of one fund, its brand decides the version."""
-    rules = t.part.select(
+    rules = t.spread("part").select(
         F.when(F.col("p_size") < 25, "fund-a").otherwise("fund-b").alias("ruleset_id"),
         F.when(F.length("p_brand") == 7, "1").otherwise("2").alias("version"),
         F.col("p_type"),
@@ -850,7 +850,7 @@ FROM v_stage g LEFT JOIN v_result r ON r.ruleset_id = g.ruleset_id
 )
 def measurement_status(t: Tables) -> DataFrame:
     sets, cases, _ = _testset_tables(t)
-    named = t.customer.select(F.col("c_mktsegment").alias("ruleset_id")).union(t.part.select("p_brand")).distinct()
+    named = t.customer.select(F.col("c_mktsegment").alias("ruleset_id")).union(t.spread("part").select("p_brand")).distinct()
     rulesets = named.select(
         "ruleset_id", F.concat(F.lit("Fund "), "ruleset_id").alias("name"), F.lit("1").alias("version"), F.lit(None).cast("string").alias("status")
     )

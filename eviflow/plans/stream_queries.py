@@ -14,7 +14,7 @@ from eviflow.plans import views as v
 from eviflow.plans.registry import Tables, query
 from eviflow.session import checkpoint_dir
 from eviflow.sources import readers, writers
-from eviflow.streaming.intake import assess_stream, screen_stream
+from eviflow.streaming.intake import assess_stream, screen_stream, written_findings
 
 
 def work_folder(t: Tables) -> str:
@@ -39,7 +39,7 @@ def stream_crosscheck(t: Tables) -> DataFrame:
     out = work_folder(t)
     dossiers = v.money_dossiers(StreamedOrders(t.spark, t.sf_dir)).select("case_id", "text")
     assess_stream(dossiers, tq.AS_OF, f"{out}/result", f"{out}/state").awaitTermination()
-    findings = t.spark.read.parquet(f"{out}/result/findings")
+    findings = written_findings(t.spark, f"{out}/result")
     keep = ["case_id", "category", "label", "severity", "n_values", "n_distinct", "low_value", "high_value"]
     return findings.filter(F.col("n_values").isNotNull()).select(*keep)
 
@@ -68,7 +68,7 @@ def stream_screening(t: Tables) -> DataFrame:
 def feedback_files(t: Tables) -> DataFrame:
     """Turns written as feedback lines between broken ones, and read back."""
     path = f"{work_folder(t)}/feedback"
-    rows = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("case"), F.col("role").alias("rule"), F.col("text").alias("applicant_quote"))
+    rows = t.spread("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("case"), F.col("role").alias("rule"), F.col("text").alias("applicant_quote"))
     writers.write_feedback(rows, path)
     rows.select(F.concat(F.lit('{"case": "'), "case", F.lit('", "rule": ')).alias("value")).write.mode("append").text(path)
     return readers.read_feedback(t.spark, path).select("case", "rule", "applicant_quote")
@@ -119,10 +119,10 @@ def ruleset_files(t: Tables) -> DataFrame:
     path = f"{work_folder(t)}/rulesets"
     rid = F.concat(F.lit("F"), "p_partkey")
     rule = [F.struct(F.lit(r).alias("id"), F.lit("qualitative").alias("type"), F.col("p_name").alias("title"), F.concat("p_type", F.lit(r)).alias("quote")) for r in ("R1", "R2")]
-    docs = t.part.select(rid.alias("id"), F.when(F.col("p_size") > 20, F.concat(F.lit("v"), "p_size")).alias("version"), F.array(*rule).alias("rules"))
+    docs = t.spread("part").select(rid.alias("id"), F.when(F.col("p_size") > 20, F.concat(F.lit("v"), "p_size")).alias("version"), F.array(*rule).alias("rules"))
     docs.write.json(path)
     entry = F.struct(rid.alias("id"), F.concat(F.lit("Index "), "p_name").alias("name"), F.lit("AU").alias("region"), F.lit("9").alias("version"))
-    index = t.part.select(F.col("p_partkey").alias("ord"), entry.alias("e"), F.lit("F0").alias("_default"))
+    index = t.spread("part").select(F.col("p_partkey").alias("ord"), entry.alias("e"), F.lit("F0").alias("_default"))
     rulesets, rules = readers.rulesets_from(t.spark.read.schema(readers.RULESET).json(path), index)
     return rules.join(rulesets.drop("ord"), "ruleset_id").select("ruleset_id", "name", "version", "is_default", "rule_id", "ord", "quote")
 

@@ -169,7 +169,7 @@ FROM placed WHERE body <> ''
 def chunks_with_offsets(t: Tables) -> DataFrame:
     """Every line of a document as a padded paragraph of its own."""
     padded = F.concat(F.lit("  "), F.replace("text", F.lit("\n"), F.lit(" \n \n  ")), F.lit(" "))
-    return sg.chunks(t.documents.select("doc_id", padded.alias("text")), key="doc_id")
+    return sg.chunks(t.spread("documents").select("doc_id", padded.alias("text")), key="doc_id")
 
 
 SENTENCES = """
@@ -188,7 +188,7 @@ v_sentences AS (
     ),
 )
 def sentences(t: Tables) -> DataFrame:
-    return sg.sentences(t.documents, key="doc_id")
+    return sg.sentences(t.spread("documents"), key="doc_id")
 
 
 @query(
@@ -205,7 +205,7 @@ FROM v_sentences
 )
 def sentence_patterns(t: Tables) -> DataFrame:
     text = tx.trim_space("text")
-    return t.documents.select(
+    return t.spread("documents").select(
         "doc_id",
         F.size(tx.sentences_matching(text, r"(?iuU)\b(the|der|que)\b")).cast("bigint").alias("n_hits"),
         tx.alt_satisfied(text, "(?iu)ent", "(?iu)on").alias("alt_ok"),
@@ -306,10 +306,10 @@ SELECT name, norm, array_to_string(list_sort(string_split(norm, ' ')), ' ') AS s
 def name_norm_sorted(t: Tables) -> DataFrame:
     head = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
     names = (
-        t.part.select(F.concat("p_name", F.lit(", "), "p_type").alias("name"))
+        t.spread("part").select(F.concat("p_name", F.lit(", "), "p_type").alias("name"))
         .union(t.customer.select("c_name"))
         .union(t.supplier.select("s_name"))
-        .union(t.documents.select(head))
+        .union(t.spread("documents").select(head))
         .distinct()
     )
     return names.withColumn("norm", tx.name_norm("name")).withColumn("sorted", tx.token_sort("norm"))
@@ -338,7 +338,7 @@ SELECT conv_id, turn, rtrim(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))),
 )
 def compare_text(t: Tables) -> DataFrame:
     quoted = F.concat(F.lit('"'), "text", F.lit('" '))
-    return t.conversations.select("conv_id", "turn", F.regexp_replace(tx.cmp_norm(quoted), r"\.+$", "").alias("text"))
+    return t.spread("conversations").select("conv_id", "turn", F.regexp_replace(tx.cmp_norm(quoted), r"\.+$", "").alias("text"))
 
 
 @query(
@@ -353,7 +353,7 @@ FROM documents
 """,
 )
 def words_and_limits(t: Tables) -> DataFrame:
-    got = intake_text(t.documents.select("doc_id", "text"))
+    got = intake_text(t.spread("documents").select("doc_id", "text"))
     return got.select("doc_id", "n_words", "accepted", tx.first_words("text", 45).alias("short"))
 
 

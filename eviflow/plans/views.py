@@ -158,7 +158,7 @@ def money_figures(t: Tables) -> DataFrame:
     """Declared and attached totals per order, in whole dollars; small line totals repeat the declared one."""
     attached = t.lineitem.groupBy("l_orderkey").agg(F.sum(F.floor("l_extendedprice")).alias("lines"))
     declared = F.floor("o_totalprice")
-    joined = t.orders.join(attached, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    joined = t.spread("orders").join(attached, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return joined.select(
         F.col("o_orderkey").alias("case_id"),
         F.col("o_custkey").alias("custkey"),

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eviflow.operators import crosscheck, guards, names
@@ -39,19 +40,23 @@ def screen_stream(
 def assess_stream(
     cases: DataFrame, as_of: str, out: str, checkpoint: str, rules: DataFrame | None = None, once: bool = True
 ) -> StreamingQuery:
-    """Cross-check findings, case risk and compiled-guard hits of arriving dossiers ``(case_id, ruleset_id, text)``."""
+    """Cross-check report and compiled-guard hits of arriving dossiers ``(case_id, ruleset_id, text)``.
+
+    The report of a dossier is one row with its findings inside, so a batch is read once and written once;
+    :func:`written_findings` unfolds it.
+    """
     constraints = guards.compile_rules(rules) if rules is not None else None
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            findings, risk = crosscheck.crosscheck(batch, as_of)
-            findings.write.mode("overwrite").parquet(f"{out}/findings/batch={batch_id}")
-            risk.write.mode("overwrite").parquet(f"{out}/risk/batch={batch_id}")
-            if constraints is not None:
-                hits = guards.evaluate_constraints(constraints, batch)
-                hits.write.mode("overwrite").parquet(f"{out}/hits/batch={batch_id}")
-        finally:
-            batch.unpersist()
+        report = crosscheck.dossier_report(batch, as_of).drop("figures")
+        report.write.mode("overwrite").parquet(f"{out}/report/batch={batch_id}")
+        if constraints is not None:
+            hits = guards.evaluate_constraints(constraints, batch)
+            hits.write.mode("overwrite").parquet(f"{out}/hits/batch={batch_id}")
 
     return _each_batch(cases, checkpoint, work, once)
+
+
+def written_findings(spark: SparkSession, out: str) -> DataFrame:
+    """Findings of all batches written so far, one row each."""
+    return spark.read.parquet(f"{out}/report").select("case_id", F.inline_outer("findings")).filter("category IS NOT NULL")
