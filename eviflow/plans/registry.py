@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from eviflow.operators.common import spread
+from eviflow.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -16,7 +17,7 @@ def query(name: str, sql: str | None = None):
     """Register ``fn(t)`` under ``name``; ``t`` opens the tables of one folder."""
 
     def wrap(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(Tables(prepare(spark), sf_dir))
         if sql is not None:
             SQL[name] = sql
         return fn

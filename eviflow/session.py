@@ -10,6 +10,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Unions keep plain concatenation of partitions: the partition-aware union zips its inputs and fails when adaptive
+    # execution has coalesced them differently.
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
@@ -20,6 +23,13 @@ def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings to a session that was built elsewhere."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared folder the cluster names for checkpoints; ``fallback`` serves tests only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or fallback

@@ -141,7 +141,7 @@ def intake_text(df: DataFrame, kind: str = "application", text: str = "text") ->
     """Clean uploaded text (bytes are decoded with replacement), with word count and whether it is long enough."""
     raw = F.col(text)
     if df.schema[text].dataType.typeName() == "binary":
-        raw = F.to_char(raw, F.lit("utf-8"))
+        raw = F.make_valid_utf8(raw.cast("string"))
     clean = tx.trim_space(F.replace(raw, F.lit("\r\n"), F.lit("\n")))
     return (
         df.withColumn(text, clean)
