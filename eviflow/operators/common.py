@@ -21,6 +21,13 @@ def computed(df: DataFrame, *columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*columns))))
 
 
+def cut(df: DataFrame, folder: str) -> DataFrame:
+    """Write an intermediate result that several later steps use and read it back, so it is worked out once and its
+    lineage ends there; ``folder`` is on storage every executor can reach."""
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a small input over all cores before costly per-row work.
 

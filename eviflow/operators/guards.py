@@ -254,15 +254,12 @@ def _anchored(anchors: Column, text: Column) -> Column:
     return F.size(F.filter(F.array_distinct(anchors), lambda a: F.contains(text, a)))
 
 
-def eval_numeric(constraints: DataFrame, cases: DataFrame, whole_percent: bool = True) -> DataFrame:
-    """Hits of min and max constraints on ``cases (case_id, ruleset_id, text)``, text in guard form."""
-    figures = cases.filter(F.col("text").rlike(r"(?iu)\$|%|per cent")).select(
-        "case_id", "ruleset_id", figure_array(F.col("text"), whole_percent).alias("figures")
-    )
-    numeric = constraints.filter(F.col("kind").isin("money", "percent")).select(
-        *RULE, "ord", "kind", "op", "value", "anchors", "label"
-    )
-    pairs = join_small(figures, numeric, ["ruleset_id"])
+def _figure_hit(figures: Column) -> Column:
+    """Reason of a min or max constraint that the figures break, null when they do not.
+
+    A minimum is broken when every figure of a sentence on its topic lies below it; a cap when one figure with two
+    topic words right before it lies above it.
+    """
 
     def relevant(f):
         near = _anchored(F.col("anchors"), f["sentence"])
@@ -270,20 +267,15 @@ def eval_numeric(constraints: DataFrame, cases: DataFrame, whole_percent: bool =
         fits = F.when(F.col("op") == "min", near >= 1).otherwise((near >= 2) & (right_before >= 2))
         return (f["kind"] == F.col("kind")) & fits
 
-    pairs = computed(pairs, F.transform(F.filter("figures", relevant), lambda f: f["value"]).alias("found"))
-    below = (F.col("op") == "min") & (F.array_max("found") < F.col("value"))
-    above = (F.col("op") == "max") & (F.array_max("found") > F.col("value"))
-    return pairs.filter((F.size("found") > 0) & (below | above)).select(
-        *KEY,
-        "ord",
-        F.lit("not_met").alias("verdict"),
+    top = F.array_max(F.transform(F.filter(figures, relevant), lambda f: f["value"]))
+    broken = F.when(F.col("op") == "min", top < F.col("value")).otherwise(top > F.col("value"))
+    return F.when(
+        broken,
         F.concat(
-            F.when(below, "below threshold ").otherwise("above cap "),
+            F.when(F.col("op") == "min", "highest figure under ").otherwise("figure over "),
             F.format_number(F.col("value"), 0),
-            F.lit(": "),
-            F.format_number(F.when(below, F.array_min("found")).otherwise(F.array_max("found")), 0),
-            F.lit(" ("), "label", F.lit(")"),
-        ).alias("reason"),
+            F.lit(" ("), F.col("label"), F.lit(")"),
+        ),
     )
 
 
@@ -312,21 +304,34 @@ def _asserted(sentence: Column, kind: Column, term: Column) -> Column:
     )
 
 
-def eval_terms(constraints: DataFrame, cases: DataFrame) -> DataFrame:
-    """Hits of forbidden and excluded terms. The plain containment filter runs before any sentence work."""
-    terms = constraints.filter(F.col("kind").isin("forbidden", "excluded")).select(
-        *RULE, "ord", "kind", F.trim("term").alias("term"), "alt", "label"
-    )
-    texts = cases.select("case_id", "ruleset_id", "text", F.lower("text").alias("_low"))
-    pairs = join_small(texts, terms, ["ruleset_id"]).filter(F.contains("_low", F.lower("term")))
-    naming = F.filter(tx.raw_sentences("text"), lambda s: F.contains(F.lower(s), F.lower("term")))
+def _term_hit(text: Column) -> Column:
+    """Reason of a forbidden or excluded term that some sentence states, null when none does."""
+    naming = F.filter(tx.raw_sentences(text), lambda s: F.contains(F.lower(s), F.lower("term")))
     stated = F.exists(naming, lambda s: _asserted(s, F.col("kind"), F.col("term")))
-    strong = (F.col("kind") == "forbidden") & ~F.coalesce("alt", F.lit(False))
-    return pairs.filter(stated).select(
-        *KEY,
-        "ord",
-        F.when(strong, "not_met").otherwise("unclear").alias("verdict"),
-        F.concat(F.lit("states '"), "term", F.lit("' ("), "label", F.lit(")")).alias("reason"),
+    return F.when(stated, F.concat(F.lit("states '"), F.col("term"), F.lit("' ("), F.col("label"), F.lit(")")))
+
+
+def eval_constraints(constraints: DataFrame, cases: DataFrame, whole_percent: bool = True) -> DataFrame:
+    """Every firing constraint on ``cases (case_id, ruleset_id, text)``, text in guard form.
+
+    Figures are read from a text once; each constraint of the ruleset then looks at these few values, or, for terms
+    the text holds at all, at the sentences that name them.
+    """
+    runnable = constraints.filter(F.col("kind") != "uncompilable").select(
+        *RULE, "ord", "kind", "op", "value", "anchors", F.trim("term").alias("term"), "alt", "label"
+    )
+    read = computed(
+        cases.select("case_id", "ruleset_id", "text"),
+        figure_array(F.col("text"), whole_percent).alias("figures"),
+        F.lower("text").alias("low"),
+    )
+    numeric = F.col("kind").isin("money", "percent")
+    worth = F.when(numeric, F.size("figures") > 0).otherwise(F.contains("low", F.lower("term")))
+    pairs = join_small(read, runnable, ["ruleset_id"]).filter(worth)
+    judged = computed(pairs, F.when(numeric, _figure_hit(F.col("figures"))).otherwise(_term_hit(F.col("text"))).alias("reason"))
+    strong = numeric | ((F.col("kind") == "forbidden") & ~F.coalesce("alt", F.lit(False)))
+    return judged.filter(F.col("reason").isNotNull()).select(
+        *KEY, "ord", F.when(strong, "not_met").otherwise("unclear").alias("verdict"), "reason"
     )
 
 
@@ -340,7 +345,7 @@ def first_hit(hits: DataFrame) -> DataFrame:
 def evaluate_constraints(constraints: DataFrame, cases: DataFrame, whole_percent: bool = True) -> DataFrame:
     """(case, rule, verdict, reason) of the compiled layer; ``text`` is put in guard form first."""
     ready = cases.select("case_id", "ruleset_id", tx.guard_norm("text").alias("text"))
-    return first_hit(eval_numeric(constraints, ready, whole_percent).unionByName(eval_terms(constraints, ready)))
+    return first_hit(eval_constraints(constraints, ready, whole_percent))
 
 
 def generic_hits(rules: DataFrame, cases: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from eviflow.functions import text as tx
 from eviflow.operators import evidence as ec
 from eviflow.operators import feedback as fb
 from eviflow.operators import retrieval as rt
+from eviflow.operators.common import cut
 from eviflow.plans import views as v
-from eviflow.plans.registry import Tables, query
+from eviflow.plans.registry import Tables, query, work_folder
 
 SP = "'^\\s+|\\s+$'"
 
@@ -148,7 +149,8 @@ FROM v_facts f LEFT JOIN v_labels l ON l.case_id = f.case_id AND l.rule_id = f.r
 )
 def baseline_assessment(t: Tables) -> DataFrame:
     """Dossier to verdict without a model: retrieval, facts, judgement, lock, citation, assembly."""
-    hits, chunks, rules = _hits(t), _chunks(t), _rules(t)
+    chunks, rules = _chunks(t), _rules(t)
+    hits = cut(_hits(t), work_folder(t))
     facts = ec.baseline_facts(hits, chunks)
     judged = ec.consistency_lock(ec.clean_judgement(ec.baseline_judgements(facts, _labels(t))))
     judged = judged.join(_case_sets(t), "case_id").withColumn("action", F.lit(None).cast("string"))

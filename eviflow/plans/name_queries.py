@@ -137,9 +137,7 @@ def _parties(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    "screen_cases",
-    v.ctes(
+SCREENED = v.ctes(
         BANNED, ENTRIES,
         body="""
 SELECT p.p_partkey AS case_id, CASE
@@ -148,13 +146,19 @@ SELECT p.p_partkey AS case_id, CASE
     OR p_size > 45 AND exists (SELECT 1 FROM v_wanted e WHERE e.norm = upper(p.p_name)) THEN 'review_strong'
   WHEN p_size > 10 THEN 'other' ELSE 'clear' END AS risk FROM part p
 """,
-    ),
-)
-def screen_cases(t: Tables) -> DataFrame:
-    _, risk = nm.screen_cases(_parties(t), banned(t), _entries(t))
+    )
+
+
+def grouped_risk(risk: DataFrame) -> DataFrame:
+    """Strong, other and no hits; what lies between depends on scores SQL does not have."""
     return risk.select("case_id", F.when(F.col("risk").isin("review", "note_expired"), "other").otherwise(F.col("risk")).alias("risk"))
 
 
+@query("screen_cases", SCREENED)
+def screen_cases(t: Tables) -> DataFrame:
+    return grouped_risk(nm.screen_cases(_parties(t), banned(t), _entries(t))[1])
+
+
 @query(
     "screen_risk",
     v.ctes(
@@ -207,7 +211,22 @@ def registry_status(t: Tables) -> DataFrame:
     return nm.registry_status(_registry(t))
 
 
-@query("name_candidates")
+_R = nm.fv.POSSIBLE_MATCH - nm.ROUNDING
+
+
+@query(
+    "name_candidates",
+    f"""
+WITH n AS (SELECT norm, array_to_string(list_sort(string_split(norm, ' ')), ' ') AS s, length(norm) AS len FROM (SELECT DISTINCT upper(p_name) AS norm FROM part)),
+g AS (SELECT norm, bg, count(*) AS c FROM (SELECT norm, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS bg FROM n) GROUP BY 1, 2),
+o AS (SELECT a.norm AS a, b.norm AS b, sum(least(a.c, b.c)) AS common FROM g a JOIN g b ON a.bg = b.bg GROUP BY 1, 2),
+p AS (SELECT a.norm AS a, b.norm AS b, least(a.len, b.len) >= floor((a.len + b.len) * {_R!r}::DOUBLE / 2)
+    AND coalesce(common, 0) >= greatest(ceil({1.5 * _R - 1!r}::DOUBLE * (a.len + b.len) - 1), 1) AS near,
+  len(list_intersect(string_split(a.norm, ' '), string_split(b.norm, ' ')))::DOUBLE / len(list_distinct(list_concat(string_split(a.norm, ' '), string_split(b.norm, ' ')))) AS j
+  FROM n a CROSS JOIN n b LEFT JOIN o ON o.a = a.norm AND o.b = b.norm)
+SELECT a AS query_id, b AS ord FROM p WHERE near OR 0.55 * j + 0.45 >= {_R!r}::DOUBLE
+""",
+)
 def name_candidates(t: Tables) -> DataFrame:
     """Pairs of different part names that may reach the match threshold."""
     names = t.spread("part").select(tx.name_norm("p_name", exotic=False).alias("norm")).distinct()

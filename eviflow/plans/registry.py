@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,12 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def work_folder(t: Tables) -> str:
+    """A fresh folder under the cluster's checkpoint folder; a local one only where the cluster names none."""
+    root = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="eviflow-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 class Tables:
     """Parquet tables of one folder, opened on first use."""
 

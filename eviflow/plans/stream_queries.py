@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eviflow.plans import name_queries as nq
 from eviflow.plans import text_queries as tq
 from eviflow.plans import views as v
-from eviflow.plans.registry import Tables, query
-from eviflow.session import checkpoint_dir
+from eviflow.plans.registry import Tables, query, work_folder
 from eviflow.sources import readers, writers
 from eviflow.streaming.intake import assess_stream, screen_stream, written_findings
 
 
-def work_folder(t: Tables) -> str:
-    """A fresh folder under the cluster's checkpoint folder; a local one only where the cluster names none."""
-    configured = t.spark.conf.get("spark.checkpoint.dir", None)
-    root = configured or checkpoint_dir(t.spark, tempfile.mkdtemp(prefix="eviflow-"))
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 class StreamedOrders(Tables):
     """The tables of one folder with the orders read as a stream."""
 
@@ -44,7 +33,7 @@ def stream_crosscheck(t: Tables) -> DataFrame:
     return findings.filter(F.col("n_values").isNotNull()).select(*keep)
 
 
-@query("stream_screening")
+@query("stream_screening", nq.SCREENED)
 def stream_screening(t: Tables) -> DataFrame:
     """Parties of the parts screened as they arrive; equals the batch screening."""
     out = work_folder(t)
@@ -57,7 +46,7 @@ def stream_screening(t: Tables) -> DataFrame:
 
     cases = nq._parties(Streamed(t.spark, t.sf_dir))
     screen_stream(cases, nq.banned(t), nq._entries(t), f"{out}/result", f"{out}/state").awaitTermination()
-    return t.spark.read.parquet(f"{out}/result").select("case_id", "n_hits", "risk")
+    return nq.grouped_risk(t.spark.read.parquet(f"{out}/result"))
 
 
 # --- files ---------------------------------------------------------------------------------------

@@ -28,11 +28,3 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
-
-
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared folder the cluster names for checkpoints; ``fallback`` serves tests only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
-    if not folder:
-        raise ValueError("spark.checkpoint.dir is not set")
-    return folder
