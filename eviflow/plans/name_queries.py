@@ -144,19 +144,20 @@ SELECT p.p_partkey AS case_id, CASE
   WHEN p_size > 10 AND (exists (SELECT 1 FROM v_banned b WHERE b.norm2 = upper(p.p_name) AND b.active)
     OR exists (SELECT 1 FROM v_entry e WHERE e.norm = upper(p.p_name) AND e.kind <> 'Entity'))
     OR p_size > 45 AND exists (SELECT 1 FROM v_wanted e WHERE e.norm = upper(p.p_name)) THEN 'review_strong'
-  WHEN p_size > 10 THEN 'other' ELSE 'clear' END AS risk FROM part p
+  WHEN p_size > 10 THEN 'note_expired' ELSE 'clear' END AS risk FROM part p
 """,
     )
 
 
-def grouped_risk(risk: DataFrame) -> DataFrame:
-    """Strong, other and no hits; what lies between depends on scores SQL does not have."""
-    return risk.select("case_id", F.when(F.col("risk").isin("review", "note_expired"), "other").otherwise(F.col("risk")).alias("risk"))
+def exact_risk(cases: DataFrame, hits: DataFrame) -> DataFrame:
+    """Risk from the hits on equal names, which SQL can follow; every searched name leads its list with them."""
+    return nm.screen_risk(cases, hits.filter("score = 1.0")).select("case_id", "risk")
 
 
 @query("screen_cases", SCREENED)
 def screen_cases(t: Tables) -> DataFrame:
-    return grouped_risk(nm.screen_cases(_parties(t), banned(t), _entries(t))[1])
+    cases = _parties(t)
+    return exact_risk(cases, nm.screen_hits(cases, banned(t), _entries(t)))
 
 
 @query(

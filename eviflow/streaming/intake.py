@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eviflow.operators import crosscheck, guards, names
+from eviflow.operators.common import cut
 
 
 def _each_batch(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None], once: bool) -> StreamingQuery:
@@ -28,11 +29,11 @@ def screen_stream(
     checkpoint: str,
     once: bool = True,
 ) -> StreamingQuery:
-    """Screening risk of newly uploaded cases ``(case_id, applicant, org)``, one folder per batch."""
+    """Register hits and screening risk of newly uploaded cases ``(case_id, applicant, org)``, one folder per batch."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        _, risk = names.screen_cases(batch, banned, sanctions)
-        risk.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        hits = cut(names.screen_hits(batch, banned, sanctions), f"{out}/hits/batch={batch_id}")
+        names.screen_risk(batch, hits).write.mode("overwrite").parquet(f"{out}/risk/batch={batch_id}")
 
     return _each_batch(cases, checkpoint, work, once)
 

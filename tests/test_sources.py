@@ -113,5 +113,5 @@ def test_streams_equal_batches(spark, frame, tmp_path):
         (1, "POWER, MAX", "Banned", "1", "", "", "", "")), "2026-01-01")
     none = frame("ord int, " + ", ".join(f"`{c}` string" for c in readers.SANCTION_COLUMNS))
     intake.screen_stream(stream, banned, readers.sanctions_from(none), str(tmp_path / "s"), str(tmp_path / "ck2")).awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "s")), "case_id", "risk") == [("a", "review_strong"), ("b", "clear")]
+    assert rows(spark.read.parquet(str(tmp_path / "s" / "risk")), "case_id", "risk") == [("a", "review_strong"), ("b", "clear")]
     assert tx is not None and F is not None
