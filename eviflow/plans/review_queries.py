@@ -727,7 +727,7 @@ def bias_differences(t: Tables) -> DataFrame:
 TESTSET = """
 v_sets AS (SELECT c_mktsegment AS ruleset_id, CASE WHEN c_mktsegment < 'F' THEN 'target' ELSE 'full' END AS label_scope,
   c_mktsegment <> 'HOUSEHOLD' AS approved, strftime(max(o_orderdate), '%Y-%m-%d') AS generated_at,
-  strftime(min(o_orderdate), '%Y-%m-%d') AS approved_at, 'Olivia' AS approved_by
+  strftime(min(o_orderdate), '%Y-%m-%d') AS approved_at, 'Petra' AS approved_by
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
 v_tcases AS (SELECT c_mktsegment AS ruleset_id, o_orderkey AS case_id,
   CASE WHEN o_orderpriority <> '1-URGENT' THEN 'R1' END AS target,
@@ -751,7 +751,7 @@ def _testset_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
         (F.col("ruleset_id") != "HOUSEHOLD").alias("approved"),
         "generated_at",
         "approved_at",
-        F.lit("Olivia").alias("approved_by"),
+        F.lit("Petra").alias("approved_by"),
     )
     cases = joined.select(
         F.col("c_mktsegment").alias("ruleset_id"),

@@ -35,7 +35,7 @@ def cases(t: Tables) -> DataFrame:
         F.concat(F.lit("R"), F.col("o_custkey") % 7 + 1).alias("spot_rule"),
         F.when(F.col("o_orderpriority") != "1-URGENT", F.substring("o_orderpriority", 1, 1)).alias("spot_answer"),
         F.when(F.col("o_totalprice") > 250000, "2").otherwise("3").alias("spot_ai"),
-        F.when(F.col("o_orderpriority") == "5-LOW", "David Thompson").alias("countersigned_by"),
+        F.when(F.col("o_orderpriority") == "5-LOW", "Hugo Brandt").alias("countersigned_by"),
         F.when(F.col("o_totalprice") > 400000, "fund-a").when(F.col("o_totalprice") > 100000, "fund-b").alias("ruleset_id"),
     )
 
@@ -52,7 +52,7 @@ v_cases AS (
     'R' || CAST(o_custkey % 7 + 1 AS VARCHAR) AS spot_rule,
     CASE WHEN o_orderpriority <> '1-URGENT' THEN substr(o_orderpriority, 1, 1) END AS spot_answer,
     CASE WHEN o_totalprice > 250000 THEN '2' ELSE '3' END AS spot_ai,
-    CASE WHEN o_orderpriority = '5-LOW' THEN 'David Thompson' END AS countersigned_by,
+    CASE WHEN o_orderpriority = '5-LOW' THEN 'Hugo Brandt' END AS countersigned_by,
     CASE WHEN o_totalprice > 400000 THEN 'fund-a' WHEN o_totalprice > 100000 THEN 'fund-b' END AS ruleset_id
   FROM orders)
 """

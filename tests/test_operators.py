@@ -172,17 +172,17 @@ def test_separation_of_duties(spark, frame):
     cases = frame("ruleset_id string, case_id string, target string, target_label_clear boolean, status string", ("s", "A", None, None, "pending_review"), ("s", "B", "R1", False, "needs_review"))
     labels = frame("ruleset_id string, case_id string, rule_id string, truth string, weak boolean, control boolean", ("s", "A", "R1", "met", False, True), ("s", "B", "R1", "not_met", False, False))
     edits = frame("ruleset_id string, case_id string, rule_id string, seq int, action string, by string",
-                  ("s", "B", None, 1, "confirm_target", None), ("s", "B", None, 2, "dispute", "David"), ("s", "A", "R1", 3, "flag_weak", None))
+                  ("s", "B", None, 1, "confirm_target", None), ("s", "B", None, 2, "dispute", "Hugo"), ("s", "A", "R1", 3, "flag_weak", None))
     new_cases, new_labels, _ = cu.apply_edits(cases, labels, edits)
     assert rows(new_cases, "case_id", "status", "target_label_clear") == [("A", "pending_review", False), ("B", "disputed", True)]
     assert rows(new_labels, "case_id", "weak", "control") == [("A", True, False), ("B", False, False)]
-    ask = frame("ruleset_id string, approver string", ("s", "David"), ("s", "Olivia"), ("t", "Olivia"))
+    ask = frame("ruleset_id string, approver string", ("s", "Hugo"), ("s", "Petra"), ("t", "Petra"))
     texts = frame("ruleset_id string, case_id string, text string", ("s", "B", "This violates R1."))
     rules = frame("ruleset_id string, rule_id string", ("s", "R1"))
     report = cu.approval_report(ask, new_cases, edits, texts, rules)
-    assert rows(report, "approver", "outcome") == [("David", "approver_is_reviewer"), ("Olivia", "approved"), ("Olivia", "no_testset")]
+    assert rows(report, "approver", "outcome") == [("Hugo", "approver_is_reviewer"), ("Petra", "approved"), ("Petra", "no_testset")]
     early = cu.approval_report(ask, cases, edits.filter("false"), texts, rules)
-    assert dict(rows(early.filter("ruleset_id = 's'"), "approver", "outcome")) == {"David": "cases_need_review", "Olivia": "cases_need_review"}
+    assert dict(rows(early.filter("ruleset_id = 's'"), "approver", "outcome")) == {"Hugo": "cases_need_review", "Petra": "cases_need_review"}
 
 
 def test_text_gates(spark, frame):
