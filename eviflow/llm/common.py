@@ -48,6 +48,12 @@ def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def packed(docs: DataFrame, *computed) -> DataFrame:
-    """All columns of ``docs`` as one struct ``doc`` beside computed columns, so that no name can clash."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *computed)
+def packed(docs: DataFrame, *computed, carry: list[str] | None = None) -> DataFrame:
+    """The columns of ``docs`` (or those in ``carry``) as one struct ``doc`` beside computed columns, so that no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("doc"), *computed)
+
+
+def word_list(text):
+    """Words (runs of characters other than ASCII white space) of a text column; none for null."""
+    cut = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(cut == "", F.array().cast("array<string>")).otherwise(F.split(cut, r"[\x20\x09-\x0D]+"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eviflow.llm import pieces, simhash, token_files
+from eviflow.llm import language, mixture, pieces, quality_model, quality_rules, sharding, simhash, token_files
 from eviflow.llm.common import work_folder
 from eviflow.session import prepare
 
@@ -29,6 +29,17 @@ def query(name: str, table: str = "documents", sql: str | None = None):
     return wrap
 
 
+@query("op1_mixture")
+def op1(documents, folder):
+    found = mixture.mix(documents, folder, carry=["doc_id"])
+    return found.select("doc.doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op3_sharding")
+def op3(documents, folder):
+    return sharding.placed(documents, shards=40)
+
+
 @query("op4_sentencepiece")
 def op4(documents, folder):
     return pieces.encode(documents, f"{TOKENIZERS}/piece_bpe_32k.model")
@@ -40,6 +51,25 @@ def op5(documents, folder):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op7_quality_rules")
+def op7(documents, folder):
+    found = quality_rules.judged(documents, folder)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op8_token_files")
 def op8(documents, folder):
     return token_files.write_and_read(documents, f"{TOKENIZERS}/word_bpe_49k.json", folder, end_id=1, digest=True)
+
+
+@query("op9_language")
+def op9(documents, folder):
+    return language.identified(documents, folder)
+
+
+def op10(spark, sf_dir):
+    tables = prepare(spark).read
+    return quality_model.scored(tables.parquet(f"{sf_dir}/documents.parquet"), tables.parquet(f"{sf_dir}/labels.parquet"), work_folder(spark))
+
+
+QUERIES["op10_quality_model"] = op10
