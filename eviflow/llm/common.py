@@ -10,9 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eviflow.session import prepare
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def session(spark: SparkSession) -> SparkSession:
+    """The prepared session; Arrow batches hold few rows, as single texts may be long."""
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def work_folder(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share.
 

@@ -20,6 +20,7 @@ encoded alike; other columns are not read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from math import inf
@@ -33,7 +34,7 @@ from eviflow.llm.common import batch_of, binary_text, rows_of
 
 BLANK = "▁"
 WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-CACHED = 400_000
+CACHED = 150_000
 BYTE_WEIGHT = 1e6  # above any path of pieces over one character
 
 
@@ -56,7 +57,8 @@ class Transducer:
         self.longest = max(map(len, self.ids), default=1)
         self.by_word = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.agree: dict[tuple[int | None, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.spelled = [self.octet[i] if i in self.octet else self.text.get(i, "").encode() for i in range(n)]
 
     def normalised(self, text: str) -> str:
         return BLANK + text.replace(" ", BLANK) if text else ""
@@ -154,7 +156,7 @@ class Transducer:
             at = start
         return tuple(reversed(out))
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         words = WORDS.findall(self.normalised(text)) if self.by_word else [self.normalised(text)] * bool(text)
         if len(self.known) > CACHED:
             self.known.clear()
@@ -163,16 +165,25 @@ class Transducer:
         known, out = self.known, []
         for word in words:
             if (ids := known.get(word)) is None:
-                ids = self.shortest(word)
-                if len(word) <= 64:
+                ids = array("i", self.shortest(word)).tobytes()
+                if len(word) <= 64 and len(known) < 2 * CACHED:
                     known[word] = ids
-            out.extend(ids)
-        return out
+            out.append(ids)
+        return np.frombuffer(b"".join(out), dtype=np.int32)
 
     def decode(self, ids) -> str:
-        octet, text = self.octet, self.text
-        joined = b"".join([octet[i] if i in octet else text.get(i, "").encode() for i in ids]).decode("utf-8", "replace")
-        return joined.replace(BLANK, " ")[1:]
+        spelled = self.spelled
+        return b"".join([spelled[i] for i in ids]).decode("utf-8", "replace").replace(BLANK, " ")[1:]
+
+
+_machines: dict[tuple[str, str], Transducer] = {}
+
+
+def machine_of(path: str, kind: str) -> Transducer:
+    """The compiled transducer, kept by a worker from task to task."""
+    if (path, kind) not in _machines:
+        _machines[path, kind] = Transducer(path, kind)
+    return _machines[path, kind]
 
 
 def encode(docs: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
@@ -183,15 +194,15 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        machine = Transducer(path, kind)
+        machine = machine_of(path, kind)
         for batch in batches:
             doc_ids, all_ids, same = [], [], []
             for doc_id, octets in rows_of(batch):
                 text = octets.decode("utf-8", "replace") if octets else ""
                 ids = machine.encode(text)
                 doc_ids.append(doc_id)
-                all_ids.append(np.array(ids, dtype=np.int32))
-                same.append(machine.decode(ids) == text)
+                all_ids.append(ids)
+                same.append(machine.decode(ids.tolist()) == text)
             ends = np.cumsum([0, *map(len, all_ids)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.int32), *all_ids])
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
@@ -206,7 +217,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches):
-        machine = Transducer(path)
+        machine = machine_of(path, "bpe")
         for batch in batches:
             yield batch_of(schema, (batch.column(0), [None if ids is None else machine.decode(ids) for ids in batch.column(1).to_pylist()]))
 

@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eviflow.llm import language, mixture, pieces, quality_model, quality_rules, sharding, simhash, token_files
-from eviflow.llm.common import work_folder
-from eviflow.session import prepare
+from eviflow.llm import language, mixture, pieces, quality_model, quality_rules, sharding, simhash, token_files, vptree
+from eviflow.llm.common import session, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,7 +20,7 @@ def query(name: str, table: str = "documents", sql: str | None = None):
     """Register ``fn(table, folder)``, called with the whole table and a fresh shared folder."""
 
     def wrap(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet"), work_folder(spark))
+        QUERIES[name] = lambda spark, sf_dir: fn(session(spark).read.parquet(f"{sf_dir}/{table}.parquet"), work_folder(spark))
         if sql is not None:
             SQL[name] = sql
         return fn
@@ -35,6 +34,11 @@ def op1(documents, folder):
     return found.select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op2_vptree", table="embeddings")
+def op2(embeddings, folder):
+    return vptree.search(embeddings, k=20, every=20)
+
+
 @query("op3_sharding")
 def op3(documents, folder):
     return sharding.placed(documents, shards=40)
@@ -68,7 +72,7 @@ def op9(documents, folder):
 
 
 def op10(spark, sf_dir):
-    tables = prepare(spark).read
+    tables = session(spark).read
     return quality_model.scored(tables.parquet(f"{sf_dir}/documents.parquet"), tables.parquet(f"{sf_dir}/labels.parquet"), work_folder(spark))
 
 
