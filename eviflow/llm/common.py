@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from eviflow.session import prepare
 
-WORD = r"[^\x20\x09-\x0D]+"
+SPACES = " \t\n\x0b\f\r"
 
 
 def session(spark: SparkSession) -> SparkSession:
@@ -63,5 +63,5 @@ def packed(docs: DataFrame, *computed, carry: list[str] | None = None) -> DataFr
 
 def word_list(text):
     """Words (runs of characters other than ASCII white space) of a text column; none for null."""
-    cut = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    cut = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return F.when(cut == "", F.array().cast("array<string>")).otherwise(F.split(cut, r"[\x20\x09-\x0D]+"))

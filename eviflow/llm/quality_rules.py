@@ -16,13 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eviflow.llm.common import packed, word_list, written
+from eviflow.llm.common import SPACES, packed, word_list, written
 
 WINDOW = 8
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\x0b\f\r"
 
 
 def let(value: Column, body) -> Column:

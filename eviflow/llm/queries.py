@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eviflow.llm import language, mixture, pieces, quality_model, quality_rules, sharding, simhash, token_files, vptree
+from eviflow.llm import language, mixture, pieces, quality_model, quality_rules, sharding, simhash, suffix, token_files, vptree
 from eviflow.llm.common import session, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,11 @@ def op5(documents, folder):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op6_suffix_array")
+def op6(documents, folder):
+    return suffix.dedup(documents, folder, length=50)
+
+
 @query("op7_quality_rules")
 def op7(documents, folder):
     found = quality_rules.judged(documents, folder)
