@@ -18,6 +18,7 @@ SPACES = " \t\n\x0b\f\r"
 def session(spark: SparkSession) -> SparkSession:
     """The prepared session; Arrow batches hold few rows, as single texts may be long."""
     prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return spark
 
 

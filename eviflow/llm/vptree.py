@@ -103,9 +103,6 @@ class Tree:
 
 def shard_search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, relax: float) -> pd.DataFrame:
     """The k best rows of one shard for each query (its own row left out), with exact scores."""
-    columns = ["query_id", "vec_id", "score"]
-    if not len(ids) or not len(query_ids):
-        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})[columns]
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     distinct, point = np.unique(vectors, axis=0, return_inverse=True)
@@ -128,7 +125,7 @@ def shard_search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     row = np.repeat(starts[p], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out = pd.DataFrame({"query_id": query_ids[np.repeat(q, sizes)], "vec_id": ids[by_point[row]], "score": np.repeat(score, sizes)})
     out = out[out["query_id"] != out["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
-    return out.groupby("query_id", sort=False).head(k)[columns]
+    return out.groupby("query_id", sort=False).head(k)[["query_id", "vec_id", "score"]]
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -151,7 +148,9 @@ def search(embeddings: DataFrame, k: int = 20, every: int = 20, relax: float = 1
     asked = rows.filter(F.col("vec_id") % every == 0).select(numbers(shards).alias("shard"), block.alias("block"), length.alias("length"), "vec_id", "v")
 
     def run(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        wide = lambda frame: np.array(frame["v"].tolist(), dtype=np.float64).reshape(len(frame), -1)
+        if points.empty or asked.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        wide = lambda frame: np.array(frame["v"].tolist(), dtype=np.float64)
         return shard_search(points["vec_id"].to_numpy(), wide(points), asked["vec_id"].to_numpy(), wide(asked), k, relax)
 
     key = ["shard", "block", "length"]
