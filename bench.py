@@ -33,6 +33,7 @@ def main() -> None:
     builder = configured(SparkSession.builder.master(f"local[{cpus}]").appName("bench"))
     spark = (
         builder.config("spark.sql.shuffle.partitions", cpus)
+        .config("spark.eviflow.partitions", cpus)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

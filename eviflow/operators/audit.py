@@ -11,6 +11,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,12 @@ HASHED = ["ts", "case_id", "actor", "role", "action", "detail"]
 
 def row_hash(previous: Column) -> Column:
     """SHA-256 over the previous hash and the row's fields, nulls read as empty."""
-    fields = [F.coalesce(F.col(c), F.lit("")) for c in HASHED]
-    return F.sha2(F.concat_ws("|", F.coalesce(previous, F.lit("")), *fields), 256)
+    return F.sha2(F.concat_ws("|", F.coalesce(previous, F.lit("")), hashed_fields()), 256)
+
+
+def hashed_fields() -> Column:
+    """The row's hashed fields in one string, nulls read as empty."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in HASHED])
 
 
 def build_chain(df: DataFrame, chain: str | None = None, seq: str = "seq", heads: DataFrame | None = None) -> DataFrame:
@@ -38,54 +43,66 @@ def build_chain(df: DataFrame, chain: str | None = None, seq: str = "seq", heads
     else:
         work = df.withColumn("_chain", F.col(chain))
     if heads is not None:
-        joined = F.col("_chain").cast("string").alias("_chain_key")
-        start = heads.select((F.lit("0") if chain is None else F.col(chain).cast("string")).alias("_chain_key"),
-                             F.col("hash").alias("_head"))
-        work = work.withColumn("_chain_key", joined).join(start, "_chain_key", "left").drop("_chain_key")
+        start = heads.select((F.lit(0) if chain is None else F.col(chain)).alias("_head_of"), F.col("hash").alias("_head"))
+        work = work.join(start, F.col("_chain").eqNullSafe(F.col("_head_of")), "left").drop("_head_of")
     else:
         work = work.withColumn("_head", F.lit(None).cast("string"))
+    work = work.withColumn("_fields", hashed_fields())
     ordered = work.repartition("_chain").sortWithinPartitions("_chain", seq)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, previous = object(), ""
         for batch in batches:
-            texts = batch[HASHED].astype(object).where(batch[HASHED].notna(), "")
             before, after = [], []
-            for key, head, values in zip(batch["_chain"], batch["_head"], texts.itertuples(index=False)):
+            for key, head, fields in zip(batch["_chain"], batch["_head"], batch["_fields"]):
+                key = None if pd.isna(key) else key
                 if key != current:
                     current, previous = key, head if isinstance(head, str) else fv.CHAIN_GENESIS
                 before.append(previous)
-                previous = hashlib.sha256("|".join((previous, *values)).encode()).hexdigest()
+                previous = hashlib.sha256(f"{previous}|{fields}".encode()).hexdigest()
                 after.append(previous)
-            yield batch.drop(columns=["_chain", "_head"]).assign(prev_hash=before, hash=after)
+            yield batch.drop(columns=["_chain", "_head", "_fields"]).assign(prev_hash=before, hash=after)
 
     return ordered.mapInPandas(link, f"{schema}, prev_hash string, hash string")
 
 
 def build_chain_in_batches(
-    df: DataFrame, folder: str, chain: str | None = None, seq: str = "seq", batch_rows: int = 5_000_000
+    df: DataFrame, folder: str, chain: str | None = "case_id", seq: str = "seq", batch_rows: int = 5_000_000, resume: bool = False
 ) -> DataFrame:
     """Build chains of any length without handing one task more than ``batch_rows`` rows of a chain.
 
-    Batch ``n`` holds rows ``n * batch_rows`` onward of every chain; it is written under ``folder`` before the next
-    one starts from its heads, so a lost executor repeats one batch only. The number of batches is the longest chain
-    divided by ``batch_rows``; logs that fit one batch are built in a single lazy pass.
+    Batch ``n`` holds rows ``n * batch_rows`` onward of every chain; it is written under ``folder`` before the next one
+    starts from its heads, so a lost executor repeats one batch only. A run takes a folder of its own: one that holds
+    batches already is refused, unless ``resume`` is set and goes on after the last finished batch of the same log. One
+    chain over the whole log (``chain=None``) is serial however it is cut, and is refused beyond one batch.
     """
+    spark = df.sparkSession
     keys = [chain] if chain else []
     longest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if longest <= batch_rows:
-        return build_chain(df, chain, seq)
-    spark = df.sparkSession
+    if chain is None and longest > batch_rows:
+        raise ValueError("one chain over the whole log is built by one task; name a chain column")
+    finished = [b["batch"] for b in spark.read.parquet(folder).select("batch").distinct().collect()] if _exists(spark, folder) else []
+    if finished and not resume:
+        raise ValueError(f"{folder} holds batches of an earlier run")
     placed = with_position(df, keys, seq, "_at").withColumn("_batch", F.floor((F.col("_at") - 1) / batch_rows))
-    heads = None
-    for n in range(-(-longest // batch_rows)):
+    for n in range(max(finished, default=-1) + 1, max(1, -(-longest // batch_rows))):
+        heads = None
+        if n:  # a chain that ended in an earlier batch has no head in the last one, and needs none
+            heads = chain_heads(spark.read.parquet(f"{folder}/batch={n - 1}"), chain, seq)
         part = placed.filter(F.col("_batch") == n).drop("_at", "_batch")
         build_chain(part, chain, seq, heads).write.mode("overwrite").parquet(f"{folder}/batch={n}")
-        heads = chain_heads(spark.read.parquet(f"{folder}/batch={n}"), chain, seq)
     return spark.read.parquet(folder).drop("batch")
 
 
+def _exists(spark, folder: str) -> bool:
+    """Has a finished batch been written under ``folder``?"""
+    try:
+        return bool(spark.read.parquet(folder).columns)
+    except AnalysisException:
+        return False
+
+
 def chain_heads(df: DataFrame, chain: str | None = None, seq: str = "seq") -> DataFrame:
     """Last hash per chain."""
     keys = [chain] if chain else []

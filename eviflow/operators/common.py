@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 20_000
-SALTS = 32
-SPREAD_BYTES = 64 * 1024 * 1024
 
 
 def computed(df: DataFrame, *columns: Column) -> DataFrame:
@@ -28,44 +25,21 @@ def cut(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before costly per-row work.
+def first_items(items: Column, limit: int | None) -> Column:
+    """The first ``limit`` items of an array, all of them when it is None."""
+    return items if limit is None else F.slice(items, 1, limit)
 
-    A file of one row group is one task however costly its rows are. Inputs that fill the cores with full partitions
-    by themselves are left alone, so large data is never moved by this.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if not df.isStreaming:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        if size >= cores * SPREAD_BYTES:
-            return df
-    return df.repartition(cores)
-
-
-def within_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Has the frame at most ``limit`` rows? Reads no further than that."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def join_small(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    limit: int = BROADCAST_ROWS,
-    salts: int = SALTS,
-    fits: bool | None = None,
-) -> DataFrame:
-    """Equi-join whose right side is expected small and whose left keys may be skewed.
 
-    The right side is counted first. Within ``limit`` rows it is broadcast; beyond it the left rows are spread over
-    ``salts`` buckets per key and the right side is repeated once per bucket, so a hot key never lands in one task.
-    ``fits`` passes on a bound the caller has already checked.
+def join_keyed(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salts: int | None = None) -> DataFrame:
+    """Equi-join of ``big`` with a side that is expected small.
+
+    Without ``salts`` the join carries no hint: Spark picks it by bytes and splits skewed partitions at run time. With
+    ``salts``, for keys known to be hot, the left rows are spread over that many buckets per key and the right side is
+    repeated once per bucket.
     """
     on = list(on)
-    if within_rows(small, limit) if fits is None else fits:
-        return big.join(F.broadcast(small), on, how)
+    if salts is None:
+        return big.join(small, on, how)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if _hashable(big, c)]), F.lit(salts)))
@@ -111,7 +85,7 @@ def with_previous(
     chain = Window.partitionBy(*keys).orderBy(bucket) if keys else Window.orderBy(bucket)
     ends = ends.withColumn("_before", F.lag("_end").over(chain)).drop("_end")
     local = cut.withColumn("_local", F.lag(packed).over(inside)).withColumn("_n", F.row_number().over(inside))
-    joined = local.join(ends, [*keys, bucket], "left") if keys else local.join(ends, [bucket], "left")
+    joined = _join_null_safe(local, ends, [*keys, bucket], "left")
     previous = F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_local"))
     return joined.select(*df.columns, *[previous[new].alias(new) for new in columns.values()])
 
@@ -130,11 +104,20 @@ def with_position(
     inside = Window.partitionBy(*keys, bucket).orderBy(seq)
     return (
         cut.withColumn("_n", F.row_number().over(inside))
-        .join(counts, [*keys, bucket])
+        .transform(_join_null_safe, counts, [*keys, bucket], "inner")
         .select(*df.columns, (F.col("_n") + F.col("_base")).alias(name))
     )
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Equi-join on keys of which null is a value like any other; the keys come from the left."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}" if c in keys else c) for c in right.columns])
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & F.col(key).eqNullSafe(F.col(f"_r_{key}"))
+    return left.join(named, condition, how).drop(*[f"_r_{key}" for key in keys])
+
+
 def count_where(condition: Column) -> Column:
     return F.count_if(F.coalesce(condition, F.lit(False)))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from eviflow import fixed_values as fv
 from eviflow.functions import text as tx
 from eviflow.operators import segment as sg
-from eviflow.operators.common import computed
+from eviflow.operators.common import computed, first_items
 
 HIGH_CATEGORIES = ["budget_total", "revenue"]
 
@@ -72,7 +72,7 @@ def table_total_array(body: Column, doc: Column) -> Column:
                 "budget_total",
                 tx.parse_money(F.try_element_at(F.regexp_extract_all(r, F.lit(fv.TABLE_MONEY), F.lit(1)), F.lit(-1))),
                 F.concat(doc, F.lit(" · TABLE "), block["number"]),
-                F.substring(tx.collapse_space(r), 1, fv.TABLE_CONTEXT),
+                tx.collapse_space(r),
             ),
         )
 
@@ -140,12 +140,13 @@ def future_date_array(doc: Column, body: Column, as_of: str) -> Column:
     )
 
 
-def date_order_array(doc: Column, body: Column) -> Column:
-    """First start/end year pair of a document whose end lies before its start."""
+def date_order_array(doc: Column, body: Column, limit: int | None = None) -> Column:
+    """Start/end year pairs of a document whose end lies before its start; ``limit`` looks at the first pairs only (one,
+    as published)."""
     found = tx.matches(
         body, fv.START_END, {"whole": 0, "first": 1, "second": 2}, before=fv.CONTEXT_WIDTH, after=fv.CONTEXT_WIDTH
     )
-    wrong = F.filter(F.slice(found, 1, 1), lambda m: m["second"].cast("int") < m["first"].cast("int"))
+    wrong = F.filter(first_items(found, limit), lambda m: m["second"].cast("int") < m["first"].cast("int"))
     return F.transform(
         wrong,
         lambda m: _date_finding(

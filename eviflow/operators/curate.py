@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from eviflow import fixed_values as fv
 from eviflow.functions import text as tx
-from eviflow.operators.common import computed, count_where, join_small, top_k
+from eviflow.operators.common import computed, count_where, first_items, join_keyed, top_k
 
 LABEL = ["ruleset_id", "case_id", "rule_id"]
 CASE = ["ruleset_id", "case_id"]
@@ -43,8 +43,8 @@ def leaked_ids(texts: DataFrame, rules: DataFrame) -> DataFrame:
     tokens = texts.select(
         *CASE, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)))).alias("rule_id")
     )
-    by_word = join_small(tokens, plain, ["ruleset_id", "rule_id"], "left_semi").select(*LABEL)
-    by_pattern = join_small(texts.select(*CASE, "text"), odd, ["ruleset_id"]).filter(
+    by_word = join_keyed(tokens, plain, ["ruleset_id", "rule_id"], "left_semi").select(*LABEL)
+    by_pattern = join_keyed(texts.select(*CASE, "text"), odd, ["ruleset_id"]).filter(
         F.regexp_like("text", pattern)
     ).select(*LABEL)
     return by_word.unionByName(by_pattern)
@@ -118,8 +118,9 @@ def repair_meta(texts: DataFrame, rules: DataFrame, keep: str = "fact") -> DataF
     return base.withColumn("text", F.array_join(rebuilt, "\n")).withColumn("removed", removed).drop("_ids", "_lines", "_marked")
 
 
-def doc_problems(texts: DataFrame) -> DataFrame:
-    """Model talk and abnormal length: up to four phrases and the word count, for texts with a problem."""
+def doc_problems(texts: DataFrame, limit: int | None = None) -> DataFrame:
+    """Model talk and abnormal length: the phrases (``limit``: the first so many; four, as published) and the word count,
+    for texts with a problem."""
     said = F.array_sort(
         F.array_distinct(
             F.transform(
@@ -130,7 +131,7 @@ def doc_problems(texts: DataFrame) -> DataFrame:
     return (
         computed(
             texts,
-            F.array_join(F.slice(said, 1, 4), ", ").alias("phrases"),
+            F.array_join(first_items(said, limit), ", ").alias("phrases"),
             tx.word_count("text").cast("bigint").alias("n_words"),
         )
         .withColumn("abnormal_length", ~F.col("n_words").between(fv.DOC_MIN_WORDS, fv.DOC_MAX_WORDS))
@@ -206,7 +207,7 @@ def label_cases(cases: DataFrame, rules: DataFrame, votes: DataFrame, classes: D
     ``cases (ruleset_id, case_id, target)``. A target all votes deny is clear; on the clean case the rules all votes
     affirm become controls.
     """
-    rows = join_small(cases.select(*CASE, "target"), rules.select("ruleset_id", "rule_id"), ["ruleset_id"])
+    rows = join_keyed(cases.select(*CASE, "target"), rules.select("ruleset_id", "rule_id"), ["ruleset_id"])
     polled = votes.select(
         *LABEL,
         F.forall("votes", lambda v: v == "yes").alias("_yes"),
@@ -231,14 +232,14 @@ def label_cases(cases: DataFrame, rules: DataFrame, votes: DataFrame, classes: D
 
 
 def select_targets(rules: DataFrame, constraints: DataFrame, hand: DataFrame, n: int | None = None) -> DataFrame:
-    """Rules worth a planted violation: those with constraints or a hand guard, first ``n`` in rule order; a ruleset
-    without any takes its first rules. ``rules`` carries ``ord``."""
+    """Rules worth a planted violation: those with constraints or a hand guard, first ``n`` in rule order (None: all); a
+    ruleset without any takes its first ``n`` rules. ``rules`` carries ``ord``."""
     guarded = constraints.select("ruleset_id", "rule_id").union(hand.select("ruleset_id", "rule_id")).distinct()
     good = rules.join(guarded, ["ruleset_id", "rule_id"], "left_semi")
     none = rules.join(good.select("ruleset_id").distinct(), "ruleset_id", "left_anti")
     order = [F.asc("ord"), F.asc("rule_id")]
     picked = good if n is None else top_k(good, ["ruleset_id"], order, n).drop("rank")
-    spare = top_k(none, ["ruleset_id"], order, n or 3).drop("rank")
+    spare = none if n is None else top_k(none, ["ruleset_id"], order, n).drop("rank")
     return picked.unionByName(spare)
 
 
@@ -331,9 +332,13 @@ def confirm_facts(facts: DataFrame, rules: DataFrame, hits: DataFrame) -> DataFr
     them: a guard hit ("code") or votes that all deny the rule ("verifier")."""
     flat = F.regexp_replace(tx.collapse_space(tx.guard_norm("fact")), r'^"+|"+$', "")
     base = facts.withColumn("text", flat)
-    leaks = leak_problems(base, rules).select(*CASE, F.lit(True).alias("_leak")).distinct()
+    # Each fact is judged alone, so it is looked up as a text of its own.
+    fact_id = F.sha2(F.to_json(F.struct(*LABEL, "text")), 256)
+    base = base.withColumn("_fact", fact_id)
+    own = base.select("ruleset_id", F.col("_fact").alias("case_id"), "text").distinct()
+    leaks = leak_problems(own, rules).select("ruleset_id", F.col("case_id").alias("_fact"), F.lit(True).alias("_leak")).distinct()
     fired = hits.select(*LABEL).distinct().withColumn("_hit", F.lit(True))
-    joined = base.join(leaks, CASE, "left").join(fired, LABEL, "left")
+    joined = base.join(leaks, ["ruleset_id", "_fact"], "left").join(fired, LABEL, "left")
     denied = (F.size("votes") > 0) & F.forall("votes", lambda v: v == "no")
     problem = (
         F.when(tx.word_count("text") < 6, "too_short")

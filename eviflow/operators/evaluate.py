@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eviflow import fixed_values as fv
-from eviflow.operators.common import count_where, join_small, ratio
+from eviflow.operators.common import count_where, join_keyed, ratio
 
 KEY = ["case_id", "rule_id"]
 
@@ -106,7 +106,7 @@ def evaluate_testset(pred: DataFrame, testsets: DataFrame, cases: DataFrame, lab
     )
     live = state.filter(~F.col("disputed") & ~F.col("flagged")).select("ruleset_id", "case_id", "target")
     rows = labels.join(live, ["ruleset_id", "case_id"]).join(pred.select(*KEY, "pred"), KEY)
-    rows = join_small(rows, testsets.select("ruleset_id", F.coalesce("label_scope", F.lit("full")).alias("scope")), ["ruleset_id"])
+    rows = join_keyed(rows, testsets.select("ruleset_id", F.coalesce("label_scope", F.lit("full")).alias("scope")), ["ruleset_id"])
     is_target = F.coalesce(F.col("rule_id") == F.col("target"), F.lit(False))
     weak, control = F.coalesce("weak", F.lit(False)), F.coalesce("control", F.lit(False))
     bucket = F.when(
@@ -226,4 +226,4 @@ def testset_status(testsets: DataFrame, cases: DataFrame, labels: DataFrame) ->
         "guard_agree",
     )
     sets = testsets.select("ruleset_id", F.coalesce("approved", F.lit(False)).alias("approved"), "approved_by")
-    return join_small(listed, sets, ["ruleset_id"])
+    return join_keyed(listed, sets, ["ruleset_id"])

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from eviflow import fixed_values as fv
 from eviflow.functions import similarity as sim
 from eviflow.functions import text as tx
+from eviflow.operators.common import first_items
 
 KEY = ["case_id", "rule_id"]
-FACT_LIMIT = 4
 
 
 # --- facts and judgements ------------------------------------------------------------------------
-def clean_facts(df: DataFrame) -> DataFrame:
-    """First four facts ``array<struct<fact, chunk_id, key_phrase>>`` with blanks dropped and chunk ids outside
-    ``hits`` moved to the first hit; coverage defaults to none or partial."""
+def clean_facts(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Facts ``array<struct<fact, chunk_id, key_phrase>>`` with blanks dropped and chunk ids outside
+    ``hits`` moved to the first hit; coverage defaults to none or partial. ``limit`` keeps the first so many (four, as published)."""
     first = F.get("hits", F.lit(0))
-    kept = F.filter(F.slice("facts", 1, FACT_LIMIT), lambda f: F.coalesce(f["fact"], F.lit("")) != "")
+    kept = F.filter(first_items(F.col("facts"), limit), lambda f: F.coalesce(f["fact"], F.lit("")) != "")
     clean = F.transform(
         kept,
         lambda f: F.struct(
@@ -73,8 +73,11 @@ def consistency_lock(df: DataFrame) -> DataFrame:
 
 
 # --- citations -----------------------------------------------------------------------------------
-def best_sentence(df: DataFrame, text: str = "chunk_text", phrase: str = "key_phrase", name: str = "aq") -> DataFrame:
-    """Add the verbatim sentence of ``text`` that fits ``phrase`` best, cut to forty words.
+def best_sentence(
+    df: DataFrame, text: str = "chunk_text", phrase: str = "key_phrase", name: str = "aq", max_words: int | None = None, max_chars: int | None = None
+) -> DataFrame:
+    """Add the verbatim sentence of ``text`` that fits ``phrase`` best; ``max_words`` cuts it (forty, as published) and
+    ``max_chars`` the text that stands in where it has no sentence (200).
 
     A sentence that holds the whole phrase always wins; with exactly one such sentence nothing needs scoring. Only
     the remaining rows reach the similarity UDF, and only with the sentences still in question.
@@ -84,7 +87,7 @@ def best_sentence(df: DataFrame, text: str = "chunk_text", phrase: str = "key_ph
     split = split.withColumn("_pairs", pairs)
     split = split.withColumn("_holding", F.filter("_pairs", lambda p: F.contains(p["norm"], F.col("_p"))))
     direct = (
-        F.when(F.size("_s") == 0, F.substring(text, 1, 200))
+        F.when(F.size("_s") == 0, F.col(text) if max_chars is None else F.substring(text, 1, max_chars))
         .when(F.col("_p") == "", F.get("_s", F.lit(0)))
         .when(F.size("_holding") == 1, F.col("_holding")[0]["raw"])
     )
@@ -95,7 +98,7 @@ def best_sentence(df: DataFrame, text: str = "chunk_text", phrase: str = "key_ph
     options = F.when(ask, F.transform("_open", lambda p: p["norm"]))
     split = split.withColumn("_at", sim.best_match_index(options, F.when(ask, F.col("_p"))))
     chosen = F.coalesce("_direct", F.get(F.col("_open"), F.col("_at"))["raw"])
-    return split.withColumn(name, tx.first_words(chosen, 40)).drop("_s", "_p", "_pairs", "_holding", "_direct", "_open", "_at")
+    return split.withColumn(name, chosen if max_words is None else tx.first_words(chosen, max_words)).drop("_s", "_p", "_pairs", "_holding", "_direct", "_open", "_at")
 
 
 def cite_ok(quote: Column | str, text: Column | str) -> Column:
@@ -218,12 +221,12 @@ def needs_attention(verdict: Column, confidence: Column, ok: Column, guard_actio
     )
 
 
-def assemble_verdicts(judged: DataFrame, citations: DataFrame, hits: DataFrame, levels: DataFrame, rules: DataFrame) -> DataFrame:
+def assemble_verdicts(judged: DataFrame, citations: DataFrame, hits: DataFrame, levels: DataFrame, rules: DataFrame, quote_words: int | None = None) -> DataFrame:
     """Verdict rows from guarded judgements (case, rule, ruleset_id, verdict, confidence, note, action), citations
     (case, rule, aq, chunk_id, cite_ok), guard levels and rule quotes; the first retrieved chunk stands in where
-    nothing was cited."""
+    nothing was cited. ``quote_words`` cuts the rule quotes (45, as published)."""
     first = hits.filter(F.col("rank") == 1).select(*KEY, F.col("chunk_id").alias("_first"))
-    quotes = rules.select("ruleset_id", "rule_id", tx.first_words("quote", 45).alias("rq"))
+    quotes = rules.select("ruleset_id", "rule_id", (F.col("quote") if quote_words is None else tx.first_words("quote", quote_words)).alias("rq"))
     quote = F.coalesce("aq", F.lit(""))
     return (
         judged.join(citations, KEY, "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eviflow import fixed_values as fv
-from eviflow.operators.common import join_small, top_k
+from eviflow.operators.common import first_items, join_keyed, top_k
 
 KEY = ["case_id", "rule_id"]
 
@@ -22,7 +22,7 @@ def feedback_samples(cases: DataFrame, verdicts: DataFrame, rules: DataFrame | N
     joined = kept.join(signed, "case_id")
     if rules is not None:
         quotes = rules.select(F.col("ruleset_id").alias("ruleset"), "rule_id", F.col("quote").alias("rule_quote"))
-        joined = join_small(joined, quotes, ["ruleset", "rule_id"], "left")
+        joined = join_keyed(joined, quotes, ["ruleset", "rule_id"], "left")
     else:
         joined = joined.withColumn("rule_quote", F.lit(""))
     return joined.select(
@@ -44,26 +44,27 @@ def feedback_samples(cases: DataFrame, verdicts: DataFrame, rules: DataFrame | N
 
 def fewshot(feedback: DataFrame, n: int = fv.FEWSHOT_LIMIT, order: str = "ord") -> DataFrame:
     """Last ``n`` overrides with facts per (rule, ruleset), oldest first in ``example_no``."""
-    usable = feedback.filter((F.col("kind") == "override") & (F.size("facts") > 0)).withColumn(
+    usable = feedback.filter((F.col("kind") == "override") & (F.size("facts") > 0) & F.col("final_verdict").isNotNull() & F.col("ai_verdict").isNotNull()).withColumn(
         "ruleset", F.coalesce("ruleset", F.lit(fv.LEGACY_RULESET))
     )
     last = top_k(usable, ["rule", "ruleset"], [F.desc(order)], n)
     return last.withColumn("example_no", (-F.col("rank")).cast("bigint")).drop("rank")
 
 
-def fewshot_lines(examples: DataFrame) -> DataFrame:
-    """One prompt line per example."""
-    facts = F.array_join(F.slice("facts", 1, 3), "; ")
+def fewshot_lines(examples: DataFrame, facts: int | None = None, reason_chars: int | None = None) -> DataFrame:
+    """One prompt line per example; ``facts`` and ``reason_chars`` cut it (3 and 160, as published)."""
+    stated = F.array_join(first_items(F.col("facts"), facts), "; ")
+    reason = F.coalesce("officer_reason", F.lit(""))
     line = F.concat(
-        F.lit('- Facts: "'), facts, F.lit('" -> AI said '), "ai_verdict", F.lit(", but the CORRECT verdict was "),
-        "final_verdict", F.lit(". Officer reason: "), F.substring("officer_reason", 1, 160),
+        F.lit('- Facts: "'), stated, F.lit('" -> AI said '), "ai_verdict", F.lit(", but the CORRECT verdict was "),
+        "final_verdict", F.lit(". Officer reason: "), reason if reason_chars is None else F.substring(reason, 1, reason_chars),
     )
     return examples.select("rule", "ruleset", "example_no", line.alias("line"))
 
 
-def fewshot_block(examples: DataFrame) -> DataFrame:
+def fewshot_block(examples: DataFrame, facts: int | None = None, reason_chars: int | None = None) -> DataFrame:
     """Text block per (rule, ruleset); at most a handful of lines each, as :func:`fewshot` leaves them."""
-    lines = fewshot_lines(examples)
+    lines = fewshot_lines(examples, facts, reason_chars)
     head = "\nPAST OFFICER CORRECTIONS for this rule (learn from them; the officer verdict is ground truth):"
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("example_no", "line"))), lambda e: e["line"])
     return lines.groupBy("rule", "ruleset").agg(F.concat_ws("\n", F.lit(head), F.array_join(ordered, "\n")).alias("block"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from eviflow import fixed_values as fv
 from eviflow.functions import text as tx
-from eviflow.operators.common import computed, count_where, join_small, ratio
+from eviflow.operators.common import computed, count_where, first_items, join_keyed, ratio
 from eviflow.operators.crosscheck import budget_values
 from eviflow.operators.fund_guards import fund_hits
 
@@ -49,11 +49,11 @@ def _only_if(condition: Column, item: Column) -> Column:
     return F.when(condition, F.array(item)).otherwise(_none())
 
 
-def anchor_words(segment: Column) -> Column:
-    """Identifying words of a stretch of the rule, stop words dropped, at most six."""
+def anchor_words(segment: Column, limit: int | None = None) -> Column:
+    """Identifying words of a stretch of the rule, stop words dropped; ``limit`` keeps the first so many (six, as published)."""
     found = F.transform(F.regexp_extract_all(segment, F.lit(fv.ANCHOR_WORD), F.lit(0)), F.lower)
     stop = F.array(*[F.lit(w) for w in fv.STOP_WORDS])
-    return F.slice(F.filter(found, lambda w: ~F.array_contains(stop, w)), 1, fv.ANCHOR_LIMIT)
+    return first_items(F.filter(found, lambda w: ~F.array_contains(stop, w)), limit)
 
 
 def _segment(m: Column) -> Column:
@@ -73,7 +73,7 @@ def money_constraints(quote: Column) -> Column:
         found,
         lambda m: _constraint(
             "money",
-            F.substring(m["whole"], 1, 60),
+            m["whole"],
             op=F.when(m["words"].rlike(fv.MONEY_IS_MIN), "min").otherwise("max"),
             value=tx.parse_digits(m["figure"]),
             anchors=anchor_words(_segment(m)),
@@ -119,14 +119,14 @@ def collapse_conditional(money: Column) -> tuple[Column, Column]:
     return kept, F.concat(admitted("min"), admitted("max"))
 
 
-def range_constraints(quote: Column) -> Column:
-    """Lower and upper bound of the first money range."""
+def range_constraints(quote: Column, limit: int | None = None) -> Column:
+    """Lower and upper bound of every money range, of the first ``limit`` where given (one, as published)."""
     found = tx.matches(
         quote, fv.MONEY_RANGE, {"low": 1, "high": 2}, before=fv.ANCHOR_WINDOW, ahead=fv.ANCHOR_WINDOW
     )
     return F.flatten(
         F.transform(
-            F.slice(found, 1, 1),
+            first_items(found, limit),
             lambda m: F.array(
                 _constraint("money", "lower bound", "min", tx.parse_digits(m["low"]), anchor_words(_segment(m))),
                 _constraint("money", "upper bound", "max", tx.parse_digits(m["high"]), anchor_words(_segment(m))),
@@ -147,7 +147,7 @@ def percent_constraints(quote: Column) -> Column:
         found,
         lambda m: _constraint(
             "percent",
-            F.substring(m["whole"], 1, 60),
+            m["whole"],
             op=F.when(m["words"].rlike(fv.PERCENT_IS_MIN), "min").otherwise("max"),
             value=m["figure"].cast("bigint"),
             anchors=anchor_words(_segment(m)),
@@ -175,11 +175,12 @@ def forbidden_constraints(quote: Column, alt: Column) -> Column:
     return F.transform(found, one)
 
 
-def exclusion_constraints(quote: Column, alt: Column) -> Column:
-    """First eight items of an exclusion list: plain statuses become terms, the rest is admitted as uncompilable."""
+def exclusion_constraints(quote: Column, alt: Column, limit: int | None = None) -> Column:
+    """Items of an exclusion list: plain statuses become terms, the rest is admitted as uncompilable. ``limit`` keeps the
+    first so many (eight, as published)."""
     listing = F.regexp_extract(quote, fv.EXCLUSION_LIST, 1)
     items = F.transform(F.split(listing, fv.EXCLUSION_SPLIT), lambda s: F.regexp_replace(s, fv.EXCLUSION_STRIP, ""))
-    items = F.slice(F.filter(items, lambda s: F.length(s) > 4), 1, 8)
+    items = first_items(F.filter(items, lambda s: F.length(s) > 4), limit)
 
     def one(item):
         conditional = item.rlike(fv.EXCLUSION_CONDITIONAL)
@@ -187,7 +188,7 @@ def exclusion_constraints(quote: Column, alt: Column) -> Column:
         gap = _constraint(
             "uncompilable",
             F.when(conditional, "conditional exclusion").otherwise("complex exclusion"),
-            reason=F.concat(F.lit("exclusion item: "), F.substring(item, 1, 80)),
+            reason=F.concat(F.lit("exclusion item: "), item),
         )
         plain = _constraint("excluded", F.concat(F.lit("excluded: "), core), term=core, alt=alt)
         fits = (F.length(core) > 4) & (F.length(core) < 60)
@@ -327,7 +328,7 @@ def eval_constraints(constraints: DataFrame, cases: DataFrame, whole_percent: bo
     )
     numeric = F.col("kind").isin("money", "percent")
     worth = F.when(numeric, F.size("figures") > 0).otherwise(F.contains("low", F.lower("term")))
-    pairs = join_small(read, runnable, ["ruleset_id"]).filter(worth)
+    pairs = join_keyed(read, runnable, ["ruleset_id"]).filter(worth)
     judged = computed(pairs, F.when(numeric, _figure_hit(F.col("figures"))).otherwise(_term_hit(F.col("text"))).alias("reason"))
     strong = numeric | ((F.col("kind") == "forbidden") & ~F.coalesce("alt", F.lit(False)))
     return judged.filter(F.col("reason").isNotNull()).select(
@@ -368,7 +369,7 @@ def generic_hits(rules: DataFrame, cases: DataFrame) -> DataFrame:
     )
     low = F.col("budget") < F.col("minimum")
     long = F.col("pages") > F.col("limit")
-    return join_small(stated, limits, ["ruleset_id"]).filter(low | long).select(
+    return join_keyed(stated, limits, ["ruleset_id"]).filter(low | long).select(
         *KEY,
         F.lit("not_met").alias("verdict"),
         F.when(low, F.concat(F.lit("budget "), "budget", F.lit(" under minimum "), "minimum"))
@@ -382,7 +383,7 @@ def hand_hits(rules: DataFrame, cases: DataFrame, whole_percent: bool = True) ->
     ready = cases.withColumn("text", tx.guard_norm("text"))
     fund = fund_hits(ready, whole_percent)
     generic = generic_hits(rules, cases).join(fund.select(*KEY), KEY, "left_anti")
-    listed = join_small(fund, rules.select(*RULE).distinct(), RULE, "left_semi")
+    listed = join_keyed(fund, rules.select(*RULE).distinct(), RULE, "left_semi")
     return listed.select(*KEY, "verdict", "reason").unionByName(generic)
 
 
@@ -421,7 +422,7 @@ def decide(verdicts: DataFrame, hits: DataFrame, rules: DataFrame, hand: DataFra
         .when(met, "flag")
         .otherwise("confirm")
     )
-    return join_small(verdicts.join(hits, KEY, "left"), known, RULE, "left").select(
+    return join_keyed(verdicts.join(hits, KEY, "left"), known, RULE, "left").select(
         *verdicts.columns, "source", "reason", action.alias("action")
     )
 

@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from eviflow import fixed_values as fv
 from eviflow.functions import text as tx
 from eviflow.functions.similarity import name_score, token_jaccard
-from eviflow.operators.common import count_where, join_small, top_k
+from eviflow.operators.common import count_where, join_keyed, top_k
 
 ROUNDING = 0.0005
-BROADCAST_LETTERS = 500_000
 # Letters by falling frequency in English names; rarer pieces sort first so that the kept prefix is selective.
 BY_FREQUENCY = " EATIONRSLHDCMUPGYBFWKVJXQZ0123456789"
 RARE_FIRST = "".join(sorted("abcdefghijklmnopqrstuvwxyz0123456789~", reverse=True))
@@ -96,9 +95,6 @@ def name_candidates(queries: DataFrame, register: DataFrame, threshold: float =
     reg = _profile(register.filter(F.length("norm") >= 1), "ord", "norm", threshold)
     right = reg.select(*[F.col(c).alias(f"r_{c}") for c in reg.columns])
 
-    # A name has fewer pieces than letters, so the letters of the register bound what a broadcast would hold.
-    letters = register.agg(F.sum(F.length("norm"))).first()[0] or 0
-    fits = letters <= BROADCAST_LETTERS
     total = F.col("len") + F.col("r_len")
     common = F.size(F.array_intersect("grams", "r_grams"))
     near = (F.least("len", "r_len") >= F.floor(total * r / 2)) & (common >= _shared(r, total))
@@ -108,18 +104,16 @@ def name_candidates(queries: DataFrame, register: DataFrame, threshold: float =
         return F.array_min(F.array_intersect(keys, other)) == F.col("piece")
 
     # Outer generators: a plain one adds a filter on its array that is pushed down and works the profile out again.
-    by_gram = join_small(
+    by_gram = join_keyed(
         q.withColumn("piece", F.explode_outer("gram_keys")),
         right.withColumn("piece", F.explode_outer("r_gram_keys")),
         ["piece"],
-        fits=fits,
     ).filter(near & met_once("gram_keys", "r_gram_keys"))
     jaccard = token_jaccard(F.col("norm"), F.col("r_norm"))
-    by_token = join_small(
+    by_token = join_keyed(
         q.withColumn("piece", F.explode_outer("token_keys")),
         right.withColumn("piece", F.explode_outer("r_token_keys")),
         ["piece"],
-        fits=fits,
     ).filter(~near & (0.55 * jaccard + 0.45 >= r) & met_once("token_keys", "r_token_keys"))
     out = [F.col("id").alias("query_id"), F.col("r_id").alias("ord"), "norm", "r_norm"]
     return by_gram.select(*out).unionByName(by_token.select(*out))
@@ -184,7 +178,7 @@ def match_sanctions(
     hits = best.join(kept, "ref")
     where = F.coalesce(F.nullif("citizenship", F.lit("")), F.nullif("birth", F.lit("")), F.lit(""))
     detail = F.regexp_replace(
-        F.concat_ws(" · ", where, F.substring(F.coalesce("committees", F.lit("")), 1, 60)), r"^[ ·]+|[ ·]+$", ""
+        F.concat_ws(" · ", where, F.coalesce("committees", F.lit(""))), r"^[ ·]+|[ ·]+$", ""
     )
     ranked = top_k(hits, ["query_id"], [F.desc("score"), F.asc("ord")], top)
     return ranked.select(
@@ -202,8 +196,10 @@ def match_sanctions(
     )
 
 
-def lookup_registry(names: DataFrame, registry: DataFrame, tokens: DataFrame, top: int = 5) -> DataFrame:
-    """Registry rows that hold every token (of two letters or more) of a name, the first forty of them scored.
+def lookup_registry(names: DataFrame, registry: DataFrame, tokens: DataFrame, top: int = 5, candidates: int | None = None) -> DataFrame:
+    """Best ``top`` registry rows among those that hold every token (of two letters or more) of a name.
+
+    All of them are scored; ``candidates`` scores only the first so many in register order (forty, as published).
 
     ``registry (ord, abn, name, norm, ...)``, ``tokens (token, ord)``. Each name is looked up through its rarest
     token only, the other tokens are checked on the row, so common words never drive the join.
@@ -218,10 +214,10 @@ def lookup_registry(names: DataFrame, registry: DataFrame, tokens: DataFrame, to
         F.min_by(F.struct("token", "df"), F.struct(F.coalesce("df", F.lit(0)).alias("n"), F.col("token"))).alias("t"),
         F.first("toks").alias("toks"),
     ).filter(F.col("t.df").isNotNull()).select("norm", "toks", F.col("t.token").alias("token"))
-    postings = join_small(tokens, rarest, ["token"], limit=100_000)
+    postings = join_keyed(tokens, rarest, ["token"])
     rows = registry.withColumnRenamed("norm", "r_norm")
     found = postings.join(rows, "ord").filter(F.size(F.array_except("toks", tx.words("r_norm"))) == 0)
-    first = top_k(found, ["norm"], [F.asc("ord")], fv.REGISTRY_CANDIDATES, "_n")
+    first = found if candidates is None else top_k(found, ["norm"], [F.asc("ord")], candidates, "_n")
     hits = first.withColumn("score", name_score("norm", "r_norm")).filter(F.col("score") >= fv.REGISTRY_MATCH)
     ranked = top_k(hits, ["norm"], [F.desc("score"), F.asc("ord")], top)
     return ranked.select("norm", "rank", "abn", "name", "status", "entity_type", "state", "postcode", "score")
@@ -267,6 +263,12 @@ def screen_hits(cases: DataFrame, banned: DataFrame, sanctions: tuple[DataFrame,
     return person.withColumn("party", F.lit("applicant")).unionByName(entity.withColumn("party", F.lit("org"))).drop("norm")
 
 
+def screen_registry(cases: DataFrame, registry: DataFrame, tokens: DataFrame, top: int = 5) -> DataFrame:
+    """Registry rows of every case's organisation: part of the screening report, without weight in its risk."""
+    orgs = cases.select("case_id", tx.name_norm("org").alias("norm"))
+    return orgs.join(lookup_registry(orgs, registry, tokens, top), "norm").drop("norm")
+
+
 def screen_risk(cases: DataFrame, hits: DataFrame) -> DataFrame:
     """Number of hits and risk per case."""
     rolled = hits.groupBy("case_id").agg(
@@ -313,7 +315,7 @@ def coi_reasons(assignments: DataFrame, officers: DataFrame, cases: DataFrame) -
     )
     first = listed.groupBy("officer_norm").agg(F.min_by("affiliations", "ord").alias("affiliations"))
     pairs = assignments.select("case_id", "officer", tx.name_norm("officer").alias("officer_norm"))
-    known = join_small(pairs, first, ["officer_norm"], "left")
+    known = join_keyed(pairs, first, ["officer_norm"], "left")
     ready = cases.select(
         "case_id",
         F.coalesce("org", F.lit("")).alias("org"),
@@ -387,7 +389,7 @@ def officer_roles(names: DataFrame, officers: DataFrame) -> DataFrame:
     first = officers.select(tx.name_norm("name").alias("_norm"), "role", "ord").groupBy("_norm").agg(
         F.min_by("role", "ord").alias("role")
     )
-    return join_small(names.withColumn("_norm", tx.name_norm("name")), first, ["_norm"], "left").drop("_norm")
+    return join_keyed(names.withColumn("_norm", tx.name_norm("name")), first, ["_norm"], "left").drop("_norm")
 
 
 def eligible_reviewers(levels: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eviflow.functions import text as tx
-from eviflow.operators.common import join_small, top_k
+from eviflow.operators.common import join_keyed, top_k
 
 TOKEN = r"(?U)\b\w\w+\b"
 
@@ -62,7 +62,7 @@ def retrieve(chunks: DataFrame, case_sets: DataFrame, rules: DataFrame, k: int =
     weights, idf, norms = tfidf_index(chunks)
     asked = term_counts(rule_query(rules), ["ruleset_id", "rule_id"])
     sets = case_sets.select("case_id", "ruleset_id")
-    wanted = join_small(idf.join(sets, "case_id"), asked, ["ruleset_id", "term"]).select(
+    wanted = join_keyed(idf.join(sets, "case_id"), asked, ["ruleset_id", "term"]).select(
         "case_id", "rule_id", "term", (F.col("tf") * F.col("idf")).alias("q")
     )
     lengths = wanted.groupBy("case_id", "rule_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
@@ -77,7 +77,7 @@ def retrieve(chunks: DataFrame, case_sets: DataFrame, rules: DataFrame, k: int =
         .select("case_id", "rule_id", "chunk_id", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("raw"))
     )
     first = top_k(chunks.select("case_id", "chunk_id"), ["case_id"], [F.asc("chunk_id")], k).drop("rank")
-    blank = join_small(first.join(sets, "case_id"), rules.select("ruleset_id", "rule_id"), ["ruleset_id"]).select(
+    blank = join_keyed(first.join(sets, "case_id"), rules.select("ruleset_id", "rule_id"), ["ruleset_id"]).select(
         "case_id", "rule_id", "chunk_id", F.lit(0.0).alias("raw")
     )
     best = scored.unionByName(blank).groupBy("case_id", "rule_id", "chunk_id").agg(F.max("raw").alias("raw"))
@@ -93,7 +93,7 @@ def retrieve(chunks: DataFrame, case_sets: DataFrame, rules: DataFrame, k: int =
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame:
     """Top ``k`` vectors (case_id, chunk_id, vector) per query (case_id, query_id, query) of the same case by inner
     product. Queries are few per case; they are sent to the vectors when their count allows."""
-    joined = join_small(vectors, queries.select("case_id", "query_id", "query"), ["case_id"])
+    joined = join_keyed(vectors, queries.select("case_id", "query_id", "query"), ["case_id"])
     products = F.zip_with("query", "vector", lambda a, b: a.cast("double") * b.cast("double"))
     scored = joined.select(
         "case_id", "query_id", "chunk_id", F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x).alias("raw")

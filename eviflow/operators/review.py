@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eviflow import fixed_values as fv
 from eviflow.functions import text as tx
-from eviflow.operators.common import count_where, join_small, latest_by_key, ratio, top_k, with_position, with_previous
+from eviflow.operators.common import count_where, join_keyed, latest_by_key, ratio, top_k, with_position, with_previous
 from eviflow.operators.evidence import attestation_found
 
 KEY = ["case_id", "rule_id"]
@@ -105,8 +105,7 @@ def post_audit_candidates(cases: DataFrame, verdicts: DataFrame, post_audit: Dat
 
 
 def post_audit_sample(pool: DataFrame, n: int, seed: int = 0, by_hash: bool = False) -> DataFrame:
-    """``n`` (1 to 20) random rows of the pool; ``by_hash`` makes the draw depend on the keys alone."""
-    n = max(1, min(n, 20))
+    """``n`` random rows of the pool; ``by_hash`` makes the draw depend on the keys alone."""
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), *KEY)) if by_hash else F.rand(seed)
     return pool.orderBy(order, *KEY).limit(n)
 
@@ -121,12 +120,12 @@ def post_audit_stats(cases: DataFrame, verdicts: DataFrame, post_audit: DataFram
     )
 
 
-def latest(df: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """Newest ``n`` rows of the whole frame."""
-    return df.orderBy(*order).limit(n)
+def latest(df: DataFrame, order: list[Column], n: int | None = None) -> DataFrame:
+    """Newest ``n`` rows of the whole frame, all when None."""
+    return df.orderBy(*order) if n is None else df.orderBy(*order).limit(n)
 
 
-def audit_events(audit: DataFrame, case_id: str | None = None, n: int = 500) -> DataFrame:
+def audit_events(audit: DataFrame, case_id: str | None = None, n: int | None = None) -> DataFrame:
     """Newest audit rows, of one case if given."""
     rows = audit if case_id is None else audit.filter(F.col("case_id") == case_id)
     return latest(rows, [F.desc("seq")], n)
@@ -269,7 +268,7 @@ def transition_violations(history: DataFrame, allowed: DataFrame, start: str | N
     reopened = F.col("from_status").isin(fv.SIGNED_OR_LATER) & (F.col("status") == "in_review")
     short = F.length(tx.trim_space(F.coalesce("reason", F.lit("")))) < fv.MIN_REASON
     return (
-        join_small(steps, legal, ["from_status", "status"], "left")
+        join_keyed(steps, legal, ["from_status", "status"], "left")
         .withColumn(
             "problem",
             F.when(F.col("_legal").isNull(), "edge_not_allowed").when(reopened & short, "reason_required"),
@@ -320,23 +319,23 @@ def case_rules(cases: DataFrame, rules: DataFrame, rulesets: DataFrame) -> DataF
     """Rules of each case: those of its locked version, else of its assigned set, else of the default set.
 
     ``cases`` carries ruleset_id and locked_version (null before the first assessment); ``rulesets`` holds one row
-    per (ruleset_id, version) with is_default and is_current flags.
+    per (ruleset_id, version) with is_default and is_current flags. Of several default sets the one of the least id counts.
     """
     current = rulesets.filter("is_current").select("ruleset_id", F.col("version").alias("_current"))
-    default = rulesets.filter("is_default AND is_current").select(F.col("ruleset_id").alias("_default")).limit(1)
+    default = rulesets.filter("is_default AND is_current").agg(F.min("ruleset_id").alias("_default"))
     assigned = (
-        join_small(cases.select("case_id", "ruleset_id", "locked_version").withColumn("_one", F.lit(1)),
+        join_keyed(cases.select("case_id", "ruleset_id", "locked_version").withColumn("_one", F.lit(1)),
                    default.withColumn("_one", F.lit(1)), ["_one"], "left")
         .withColumn("ruleset_id", F.coalesce("ruleset_id", "_default"))
         .drop("_one", "_default")
     )
-    versioned = join_small(assigned, current, ["ruleset_id"], "left").select(
+    versioned = join_keyed(assigned, current, ["ruleset_id"], "left").select(
         "case_id",
         "ruleset_id",
         F.coalesce("locked_version", "_current").alias("version"),
         F.col("locked_version").isNotNull().alias("locked"),
     )
-    return join_small(versioned, rules, ["ruleset_id", "version"])
+    return join_keyed(versioned, rules, ["ruleset_id", "version"])
 
 
 def lock_rulesets(assessments: DataFrame) -> DataFrame:

@@ -107,14 +107,16 @@ def tables_to_pipe(rows: DataFrame) -> DataFrame:
 
 
 def attach_documents(cases: DataFrame, verdicts: DataFrame, attachments: DataFrame) -> tuple[DataFrame, ...]:
-    """Attach one document ``(case_id, name, text)`` per case in this batch.
+    """Attach documents ``(case_id, name, text)`` to cases; several of one case follow each other by ``ord`` where the
+    column is given, else by name and text.
 
     Returns (cases with the document appended and the state reset, verdicts still valid, refused attachments).
     Signed cases and texts under ten words are refused.
     """
     body = tx.trim_space(F.replace("text", F.lit("\r\n"), F.lit("\n")))
+    order = F.col("ord").cast("long") if "ord" in attachments.columns else F.lit(0).cast("long")
     offered = attachments.select(
-        "case_id", F.col("name").alias("_name"), body.alias("_body"), tx.word_count(body).alias("_words")
+        "case_id", order.alias("_ord"), F.col("name").alias("_name"), body.alias("_body"), tx.word_count(body).alias("_words")
     )
     state = cases.select("case_id", "status")
     judged = offered.join(state, "case_id", "left").withColumn(
@@ -123,15 +125,12 @@ def attach_documents(cases: DataFrame, verdicts: DataFrame, attachments: DataFra
         .when(F.col("status").isin(fv.SIGNED_OR_LATER), "signed")
         .when(F.col("_words") < fv.MIN_WORDS["attachment"], "too_short"),
     )
-    accepted = judged.filter(F.col("reason").isNull()).select("case_id", "_name", "_body")
-    hit = F.col("_body").isNotNull()
-    appended = F.concat(
-        F.regexp_replace("text", rf"(?U){tx.SPACE}+$", ""),
-        F.lit("\n\n=== DOCUMENT: "),
-        tx.trim_space("_name"),
-        F.lit(" ===\n\n"),
-        F.col("_body"),
-    )
+    section = F.concat(F.lit("\n\n=== DOCUMENT: "), tx.trim_space("_name"), F.lit(" ===\n\n"), F.col("_body"))
+    # One row per case, or a case would come back once per attachment.
+    sections = F.transform(F.array_sort(F.collect_list(F.struct("_ord", "_name", section.alias("s")))), lambda a: a["s"])
+    accepted = judged.filter(F.col("reason").isNull()).groupBy("case_id").agg(F.array_join(sections, "").alias("_sections"))
+    hit = F.col("_sections").isNotNull()
+    appended = F.concat(F.regexp_replace("text", rf"(?U){tx.SPACE}+$", ""), F.col("_sections"))
     reset = ["officer", "review_started_at", "spot_rule", "spot_answer", "spot_ai"]
     merged = cases.join(accepted, "case_id", "left").select(
         *[

@@ -319,7 +319,7 @@ def approval_report(t: Tables) -> DataFrame:
 v_fact AS (SELECT c.conv_id, c.turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f, role FROM conversations c),
 v_hit AS (SELECT *, len(list_intersect(regexp_extract_all(f, '[\\p{L}\\p{M}\\p{N}_]+'), (SELECT list(rule_id) FROM v_rid))) > 0 AS leak FROM v_fact)""",
         body="""
-SELECT conv_id || '-' || turn AS case_id, CASE WHEN len(string_split(f, ' ')) < 6 THEN 'too_short' WHEN leak THEN 'leak' WHEN role = 'user' THEN 'not_a_violation' END AS problem,
+SELECT conv_id::VARCHAR AS case_id, 'T' || turn AS rule_id, CASE WHEN len(string_split(f, ' ')) < 6 THEN 'too_short' WHEN leak THEN 'leak' WHEN role = 'user' THEN 'not_a_violation' END AS problem,
   CASE WHEN len(string_split(f, ' ')) >= 6 AND NOT leak THEN CASE role WHEN 'assistant' THEN 'code' WHEN 'system' THEN 'verifier' END END AS confirmed_by FROM v_hit
 """,
     ),
@@ -327,11 +327,11 @@ SELECT conv_id || '-' || turn AS case_id, CASE WHEN len(string_split(f, ' ')) <
 def confirm_facts(t: Tables) -> DataFrame:
     """Turns as planted facts: guards fire on the assistant's, the verifiers deny the system's."""
     facts = t.spread("conversations").select(
-        F.lit("en").alias("ruleset_id"), F.concat_ws("-", "conv_id", "turn").alias("case_id"), F.lit("R1").alias("rule_id"), F.col("text").alias("fact"), "role",
+        F.lit("en").alias("ruleset_id"), F.col("conv_id").cast("string").alias("case_id"), F.concat(F.lit("T"), "turn").alias("rule_id"), F.col("text").alias("fact"), "role",
         F.when(F.col("role") == "system", F.array(F.lit("no"), F.lit("no"))).otherwise(F.array(F.lit("no"), F.lit("unclear"))).alias("votes"),
     )
     hits = facts.filter("role = 'assistant'").select("ruleset_id", "case_id", "rule_id")
-    return cu.confirm_facts(facts, _rules(t), hits).select("case_id", "problem", "confirmed_by")
+    return cu.confirm_facts(facts, _rules(t), hits).select("case_id", "rule_id", "problem", "confirmed_by")
 
 
 @query(

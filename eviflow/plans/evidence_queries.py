@@ -163,7 +163,7 @@ def baseline_assessment(t: Tables) -> DataFrame:
 @query(
     "clean_facts",
     f"""
-WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: true)[1:4] AS ls FROM documents),
+WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: true) AS ls FROM documents),
 k AS (SELECT doc_id, list_filter(list_transform(range(1, len(ls) + 1), lambda i: struct_pack(fact := ls[i], n := i)), lambda r: r.fact <> '') AS kept FROM s)
 SELECT doc_id, CASE WHEN len(kept) = 0 THEN 'none' ELSE 'partial' END AS coverage, len(kept)::INTEGER AS n_facts,
   list_aggregate(list_transform(kept, lambda r: CASE WHEN r.n IN (1, 3) THEN r.n ELSE 3 END), 'sum')::BIGINT AS chunk_sum,
@@ -239,10 +239,7 @@ v_s AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_repl
     "best_sentence",
     v.ctes(
         SENTENCE_LIST,
-        body=f"""
-SELECT doc_id, CASE WHEN len(string_split_regex(q, '\\s+')) > 40 THEN array_to_string(string_split_regex(q, '\\s+')[1:40], ' ') || ' ...' ELSE q END AS aq
-FROM (SELECT doc_id, list_filter(ss, lambda s: lower({_ws('s')}) = lower({_ws('coalesce(ss[2], ss[1])')}))[1] AS q FROM v_s)
-""",
+        body=f"""SELECT doc_id, list_filter(ss, lambda s: lower({_ws('s')}) = lower({_ws('coalesce(ss[2], ss[1])')}))[1] AS aq FROM v_s""",
     ),
 )
 def best_sentence(t: Tables) -> DataFrame:
@@ -419,7 +416,7 @@ def feedback_stats(t: Tables) -> DataFrame:
 
 LAST_TWO = """
 v_few AS (SELECT *, row_number() OVER (PARTITION BY rule, ruleset ORDER BY ts DESC, "case" DESC) AS rk FROM (
-  SELECT f.*, v.guard_level FROM v_fb f JOIN v_verdicts v ON v.case_id = f."case" AND v.rule_id = f.rule WHERE kind = 'override' AND v.l_tax > 0))
+  SELECT f.*, v.guard_level FROM v_fb f JOIN v_verdicts v ON v.case_id = f."case" AND v.rule_id = f.rule WHERE kind = 'override' AND v.l_tax > 0 AND f.final_verdict IS NOT NULL AND f.ai_verdict IS NOT NULL))
 """
 
 
@@ -433,12 +430,12 @@ def _examples(t: Tables) -> DataFrame:
         v.V_CASES, v.V_VERDICTS, SAMPLES, LAST_TWO,
         body="""
 SELECT rule, ruleset, -rk AS example_no, '- Facts: "part ' || ord || '; ' || guard_level || '" -> AI said ' || ai_verdict || ', but the CORRECT verdict was '
-  || final_verdict || '. Officer reason: ' || coalesce(officer_reason, '') AS line FROM v_few WHERE rk <= 2 AND final_verdict IS NOT NULL
+  || final_verdict || '. Officer reason: ' || coalesce(officer_reason, '') AS line FROM v_few WHERE rk <= 2
 """,
     ),
 )
 def fewshot(t: Tables) -> DataFrame:
-    return fb.fewshot_lines(_examples(t)).filter(F.col("line").isNotNull())
+    return fb.fewshot_lines(_examples(t))
 
 
 @query(

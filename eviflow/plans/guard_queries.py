@@ -41,7 +41,7 @@ v_quote AS (SELECT *, CASE p_type WHEN 'ECONOMY' THEN 'Applicants made at least
   WHEN 'STANDARD' THEN 'Requests for ' || p_name || ' projects may not exceed $' || money
   WHEN 'PROMO' THEN 'Income share of at least ' || p_size || ' per cent must come from ' || p_name || ' sales' ELSE '' END AS q FROM v_part),
 v_anchor AS (SELECT *, array_to_string(list_filter(list_transform(regexp_extract_all(q, '[A-Za-z][A-Za-z-]{{3,}}'), lambda w: lower(w)),
-  lambda w: NOT list_contains([{STOPS}], w))[1:6], ' ') AS anchors FROM v_quote),
+  lambda w: NOT list_contains([{STOPS}], w)), ' ') AS anchors FROM v_quote),
 v_cons AS (
   SELECT ruleset_id, rule_id, 0 AS ord, 'money' AS kind, 'min' AS op, amount AS value, NULL AS term, 'at least $' || money AS label, anchors FROM v_anchor WHERE p_type = 'ECONOMY'
   UNION ALL SELECT ruleset_id, rule_id, 0, 'money', 'max', amount, NULL, 'may not exceed $' || money, anchors FROM v_anchor WHERE p_type = 'STANDARD'

@@ -71,23 +71,42 @@ def sanctions_register(t: Tables) -> DataFrame:
     return entries.join(first, "ref", "left").withColumn("first_name", F.coalesce("first_name", F.lit("")))
 
 
+# --- match scores in SQL -------------------------------------------------------------------------
+# Block matching: the longest common block of two strings, the earliest in the first and then in the second among
+# equals; then the same left and right of it. A segment of ``n = 0`` is still to be cut, the others are found blocks.
+LONGEST_BLOCK = """list_max(flatten(list_transform(range(1, len(x) + 1), lambda i: list_transform(range(1, len(y) + 1), lambda j:
+  {'n': len(list_filter(range(1, least(len(x) - i + 1, len(y) - j + 1) + 1), lambda k: substr(x, i, k) = substr(y, j, k))), 'i': -i, 'j': -j}))))"""
+SCORES = f"""
+v_sorted AS (SELECT DISTINCT a, b, array_to_string(list_sort(string_split(a, ' ')), ' ') AS p, array_to_string(list_sort(string_split(b, ' ')), ' ') AS q FROM v_ask),
+v_seg AS (
+  SELECT DISTINCT p, q, p AS x, q AS y, 0::BIGINT AS n FROM v_sorted
+  UNION ALL
+  SELECT p, q, c.x, c.y, c.n FROM (SELECT p, q, x, y, {LONGEST_BLOCK} AS m FROM v_seg WHERE n = 0 AND x <> '' AND y <> '') s,
+    unnest([{{'x': substr(x, 1, -m.i - 1), 'y': substr(y, 1, -m.j - 1), 'n': 0}}, {{'x': substr(x, -m.i + m.n), 'y': substr(y, -m.j + m.n), 'n': 0}}, {{'x': '', 'y': '', 'n': m.n}}]) AS u(c)
+  WHERE m.n > 0),
+v_ratio AS (SELECT p, q, 2.0::DOUBLE * sum(n)::DOUBLE / (len(p) + len(q)) AS r FROM v_seg GROUP BY p, q),
+v_overlap AS (SELECT s.*, r, len(list_intersect(string_split(a, ' '), string_split(b, ' ')))::DOUBLE
+  / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))) AS j FROM v_sorted s JOIN v_ratio USING (p, q)),
+v_score AS (SELECT a, b, round(greatest(r, 0.55::DOUBLE * j + 0.45::DOUBLE * r), 3)::DOUBLE AS score FROM v_overlap)
+"""
+ALL_PARTS = "v_ask AS (SELECT a.n AS a, b.n AS b FROM (SELECT DISTINCT upper(p_name) AS n FROM part) a CROSS JOIN (SELECT DISTINCT upper(p_name) AS n FROM part) b)"
+BEST_BANNED = """
+v_bhit AS (SELECT * FROM (SELECT a, name, active, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, active DESC, ord) AS rank
+  FROM v_score JOIN v_banned ON norm2 = b WHERE score >= 0.78) WHERE rank <= 5)
+"""
+
+
 # --- screening -----------------------------------------------------------------------------------
 @query(
     "banned_matches",
     v.ctes(
-        BANNED,
-        body="""
-SELECT norm, CAST(rank AS INTEGER) AS rank, 1.0::DOUBLE AS score, name AS matched_name, active, 'strong' AS strength FROM (
-  SELECT q.norm2 AS norm, b.name, b.active, row_number() OVER (PARTITION BY q.norm2 ORDER BY b.active DESC, b.ord) AS rank
-  FROM (SELECT DISTINCT norm2 FROM v_banned) q JOIN v_banned b ON b.norm2 = q.norm2) WHERE rank <= 5
-  AND norm IN (SELECT norm2 FROM v_banned GROUP BY 1 HAVING count(*) >= 5)
-""",
+        BANNED, ALL_PARTS, SCORES, BEST_BANNED,
+        body="SELECT a AS norm, CAST(rank AS INTEGER) AS rank, score, name AS matched_name, active, CASE WHEN score >= 0.9 THEN 'strong' ELSE 'possible' END AS strength FROM v_bhit",
     ),
 )
 def banned_matches(t: Tables) -> DataFrame:
-    """Part names against the banned register; names held by five rows or more fill their list with exact hits."""
-    many = t.part.groupBy("p_name").agg(F.count("*").alias("n")).filter("n >= 5")
-    names = many.select(tx.name_norm("p_name", exotic=False).alias("norm"))
+    """Every part name against the banned register."""
+    names = t.part.select(tx.name_norm("p_name", exotic=False).alias("norm"))
     return nm.match_banned(names, banned(t)).select("norm", "rank", "score", "matched_name", "active", "strength")
 
 
@@ -106,26 +125,25 @@ def _entries(t: Tables) -> tuple[DataFrame, DataFrame]:
 ENTRIES = """
 v_entry AS (SELECT upper(p_name) AS norm, p_name AS name, min(p_partkey) AS ord, max(p_brand) AS brand,
   CASE WHEN p_type IN ('ECONOMY', 'LARGE') THEN 'Individual' WHEN p_type = 'PROMO' THEN '' ELSE 'Entity' END AS kind FROM part GROUP BY p_name, p_type),
-v_wanted AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY ord) AS rank FROM v_entry WHERE kind <> 'Individual')
+v_ehit AS (SELECT a, e.*, score FROM v_score JOIN v_entry e ON e.norm = b WHERE score >= 0.78)
 """
 
 
 @query(
     "sanctions_matches",
     v.ctes(
-        ENTRIES,
+        ALL_PARTS, SCORES, ENTRIES,
         body="""
-SELECT norm, ord::VARCHAR AS ref, name AS matched_name, kind AS entity_type, 'AU · ' || brand AS detail, CAST(rank AS INTEGER) AS rank FROM v_wanted WHERE rank <= 3
-  AND norm IN (SELECT norm FROM v_wanted GROUP BY 1 HAVING count(*) >= 3)
+SELECT a AS norm, ord::VARCHAR AS ref, name AS matched_name, kind AS entity_type, score, 'AU · ' || brand AS detail, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, ord) AS rank FROM v_ehit WHERE kind <> 'Individual') WHERE rank <= 5
 """,
     ),
 )
 def sanctions_matches(t: Tables) -> DataFrame:
-    """Part names that at least three entries of the wanted kind carry."""
-    wanted = t.part.filter(~F.col("p_type").isin("ECONOMY", "LARGE")).groupBy("p_name").agg(F.countDistinct("p_type").alias("n")).filter("n >= 3")
-    names = wanted.select(tx.name_norm("p_name", exotic=False).alias("norm"))
-    hits = nm.match_sanctions(names, *_entries(t), "Entity", top=3)
-    return hits.select("norm", "ref", "matched_name", "entity_type", "detail", "rank")
+    """Every part name against the sanctions entries of the wanted kind."""
+    names = t.part.select(tx.name_norm("p_name", exotic=False).alias("norm"))
+    hits = nm.match_sanctions(names, *_entries(t), "Entity")
+    return hits.select("norm", "ref", "matched_name", "entity_type", "score", "detail", "rank")
 
 
 def _parties(t: Tables) -> DataFrame:
@@ -138,26 +156,25 @@ def _parties(t: Tables) -> DataFrame:
 
 
 SCREENED = v.ctes(
-        BANNED, ENTRIES,
-        body="""
-SELECT p.p_partkey AS case_id, CASE
-  WHEN p_size > 10 AND (exists (SELECT 1 FROM v_banned b WHERE b.norm2 = upper(p.p_name) AND b.active)
-    OR exists (SELECT 1 FROM v_entry e WHERE e.norm = upper(p.p_name) AND e.kind <> 'Entity'))
-    OR p_size > 45 AND exists (SELECT 1 FROM v_wanted e WHERE e.norm = upper(p.p_name)) THEN 'review_strong'
-  WHEN p_size > 10 THEN 'note_expired' ELSE 'clear' END AS risk FROM part p
+    BANNED, ALL_PARTS, SCORES, BEST_BANNED, ENTRIES,
+    """
+v_bn AS (SELECT a, bool_or(active) AS act, bool_or(active AND score >= 0.9) AS strong FROM v_bhit GROUP BY a),
+v_person AS (SELECT a, max(score) AS top FROM v_ehit WHERE kind <> 'Entity' GROUP BY a),
+v_org AS (SELECT a, max(score) AS top FROM v_ehit WHERE kind <> 'Individual' GROUP BY a)
 """,
-    )
-
-
-def exact_risk(cases: DataFrame, hits: DataFrame) -> DataFrame:
-    """Risk from the hits on equal names, which SQL can follow; every searched name leads its list with them."""
-    return nm.screen_risk(cases, hits.filter("score = 1.0")).select("case_id", "risk")
+    body="""
+SELECT p_partkey AS case_id, CASE WHEN p_size > 10 AND (coalesce(b.strong, false) OR coalesce(s.top, 0) >= 0.9) OR p_size > 45 AND coalesce(o.top, 0) >= 0.9 THEN 'review_strong'
+  WHEN p_size > 10 AND (coalesce(b.act, false) OR s.top IS NOT NULL) OR p_size > 45 AND o.top IS NOT NULL THEN 'review'
+  WHEN p_size > 10 AND b.a IS NOT NULL THEN 'note_expired' ELSE 'clear' END AS risk
+FROM part LEFT JOIN v_bn b ON b.a = upper(p_name) LEFT JOIN v_person s ON s.a = upper(p_name) LEFT JOIN v_org o ON o.a = upper(p_name)
+""",
+)
 
 
 @query("screen_cases", SCREENED)
 def screen_cases(t: Tables) -> DataFrame:
     cases = _parties(t)
-    return exact_risk(cases, nm.screen_hits(cases, banned(t), _entries(t)))
+    return nm.screen_cases(cases, banned(t), _entries(t))[1].select("case_id", "risk")
 
 
 @query(
@@ -191,17 +208,56 @@ def _registry(t: Tables) -> DataFrame:
     )
 
 
+def _companies(t: Tables) -> DataFrame:
+    """Parts as registered companies: the name and a legal form by type."""
+    name = F.concat("p_name", F.when(F.col("p_type") == "ECONOMY", " co").when(F.col("p_type") == "PROMO", " pty ltd").otherwise(" ltd"))
+    return t.part.select(
+        F.col("p_partkey").alias("ord"), F.concat(F.lit("A"), "p_partkey").alias("abn"), name.alias("name"), F.lit("ACT").alias("status"), F.col("p_type").alias("entity_type"),
+        F.lit("NSW").alias("state"), F.lit("2000").alias("postcode"), tx.name_norm(name, exotic=False).alias("norm"),
+    )
+
+
+COMPANIES = """
+v_company AS (SELECT p_partkey AS ord, p_type, upper(p_name) AS a, upper(p_name) || CASE p_type WHEN 'ECONOMY' THEN ' CO' WHEN 'PROMO' THEN ' PTY LTD' ELSE ' LTD' END AS b,
+  p_name || CASE p_type WHEN 'ECONOMY' THEN ' co' WHEN 'PROMO' THEN ' pty ltd' ELSE ' ltd' END AS name FROM part),
+v_ask AS (SELECT DISTINCT a, b FROM v_company)
+"""
+
+
 @query(
     "registry_lookup",
-    "SELECT replace(upper(c_name), '#', ' ') AS norm, 1 AS rank, 'A' || c_custkey AS abn, c_name AS name, 1.0::DOUBLE AS score, c_mktsegment AS entity_type FROM customer",
+    v.ctes(
+        COMPANIES, SCORES,
+        body="""
+SELECT a AS norm, CAST(rank AS INTEGER) AS rank, 'A' || ord AS abn, name, score, p_type AS entity_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, ord) AS rank FROM v_score JOIN v_company USING (a, b) WHERE score >= 0.70) WHERE rank <= 5
+""",
+    ),
 )
 def registry_lookup(t: Tables) -> DataFrame:
-    """Every customer looks itself up; all names share their first word, so the join runs on the number."""
-    reg = _registry(t)
-    found = nm.lookup_registry(reg.select("norm"), reg, nm.registry_tokens(reg))
+    """Every part name in a registry where many companies hold its words."""
+    reg = _companies(t)
+    found = nm.lookup_registry(t.part.select(tx.name_norm("p_name", exotic=False).alias("norm")), reg, nm.registry_tokens(reg))
     return found.select("norm", "rank", "abn", "name", "score", "entity_type")
 
 
+@query(
+    "screen_registry",
+    v.ctes(
+        COMPANIES, SCORES,
+        body="""
+SELECT p.p_partkey AS case_id, CAST(rank AS INTEGER) AS rank, 'A' || ord AS abn, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, ord) AS rank FROM v_score JOIN v_company USING (a, b) WHERE score >= 0.70) h
+JOIN part p ON upper(p.p_name) = h.a WHERE rank <= 5 AND p_size > 45
+""",
+    ),
+)
+def screen_registry(t: Tables) -> DataFrame:
+    """Registry hits of the organisations that the cases name."""
+    reg = _companies(t)
+    return nm.screen_registry(_parties(t), reg, nm.registry_tokens(reg)).select("case_id", "rank", "abn", "score")
+
+
 @query("registry_tokens", "SELECT unnest([CASE WHEN i = 1 THEN 'CUSTOMER' ELSE substr(c_name, 10) END]) AS token, c_custkey AS ord FROM customer, (SELECT unnest([1, 2]) AS i)")
 def registry_tokens(t: Tables) -> DataFrame:
     return nm.registry_tokens(_registry(t))
@@ -252,11 +308,12 @@ def name_overlap(t: Tables) -> DataFrame:
     return pairs.select("a", "b", F.round(nm.token_jaccard(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
-@query("name_scores")
+@query("name_scores", v.ctes(ALL_PARTS, SCORES, body="SELECT a, b, score FROM v_score WHERE list_has_any(string_split(a, ' '), string_split(b, ' '))"))
 def name_scores(t: Tables) -> DataFrame:
-    """Scores of part names against names of the same ending."""
-    names = t.spread("part").select(tx.name_norm("p_name", exotic=False).alias("norm")).distinct().withColumn("w", F.substring_index("norm", " ", -1))
-    pairs = names.select(F.col("norm").alias("a"), "w").join(names.select(F.col("norm").alias("b"), "w"), "w")
+    """Scores of part names against all names that share a word."""
+    names = t.spread("part").select(tx.name_norm("p_name", exotic=False).alias("norm")).distinct()
+    words = names.select("norm", F.explode(tx.words("norm")).alias("w"))
+    pairs = words.select(F.col("norm").alias("a"), "w").join(words.select(F.col("norm").alias("b"), "w"), "w").select("a", "b").distinct()
     return pairs.select("a", "b", name_score("a", "b").alias("score"))
 
 

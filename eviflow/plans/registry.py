@@ -8,11 +8,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eviflow.operators.common import spread
 from eviflow.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+PARTITIONS = "spark.eviflow.partitions"
 
 
 def query(name: str, sql: str | None = None):
@@ -28,8 +28,13 @@ def query(name: str, sql: str | None = None):
 
 
 def work_folder(t: Tables) -> str:
-    """A fresh folder under the cluster's checkpoint folder; a local one only where the cluster names none."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="eviflow-")
+    """A fresh folder under the cluster's checkpoint folder; a temporary one on a local master that names none."""
+    root = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="eviflow-")
+        t.spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -43,5 +48,8 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
-        """A table for costly per-row work, over all cores also when its file is small."""
-        return spread(getattr(self, name))
+        """A table for costly per-row work. Where the session asks for it (``spark.eviflow.partitions``, for test data
+        whose files are single row groups), it is dealt over that many partitions; clusters leave it unset."""
+        wanted = self.spark.conf.get(PARTITIONS, None)
+        table = getattr(self, name)
+        return table.repartition(int(wanted)) if wanted else table

@@ -175,7 +175,7 @@ def post_audit_candidates(t: Tables) -> DataFrame:
     "post_audit_sample",
     _view(
         v.V_CASES, v.V_VERDICTS, v.V_POST, ELIGIBLE, CANDIDATES,
-        body="SELECT * FROM v_pool ORDER BY md5('11|' || case_id || '|' || rule_id), case_id, rule_id LIMIT 20",
+        body="SELECT * FROM v_pool ORDER BY md5('11|' || case_id || '|' || rule_id), case_id, rule_id LIMIT 50",
     ),
 )
 def post_audit_sample(t: Tables) -> DataFrame:

@@ -260,9 +260,12 @@ def _attachments(t: Tables) -> DataFrame:
         v.V_CASES,
         ATTACH,
         body="""
-SELECT c.case_id, CASE WHEN a.words >= 10 AND c.status <> 'signed' THEN 'new' ELSE c.status END AS status,
-  CASE WHEN a.words >= 10 AND c.status <> 'signed' THEN NULL ELSE c.officer END AS officer,
-  'form of ' || c.applicant || CASE WHEN a.words >= 10 AND c.status <> 'signed' THEN chr(10) || chr(10)
+SELECT c.case_id, CASE WHEN (a.words >= 10 OR c.case_id % 3 = 0) AND a.words IS NOT NULL AND c.status <> 'signed' THEN 'new' ELSE c.status END AS status,
+  CASE WHEN (a.words >= 10 OR c.case_id % 3 = 0) AND a.words IS NOT NULL AND c.status <> 'signed' THEN NULL ELSE c.officer END AS officer,
+  'form of ' || c.applicant
+    || CASE WHEN a.words IS NOT NULL AND c.case_id % 3 = 0 AND c.status <> 'signed' THEN chr(10) || chr(10)
+    || '=== DOCUMENT: Annex ===' || chr(10) || chr(10) || trim(repeat('due ', a.words + 10)) ELSE '' END
+    || CASE WHEN a.words >= 10 AND c.status <> 'signed' THEN chr(10) || chr(10)
     || '=== DOCUMENT: Receipt ===' || chr(10) || chr(10) || trim(repeat('paid ', a.words)) ELSE '' END AS text
 FROM v_cases c LEFT JOIN v_attach a ON a.case_id = c.case_id
 """,
@@ -270,7 +273,12 @@ FROM v_cases c LEFT JOIN v_attach a ON a.case_id = c.case_id
 )
 def attach_documents(t: Tables) -> DataFrame:
     cases = v.cases(t).withColumn("text", F.concat(F.lit("form of "), "applicant"))
-    merged, _, _ = sg.attach_documents(cases, v.verdicts(t), _attachments(t))
+    receipts = _attachments(t)
+    annexes = receipts.filter("case_id % 3 = 0").select(
+        "case_id", F.lit("Annex").alias("name"), F.regexp_replace(F.concat("text", F.repeat(F.lit("paid "), F.lit(10))), "paid", "due").alias("text")
+    )
+    both = receipts.withColumn("ord", F.lit(2)).unionByName(annexes.withColumn("ord", F.lit(1)))
+    merged, _, _ = sg.attach_documents(cases, v.verdicts(t), both)
     return merged.select("case_id", "status", "officer", "text")
 
 

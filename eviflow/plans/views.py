@@ -15,7 +15,7 @@ AS_OF = "2001-06-30"
 
 
 def ctes(*views: str, body: str) -> str:
-    return "WITH " + ",\n".join(v.strip() for v in views) + "\n" + body.strip()
+    return "WITH RECURSIVE " + ",\n".join(v.strip() for v in views) + "\n" + body.strip()
 
 
 # --- cases and verdicts --------------------------------------------------------------------------

@@ -26,7 +26,7 @@ def spark_session(threads: str = "8"):
 
     from eviflow.session import configured
 
-    builder = configured(SparkSession.builder.master(f"local[{threads}]")).config("spark.sql.shuffle.partitions", "8")
+    builder = configured(SparkSession.builder.master(f"local[{threads}]")).config("spark.sql.shuffle.partitions", "8").config("spark.eviflow.partitions", threads)
     builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("OFF")

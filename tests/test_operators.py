@@ -1,4 +1,6 @@
 import hashlib
+import os
+import shutil
 from difflib import SequenceMatcher
 
 import pytest
@@ -45,10 +47,44 @@ def test_verify_finds_edits_and_deletions(spark, frame, width):
 
 def test_chain_in_batches(spark, frame, tmp_path):
     whole = rows(au.build_chain(log(frame)), "seq", "hash")
-    parts = au.build_chain_in_batches(log(frame), str(tmp_path / "chain"), batch_rows=9)
-    assert rows(parts, "seq", "hash") == whole
-    per_case = rows(au.build_chain(log(frame), "actor"), "seq", "hash")
-    assert rows(au.build_chain_in_batches(log(frame), str(tmp_path / "c2"), "actor", batch_rows=9), "seq", "hash") == per_case
+    assert rows(au.build_chain_in_batches(log(frame), str(tmp_path / "one"), chain=None), "seq", "hash") == whole
+    with pytest.raises(ValueError):
+        au.build_chain_in_batches(log(frame), str(tmp_path / "long"), chain=None, batch_rows=9)
+    folder = str(tmp_path / "chain")
+    per_case = rows(au.build_chain(log(frame), "case_id"), "seq", "hash")
+    assert rows(au.build_chain_in_batches(log(frame), folder, "case_id", batch_rows=3), "seq", "hash") == per_case
+    # A second run does not mix with the first; a resumed one goes on from what is there.
+    with pytest.raises(ValueError):
+        au.build_chain_in_batches(log(frame).limit(5), folder, "case_id", batch_rows=3)
+    last = max(p for p in os.listdir(folder) if p.startswith("batch="))
+    shutil.rmtree(f"{folder}/{last}")
+    assert rows(au.build_chain_in_batches(log(frame), folder, "case_id", batch_rows=3, resume=True), "seq", "hash") == per_case
+
+
+def test_chain_of_numbered_cases(spark, frame):
+    built = au.build_chain(log(frame).withColumn("case_id", F.col("seq") % 3), "case_id")
+    assert all(r.ok for r in au.verify_chain(built, "case_id").collect())
+
+
+def test_each_fact_is_judged_alone(spark, frame):
+    facts = frame(
+        "ruleset_id string, case_id string, rule_id string, fact string, votes array<string>",
+        ("s", "c", "R1", "this sentence names R99 as its own rule", ["no"]), ("s", "c", "R2", "this sentence names nothing of the kind here", ["no"]),
+    )
+    rules = frame("ruleset_id string, rule_id string", ("s", "R99"))
+    done = cu.confirm_facts(facts, rules, facts.limit(0)).select("rule_id", "problem", "confirmed_by")
+    assert rows(done) == [("R1", "leak", None), ("R2", None, "verifier")]
+
+
+def test_nothing_is_cut_by_default(spark, frame):
+    facts = [(f"fact {i}", 1, "k") for i in range(9)]
+    df = frame("facts array<struct<fact:string,chunk_id:int,key_phrase:string>>, hits array<int>, coverage string", (facts, [1], None))
+    assert len(ec.clean_facts(df).first().facts) == 9 and len(ec.clean_facts(df, limit=4).first().facts) == 4
+    pool = spark.range(60).select(F.col("id").alias("case_id"), F.lit("R").alias("rule_id"))
+    assert rv.post_audit_sample(pool, 45).count() == 45
+    long = " ".join(f"word{i}" for i in range(90)) + "."
+    quote = frame("chunk_text string, key_phrase string", (long, "word3 word4"))
+    assert ec.best_sentence(quote).first().aq == long and len(ec.best_sentence(quote, max_words=40).first().aq.split()) == 41
 
 
 def test_previous_and_position_over_buckets(spark, frame):
@@ -94,13 +130,13 @@ def test_best_sentence(spark, frame):
     text = "The budget is fixed. The budget for pumps is $10,000 here. The budget for pumps is $10,000. Grain is sold. " + "word " * 60 + "end."
     parts = ["The budget is fixed.", "The budget for pumps is $10,000 here.", "The budget for pumps is $10,000.", "Grain is sold.", ("word " * 60 + "end.")]
     phrases = ["budget for pumps", "grain was solt", "nothing like it", "GRAIN  is", "the budget is"]
-    got = {r.key_phrase: r.aq for r in ec.best_sentence(frame("key_phrase string, chunk_text string", *[(p, text) for p in phrases])).collect()}
+    got = {r.key_phrase: r.aq for r in ec.best_sentence(frame("key_phrase string, chunk_text string", *[(p, text) for p in phrases]), max_words=40).collect()}
     for p in phrases:
         want = best(parts, p).split()
         assert got[p] == (" ".join(want) if len(want) <= 40 else " ".join(want[:40]) + " ...")
     edge = ec.best_sentence(frame("key_phrase string, chunk_text string", ("", text), (None, text), ("x", "  ")))
     assert [r.aq for r in edge.collect()] == ["The budget is fixed.", "The budget is fixed.", "  "]
-    long = ec.best_sentence(frame("key_phrase string, chunk_text string", ("word word end", text))).first().aq
+    long = ec.best_sentence(frame("key_phrase string, chunk_text string", ("word word end", text)), max_words=40).first().aq
     assert long.endswith(" ...") and ec.cite_ok(F.lit(long), F.lit(text)) is not None
 
 
@@ -215,6 +251,6 @@ def test_fewshot_block(spark, frame):
         "ord int, rule string, ruleset string, kind string, facts array<string>, ai_verdict string, final_verdict string, officer_reason string",
         *[(i, "R1", None, "override", [f"f{i}", "g", "h", "i"], "met", "not_met", "z" * 200) for i in range(4)], (9, "R1", None, "override", [], "met", "met", ""),
     )
-    block = fb.fewshot_block(fb.fewshot(feedback)).first()
+    block = fb.fewshot_block(fb.fewshot(feedback), facts=3, reason_chars=160).first()
     assert block.ruleset == "nsf-22-586" and block.block.index("f2; g; h") < block.block.index("f3; g; h") and "z" * 161 not in block.block
     assert "f1;" not in block.block and not block.block.count("; i")

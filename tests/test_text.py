@@ -132,3 +132,12 @@ def test_attach(spark, frame):
     assert rows(merged, "case_id", "status", "officer") == [("a", "new", None), ("b", "signed", "o"), ("c", "new", "o")]
     assert rows(valid) == [("b", "R1")]
     assert rows(refused, "case_id", "reason") == [("b", "signed"), ("c", "too_short"), ("z", "unknown_case")]
+
+
+def test_attach_several_to_one_case(spark, frame):
+    cases = frame("case_id string, status string, text string, officer string", ("a", "new", "form", "o"))
+    ten = ("w " * 10).strip()
+    docs = frame("case_id string, ord int, name string, text string", ("a", 2, "B", ten), ("a", 1, "C", ten), ("a", 3, "A", "short"))
+    merged, _, refused = sg.attach_documents(cases, frame("case_id string, rule_id string", ("a", "R")), docs)
+    assert [r.text for r in merged.collect()] == [f"form\n\n=== DOCUMENT: C ===\n\n{ten}\n\n=== DOCUMENT: B ===\n\n{ten}"]
+    assert refused.count() == 1
