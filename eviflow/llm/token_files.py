@@ -12,8 +12,9 @@ documents are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,15 @@ from pyspark.sql import functions as F
 from eviflow.llm.common import batch_of, binary_text, rows_of, written
 
 BLOCK_IDS = 1 << 18
-CACHED_UNITS = 400_000
+CACHED = 400_000
+GROUP_CHARS = 1 << 20
+#: Units on which the tokenizer's steps are these only (fixed values of its pattern): no normal form changes printable
+#: ASCII and these letters, lower-casing is per character, and the cut is at the ends of letter runs, digits and others.
+PLAIN = re.compile("[!-~À-ÖØ-öø-įĲ-ſ]*")
+TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+#: The byte-level spelling: printable Latin-1 stands for itself, the rest follows from U+0100 on.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELLED = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(SHOWN)))}
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8)
 MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 BLOCKS = "part int, seq int, n_ids long, doc_ids binary, null_ids binary, lengths binary, control binary, data binary"
@@ -51,49 +60,97 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return loads[start] & MASKS[code] if n else np.zeros(0, dtype=np.uint32)
 
 
-def encoder(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches of (doc_id, text bytes) to batches of (doc_id, ids as little-endian 32-bit integers).
+class Encoder:
+    """Ids of texts by the tokenizers library, each distinct part of a text encoded once.
 
-    The tokenizer drops white space and joins nothing across it, so that texts are cut at blanks and line ends and
-    each distinct piece is encoded once per cache; the cache is emptied when it holds ``CACHED_UNITS`` pieces.
+    The tokenizer drops white space and joins nothing across it, so texts are cut at blanks and line ends; plain units
+    are cut further where the tokenizer's own pattern cuts them. Both caches are emptied when they are full.
     """
 
-    def run(batches):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer, known = Tokenizer.from_file(path), {}
-        end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            ids, out = [], []
-            for doc_id, text in rows_of(batch):
-                units = text.decode("utf-8", "replace").replace("\n", " ").split(" ") if text else []
-                new = [u for u in set(units) if u not in known]
-                if new:
-                    if len(known) > CACHED_UNITS:
-                        known.clear()
-                        new = list(set(units))
-                    known.update(zip(new, (np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-                ids.append(doc_id)
-                out.append(b"".join([known[u] for u in units]) + end)
-            yield batch_of(IDS, (ids, out))
-
-    return run
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.dtype = id_type(path)
+        self.units: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
+
+    def of_token(self, token: str) -> bytes:
+        """Ids of one token of the plain cut, by the tokenizer's own model over its spelling of bytes."""
+        spelled = token if token.isascii() else token.encode().decode("latin-1").translate(SPELLED)
+        return np.array([t.id for t in self.model.tokenize(spelled)], dtype=self.dtype).tobytes()
+
+    def learn(self, units: set[str]) -> None:
+        """Encode new units; any but plain ones take all steps of the library."""
+        tokens = self.tokens
+        for unit in units:
+            if PLAIN.fullmatch(unit) and "<|" not in unit:
+                own = []
+                for token in TOKENS.findall(unit.lower()):
+                    if (ids := tokens.get(token)) is None:
+                        if len(tokens) >= CACHED:
+                            tokens.clear()
+                        ids = self.of_token(token)
+                        if len(token) <= 64:
+                            tokens[token] = ids
+                    own.append(ids)
+                self.units[unit] = b"".join(own)
+            else:
+                self.units[unit] = np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text; a few texts are cut at a time, so that their new units are learned together."""
+        group, held = [], 0
+        for text in [*texts, None]:
+            if text is not None:
+                group.append(text.replace("\n", " ").split(" "))
+                held += len(text)
+                if held < GROUP_CHARS:
+                    continue
+            seen = set().union(*group)
+            new = seen - self.units.keys()
+            if len(self.units) + len(new) > CACHED:
+                self.units.clear()
+                new = seen
+            self.learn(new)
+            known = self.units.__getitem__
+            yield from (b"".join(map(known, units)) for units in group)
+            group, held = [], 0
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def id_type(path: str) -> str:
+    """Two bytes for ids of a vocabulary that they can hold, else four."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() < 1 << 16 else "<u4"
 
 
 def encoded(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
-    """(doc_id, ids) of every document, ids as little-endian unsigned 32-bit integers with the end id last."""
+    """(doc_id, ids) of every document, ids as little-endian unsigned integers of :func:`id_type` with the end id last."""
+
+    def run(batches):
+        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))  # kept by a worker from task to task
+        end = np.array([end_id], dtype=encoder.dtype).tobytes()
+        for batch in batches:
+            texts = [text.decode("utf-8", "replace") if text else "" for text in batch.column(1).to_pylist()]
+            yield batch_of(IDS, (batch.column(0), [ids + end for ids in encoder.encode(texts)]))
+
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text().alias("text"))
-    return picked.mapInArrow(encoder(path, end_id), "doc_id long, ids binary")
+    return picked.mapInArrow(run, "doc_id long, ids binary")
 
 
-def ranks(ids: DataFrame) -> DataFrame:
+def ranks(ids: DataFrame, dtype: str) -> DataFrame:
     """(id, n, rank) of every id used: rank 0 is the most frequent, ties go to the smaller id. At most a vocabulary."""
 
     def counts(batches):
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                more = np.bincount(np.frombuffer(value, dtype="<u4"), minlength=len(total))
+                more = np.bincount(np.frombuffer(value, dtype=dtype), minlength=len(total))
                 more[: len(total)] += total
                 total = more
         used = np.flatnonzero(total)
@@ -103,14 +160,15 @@ def ranks(ids: DataFrame) -> DataFrame:
     return summed.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1)
 
 
-def blocks(ids: DataFrame, rank_of: dict[int, int], parts: int, block_ids: int = BLOCK_IDS) -> DataFrame:
+def blocks(ids: DataFrame, dtype: str, rank_of: dict[int, int], parts: int, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Rows of (doc_id, ids) to coded blocks in ascending doc_id order; ``rank_of`` is one entry per vocabulary id."""
     table = np.zeros(max(rank_of, default=0) + 1, dtype=np.uint32)
     table[list(rank_of)] = list(rank_of.values())
+    width = np.dtype(dtype).itemsize
 
     def block(part, seq, docs, values):
-        lengths = np.array([len(v) // 4 for v in values], dtype="<i8")
-        control, data = encode_values(table[np.frombuffer(b"".join(values), dtype="<u4")])
+        lengths = np.array([len(v) // width for v in values], dtype="<i8")
+        control, data = encode_values(table[np.frombuffer(b"".join(values), dtype=dtype)])
         nulls = np.array([d is None for d in docs], dtype=np.uint8)
         numbers = np.array([d or 0 for d in docs], dtype="<i8")
         return part, seq, int(lengths.sum()), numbers.tobytes(), nulls.tobytes(), lengths.tobytes(), control, data
@@ -123,7 +181,7 @@ def blocks(ids: DataFrame, rank_of: dict[int, int], parts: int, block_ids: int =
             for part, doc_id, value in rows_of(batch):
                 docs.append(doc_id)
                 values.append(value)
-                held += len(value) // 4
+                held += len(value) // width
                 if held >= block_ids:
                     done.append(block(part, seq, docs, values))
                     seq, docs, values, held = seq + 1, [], [], 0
@@ -173,8 +231,9 @@ def write_and_read(docs: DataFrame, path: str, folder: str, end_id: int = 1, dig
     """Encode ``docs``, write the rank table and the files under ``folder``, and return the documents read from them."""
     spark = docs.sparkSession
     ids = written(encoded(docs, path, end_id), folder, "ids")
-    table = written(ranks(ids), folder, "ranks")
+    dtype = id_type(path)
+    table = written(ranks(ids, dtype), folder, "ranks")
     pairs = [(r["id"], r["rank"]) for r in table.select("id", "rank").collect()]  # at most one row per vocabulary entry
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    files = written(blocks(ids, dict(pairs), parts), folder, "blocks")
+    files = written(blocks(ids, dtype, dict(pairs), parts), folder, "blocks")
     return decoded(with_starts(files), {rank: i for i, rank in pairs}, digest)
