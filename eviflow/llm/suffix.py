@@ -2,7 +2,7 @@
 
 A byte goes if it is covered by a string of ``length`` bytes (a window) that also starts in a document with a smaller
 doc_id. Equal windows are adjacent in the order of all suffixes, so suffixes are sorted and neighbours' prefixes compared.
-The sort is dealt over the cluster by content: a window's anchor is its least 16-byte hash (leftmost among equals), so
+The sort is dealt over the cluster by content: a window's anchor is its least 24-byte hash (leftmost among equals), so
 equal windows have equal anchors, and suffixes are dealt by the hash at their anchor.
 
 1. Documents are packed into blocks of about ``BLOCK_BYTES``; a block lists its anchors.
@@ -10,8 +10,9 @@ equal windows have equal anchors, and suffixes are dealt by the hash at their an
 3. A block sends, once each, the distinct byte strings ("snippets") that its other anchors' windows cover, with the
    smallest doc_id that holds each. A hash in over ``hot_blocks`` blocks has its windows sent one by one, dealt by
    their own hash, so a passage that a third of the corpus shares meets in many tasks, and never more than once a block.
-4. Each task sorts its snippets' suffixes (``dc3``), compares neighbours over ``length`` bytes and finds the smallest
-   doc_id of each class of windows; a bit per window goes back to the blocks, which remove the bytes.
+4. A snippet that is the only one of its anchor hash shares no window with another. Each task sorts the suffixes of its
+   other snippets (``dc3``), compares neighbours over ``length`` bytes and finds the smallest doc_id of each class of
+   windows; a bit per window goes back to the blocks, which remove the bytes.
 
 Defined cases: a null text is empty; texts shorter than ``length`` keep all; documents with equal doc_id don't remove
 each other's bytes, nor do those with a null doc_id, which counts as the largest; an empty table gives no rows; with
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from eviflow.llm.common import batch_of, binary_text, rows_of, written
 from eviflow.llm.dc3 import ranks
 
-BLOCK_BYTES = 1 << 20
-GRAM = 16
+BLOCK_BYTES = 4 << 20
+GRAM = 24
 SEGMENT = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
@@ -64,19 +65,17 @@ def words_at(text: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(text: np.ndarray) -> np.ndarray:
-    """Hash of the 16 bytes from every position."""
+    """Hash of the ``GRAM`` bytes from every position."""
     w = words_at(text)
-    return mixed(w[:-8], w[8:])
+    n = max(len(text) - GRAM + 1, 0)
+    return mixed(mixed(w[:n], w[8 : n + 8]), w[16 : n + 16])
 
 
-def anchors(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: (first window, number of windows, anchor, anchor hash); no run spans two documents."""
-    places, low_bits = [], np.uint64((1 << 20) - 1)
-    hashes_all = []
-    wide = length - GRAM + 1
+def anchors(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: (first window, number of windows, anchor); no run spans two documents."""
+    low_bits, wide, runs = np.uint64((1 << 20) - 1), length - GRAM + 1, []
     for at in range(0, max(len(text) - length + 1, 0), SEGMENT):
-        part = text[at : at + SEGMENT + length - 1]
-        hashes = gram_hashes(part)
+        hashes = gram_hashes(text[at : at + SEGMENT + length - 1])
         # The hash's upper bits with the position below: the least value is the leftmost least hash.
         value = hashes & ~low_bits | np.arange(len(hashes), dtype=np.uint64)
         span = 1
@@ -85,25 +84,20 @@ def anchors(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
             span *= 2
         if span < wide:
             value = np.minimum(value[: len(value) - (wide - span)], value[wide - span :])
-        found = (value & low_bits).astype(np.int64)
-        places.append(found + at)
-        hashes_all.append(hashes[found])
-    place = np.concatenate([np.zeros(0, np.int64), *places])
-    hash_ = np.concatenate([np.zeros(0, np.uint64), *hashes_all])
-    window = np.arange(len(place))
-    whole = np.zeros(len(place), dtype=bool)
-    starts = np.r_[0, ends[:-1]]
-    step = np.zeros(len(place) + 1, dtype=np.int64)
-    fits = ends - starts >= length
-    np.add.at(step, starts[fits], 1)
-    np.add.at(step, np.minimum(ends[fits] - length + 1, len(place)), -1)
-    whole = np.cumsum(step[:-1]) > 0
-    place, hash_, window = place[whole], hash_[whole], window[whole]
-    new = np.r_[True, (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)][: len(place)]
-    # Two documents' windows can be neighbours only through a gap of length - 1, so runs never span two.
-    first = np.flatnonzero(new)
-    count = np.diff(np.r_[first, len(place)])
-    return window[first], count, place[first], hash_[first]
+        place = (value & low_bits).astype(np.int64)
+        for end in ends[np.searchsorted(ends, at, "right") : np.searchsorted(ends, at + len(place) + length)].tolist():
+            place[max(end - length + 1 - at, 0) : end - at] = -1  # windows that leave their document
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        count = np.diff(np.r_[first, len(place)])
+        whole = place[first] >= 0
+        runs.append(np.stack([first[whole] + at, count[whole], place[first][whole] + at]))
+    first, count, place = np.concatenate([np.zeros((3, 0), np.int64), *runs], axis=1)
+    # A run cut by the end of a segment is made whole.
+    joined = np.flatnonzero((place[1:] == place[:-1]) & (first[1:] == first[:-1] + count[:-1])) + 1
+    count[joined - 1] += count[joined]
+    keep = np.ones(len(first), dtype=bool)
+    keep[joined] = False
+    return first[keep], count[keep], place[keep]
 
 
 def packed_blocks(docs: DataFrame, length: int, carry: bool) -> DataFrame:
@@ -116,7 +110,7 @@ def packed_blocks(docs: DataFrame, length: int, carry: bool) -> DataFrame:
     def block(ids, texts, others):
         text = b"".join(texts)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        first, count, place, _ = anchors(np.frombuffer(text, dtype=np.uint8), np.cumsum(sizes), length)
+        first, count, place = anchors(np.frombuffer(text, dtype=np.uint8), np.cumsum(sizes), length)
         sink = pa.BufferOutputStream()
         if others:
             table = pa.Table.from_batches(others)
@@ -163,7 +157,9 @@ class Block:
         self.ends = np.cumsum(self.sizes)
         place = self.first + np.frombuffer(_unzip(place), dtype="<u4")
         words = np.ndarray(max(len(self.text) - 7, 1), dtype="<u8", buffer=self.octets + b"\0" * 8, strides=(1,))
-        self.hash = mixed(words[place], words[place + 8]) if len(place) else np.zeros(0, np.uint64)
+        # Anchors are small hashes: mixed once more, they spread evenly over the parts.
+        gram = mixed(mixed(words[place], words[place + 8]), words[place + 16]) if len(place) else np.zeros(0, np.uint64)
+        self.hash = mixed(gram, gram)
         self.doc = self.ids[np.searchsorted(self.ends, self.first, "right")]
 
     def local(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +183,8 @@ def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def hash_rows(blocks: DataFrame, parts: int) -> DataFrame:
-    """(part, block, hashes): each block's distinct anchor hashes by part."""
+    """(part, block, hashes): each block's distinct anchor hashes by part, their lower halves (a chance agreement only
+    makes a candidate more)."""
     schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary())])
 
     def run(batches):
@@ -196,7 +193,7 @@ def hash_rows(blocks: DataFrame, parts: int) -> DataFrame:
                 distinct = Block(*arrays).local()[0]
                 part = part_of(distinct, parts)
                 cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
-                own = [distinct[a:b].tobytes() for a, b in zip(cut, np.r_[cut[1:], len(part)], strict=True)]
+                own = [distinct[a:b].astype("<u4").tobytes() for a, b in zip(cut, np.r_[cut[1:], len(part)], strict=True)]
                 yield batch_of(schema, (part[cut], np.full(len(cut), block), own))
 
     return blocks.select("block", *RUNS).mapInArrow(run, "part long, block long, hashes binary")
@@ -207,8 +204,8 @@ def shared_hashes(rows: DataFrame, hot_blocks: int) -> DataFrame:
     schema = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("codes", pa.binary())])
 
     def finish(part, blocks, values):
-        lengths = [len(v) // 8 for v in values]
-        all_ = np.frombuffer(b"".join(values), dtype=np.uint64)
+        lengths = [len(v) // 4 for v in values]
+        all_ = np.frombuffer(b"".join(values), dtype="<u4")
         ordered = np.sort(all_)
         n = np.searchsorted(ordered, all_, "right") - np.searchsorted(ordered, all_, "left")
         codes = (n > 1).astype(np.uint8) + (n > hot_blocks)
@@ -234,7 +231,7 @@ def shared_hashes(rows: DataFrame, hot_blocks: int) -> DataFrame:
 def snippets(joined: DataFrame, length: int, parts: int) -> DataFrame:
     """Per block: ``found`` (runs or windows that may repeat: first window, number of windows, snippet, in its smallest
     document) and ``sent``, its distinct snippets by part with the smallest doc_id of each."""
-    sent = pa.struct([("part", pa.int64()), ("sizes", pa.binary()), ("octets", pa.binary()), ("docs", pa.binary())])
+    sent = pa.struct([("part", pa.int64()), ("sizes", pa.binary()), ("octets", pa.binary()), ("docs", pa.binary()), ("keys", pa.binary())])
     schema = pa.schema([("block", pa.int64()), ("found", pa.binary()), ("sent", pa.list_(sent))])
 
     def one(block, codes, arrays):
@@ -243,7 +240,7 @@ def snippets(joined: DataFrame, length: int, parts: int) -> DataFrame:
         flag = np.frombuffer(b"".join(_unzip(c["codes"]) for c in sorted(codes or [], key=lambda c: c["part"])), dtype=np.uint8)
         code = np.maximum(flag, several)[which] if len(which) else np.zeros(0, np.uint8)
         at = np.flatnonzero(code == 1)
-        first, count, route, doc = b.first[at], b.count[at], part_of(b.hash[at], parts), b.doc[at]
+        first, count, hashes, doc = b.first[at], b.count[at], b.hash[at], b.doc[at]
         hot = np.flatnonzero(code == 2)
         if len(hot):
             n = b.count[hot]
@@ -253,23 +250,24 @@ def snippets(joined: DataFrame, length: int, parts: int) -> DataFrame:
             for k in range(8, length - 8, 8):
                 mix = mixed(mix, words[windows + k])
             first, count = np.r_[first, windows], np.r_[count, np.ones(len(windows), np.int64)]
-            route, doc = np.r_[route, part_of(mix, parts)], np.r_[doc, np.repeat(b.doc[hot], n)]
+            hashes, doc = np.r_[hashes, mix], np.r_[doc, np.repeat(b.doc[hot], n)]
         octets, number = b.octets, {}
         texts = [octets[a : a + c] for a, c in zip(first.tolist(), (count + length - 1).tolist(), strict=True)]
         entry = np.array([number.setdefault(t, len(number)) for t in texts], dtype=np.int64)
         least = np.full(len(number), NO_ID)
         np.minimum.at(least, entry, doc)
-        where = np.zeros(len(number), dtype=np.int64)
-        where[entry] = route
+        key = np.zeros(len(number), dtype=np.uint64)
+        key[entry] = hashes
+        where = part_of(key, parts)
         order = np.argsort(where, kind="stable")  # snippets are sent, and answered, in the order of their parts
         back = np.empty(len(order), dtype=np.int64)
         back[order] = np.arange(len(order))
         distinct = list(number)
         distinct = [distinct[i] for i in order.tolist()]
-        where, least_sent = where[order], least[order]
+        where, least_sent, key = where[order], least[order], key[order].astype("<u4")
         cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1]][: len(where)]).tolist()
         out = [
-            {"part": int(where[x]), "sizes": np.array([len(t) for t in distinct[x:y]], dtype="<u4").tobytes(), "octets": _zip(b"".join(distinct[x:y])), "docs": least_sent[x:y].tobytes()}
+            {"part": int(where[x]), "sizes": _zip(np.array([len(t) for t in distinct[x:y]], dtype="<u4").tobytes()), "octets": _zip(b"".join(distinct[x:y])), "docs": _zip(least_sent[x:y].tobytes()), "keys": key[x:y].tobytes()}
             for x, y in zip(cut, [*cut[1:], len(distinct)], strict=True)
         ]
         found = _zip(np.stack([first, count, back[entry] if len(entry) else entry, doc == least[entry] if len(entry) else entry]).astype("<i4").tobytes())
@@ -281,26 +279,42 @@ def snippets(joined: DataFrame, length: int, parts: int) -> DataFrame:
                 yield batch_of(schema, [[x] for x in one(block, codes, arrays)])
 
     picked = joined.select("block", *RUNS, "codes")
-    return picked.mapInArrow(run, "block long, found binary, sent array<struct<part:long,sizes:binary,octets:binary,docs:binary>>")
+    return picked.mapInArrow(run, "block long, found binary, sent array<struct<part:long,sizes:binary,octets:binary,docs:binary,keys:binary>>")
 
 
-def class_bits(sizes: np.ndarray, octets: bytes, docs: np.ndarray, length: int) -> np.ndarray:
-    """Per window of each snippet in turn: does its string also start in a document smaller than the snippet's own?"""
-    text = np.frombuffer(octets, dtype=np.uint8)
+def class_bits(sizes: np.ndarray, octets: bytes, docs: np.ndarray, keys: np.ndarray, length: int) -> np.ndarray:
+    """Per window of each snippet in turn: does its string also start in a document smaller than the snippet's own?
+
+    ``keys``: equal for snippets that can share a window.
+    """
     ends = np.cumsum(sizes)
     cuts = np.r_[0, ends].tolist()
     number: dict[bytes, int] = {}
     which = np.array([number.setdefault(octets[a:b], len(number)) for a, b in zip(cuts, cuts[1:], strict=False)], dtype=np.int64)
     least = np.full(len(number), NO_ID)
     np.minimum.at(least, which, docs)
-    distinct = b"".join(number)
-    own_sizes = np.array([len(t) for t in number], dtype=np.int64)
-    own_starts = np.cumsum(own_sizes) - own_sizes
-    n = own_sizes - length + 1
-    owner = np.repeat(np.arange(len(n)), n)
+    n = np.array([len(t) for t in number], dtype=np.int64) - length + 1
     begin = np.cumsum(n) - n
-    window = own_starts[owner] + np.arange(len(owner)) - begin[owner]
-    text = np.frombuffer(distinct, dtype=np.uint8)
+    of = np.repeat(least, n)
+    key = np.zeros(len(number), dtype=np.uint32)
+    key[which] = keys
+    _, group, members = np.unique(key, return_inverse=True, return_counts=True)
+    several = members[group] > 1
+    at = np.flatnonzero(several[np.repeat(np.arange(len(n)), n)])  # windows whose class is to be found
+    if len(at):
+        of[at] = _least_of_classes(b"".join([t for t, m in zip(number, several.tolist(), strict=True) if m]), n[several], least[several], length)
+    counts = sizes - length + 1
+    row = np.repeat(np.arange(len(sizes)), counts)
+    at = begin[which][row] + np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
+    return of[at] < docs[row]
+
+
+def _least_of_classes(octets: bytes, n: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+    """Per window of snippets with ``n`` windows each: the smallest doc_id that holds its string."""
+    starts = np.cumsum(n + length - 1) - (n + length - 1)
+    owner = np.repeat(np.arange(len(n)), n)
+    window = starts[owner] + np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
+    text = np.frombuffer(octets, dtype=np.uint8)
     order = np.argsort(ranks(text.astype(np.int64) + 1, length)[window], kind="stable")
     # Neighbours in suffix order: the same string if their first ``length`` bytes agree.
     words = words_at(text)
@@ -313,10 +327,7 @@ def class_bits(sizes: np.ndarray, octets: bytes, docs: np.ndarray, length: int)
     smallest = np.minimum.reduceat(least[owner[order]], new)
     of = np.empty(len(a), dtype=np.int64)
     of[order] = np.repeat(smallest, np.diff(np.r_[new, len(a)]))
-    counts = sizes - length + 1
-    row = np.repeat(np.arange(len(sizes)), counts)
-    at = begin[which][row] + np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
-    return of[at] < docs[row]
+    return of
 
 
 def answers(sent: DataFrame, length: int) -> DataFrame:
@@ -324,9 +335,10 @@ def answers(sent: DataFrame, length: int) -> DataFrame:
     schema = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
 
     def finish(part, held):
-        sizes = [np.frombuffer(s, dtype="<u4").astype(np.int64) for _, s, _, _ in held]
-        docs = np.concatenate([np.frombuffer(d, dtype=np.int64) for _, _, _, d in held])
-        bits = class_bits(np.concatenate(sizes), b"".join(_unzip(o) for _, _, o, _ in held), docs, length)
+        sizes = [np.frombuffer(_unzip(s), dtype="<u4").astype(np.int64) for _, s, _, _, _ in held]
+        docs = np.concatenate([np.frombuffer(_unzip(d), dtype=np.int64) for _, _, _, d, _ in held])
+        keys = np.concatenate([np.frombuffer(k, dtype="<u4") for _, _, _, _, k in held])
+        bits = class_bits(np.concatenate(sizes), b"".join(_unzip(o) for _, _, o, _, _ in held), docs, keys, length)
         cuts = np.cumsum([0, *[int((s - length + 1).sum()) for s in sizes]])
         own = [_zip(np.packbits(bits[a:b]).tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
         return batch_of(schema, ([h[0] for h in held], [part] * len(held), np.diff(cuts), own))
@@ -334,16 +346,16 @@ def answers(sent: DataFrame, length: int) -> DataFrame:
     def run(batches):
         now, held = None, []
         for batch in batches:
-            for block, part, sizes, octets, docs in rows_of(batch):
+            for block, part, *arrays in rows_of(batch):
                 if part != now and held:
                     yield finish(now, held)
                     held = []
                 now = part
-                held.append((block, sizes, octets, docs))
+                held.append((block, *arrays))
         if held:
             yield finish(now, held)
 
-    rows = sent.select("block", F.explode("sent").alias("s")).select("block", "s.part", "s.sizes", "s.octets", "s.docs")
+    rows = sent.select("block", F.explode("sent").alias("s")).select("block", "s.part", "s.sizes", "s.octets", "s.docs", "s.keys")
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "block long, part long, n long, bits binary")
 
 
