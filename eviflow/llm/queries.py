@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eviflow.llm import language, mixture, pieces, quality_model, quality_rules, sharding, simhash, suffix, token_files, vptree
+from eviflow.llm import language, mixture, oracles, pieces, quality_model, quality_rules, sharding, simhash, suffix, token_files, vptree
 from eviflow.llm.common import session, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,12 +34,12 @@ def op1(documents, folder):
     return found.select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
-@query("op2_vptree", table="embeddings")
+@query("op2_vptree", table="embeddings", sql=oracles.NEAREST)
 def op2(embeddings, folder):
     return vptree.search(embeddings, k=20, every=20)
 
 
-@query("op3_sharding")
+@query("op3_sharding", sql=oracles.sharding_sql())
 def op3(documents, folder):
     return sharding.placed(documents, shards=40)
 
@@ -55,12 +55,12 @@ def op5(documents, folder):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@query("op6_suffix_array")
+@query("op6_suffix_array", sql=oracles.suffix_sql())
 def op6(documents, folder):
     return suffix.dedup(documents, folder, length=50)
 
 
-@query("op7_quality_rules")
+@query("op7_quality_rules", sql=oracles.QUALITY)
 def op7(documents, folder):
     found = quality_rules.judged(documents, folder)
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
