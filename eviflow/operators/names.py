@@ -306,64 +306,70 @@ def screening_sources(banned: DataFrame, sanctions: DataFrame, registry: DataFra
 
 # --- conflict of interest ------------------------------------------------------------------------
 def coi_reasons(assignments: DataFrame, officers: DataFrame, cases: DataFrame) -> DataFrame:
-    """(case_id, officer, ord, level, reason) for assignments (case_id, officer): one row per finding.
+    """(case_id, officer, ord, level, reason, detail, score) for assignments (case_id, officer): one row per finding.
 
-    Only assigned pairs are looked at. Affiliations are few per officer; texts are normalised once per case.
+    Only assigned pairs are looked at. A case's text is normalised once and asked for all names in one pass; each
+    distinct pair of names is scored once.
     """
-    listed = officers.select(
-        tx.name_norm("name").alias("officer_norm"), "ord", F.transform("affiliations", lambda a: a).alias("affiliations")
-    )
-    first = listed.groupBy("officer_norm").agg(F.min_by("affiliations", "ord").alias("affiliations"))
+    parts = officers.select(tx.name_norm("name").alias("officer_norm"), "ord", F.posexplode_outer("affiliations").alias("pos", "affiliation"))
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "affiliation", tx.name_norm("affiliation").alias("norm")))
+    listed = parts.withColumn("entry", entry).groupBy("officer_norm", "ord").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+    first = listed.groupBy("officer_norm").agg(F.min_by("entries", "ord").alias("entries"))
     pairs = assignments.select("case_id", "officer", tx.name_norm("officer").alias("officer_norm"))
     known = join_keyed(pairs, first, ["officer_norm"], "left")
-    ready = cases.select(
-        "case_id",
-        F.coalesce("org", F.lit("")).alias("org"),
-        tx.name_norm("org").alias("org_norm"),
-        F.coalesce("applicant", F.lit("")).alias("applicant"),
-        tx.name_norm("applicant").alias("applicant_norm"),
-        tx.name_norm("text").alias("text_norm"),
-    )
-    joined = known.join(ready, "case_id")
-    out = ["case_id", "officer"]
-
-    by_aff = joined.filter(F.col("affiliations").isNotNull()).select(
-        *out, "org", "org_norm", "text_norm", F.posexplode("affiliations").alias("pos", "affiliation")
-    )
-    by_aff = by_aff.withColumn("aff_norm", tx.name_norm("affiliation")).withColumn(
-        "score", name_score("aff_norm", "org_norm")
+    parties = [
+        F.coalesce("org", F.lit("")).alias("org"), tx.name_norm("org").alias("org_norm"),
+        F.coalesce("applicant", F.lit("")).alias("applicant"), tx.name_norm("applicant").alias("applicant_norm"),
+    ]
+    entries = F.coalesce("entries", F.array().cast("array<struct<pos:int,affiliation:string,norm:string>>"))
+
+    names = known.join(cases.select("case_id", *parties), "case_id")
+    met = F.concat(
+        F.transform(entries, lambda e: F.struct(e["norm"].alias("a"), F.col("org_norm").alias("b"))),
+        F.array(F.struct(F.col("officer_norm").alias("a"), F.col("applicant_norm").alias("b"))),
     )
-    org_level = F.when(F.col("org") == "", None).when(F.col("score") >= fv.ORG_BLOCK, "block").when(
-        F.col("score") >= fv.ORG_WARN, "warn"
+    scores = names.select(F.inline(met)).distinct().withColumn("score", name_score("a", "b"))
+
+    def probe(kind, ord_, detail, a=None, b=None, in_text=None):
+        return F.struct(
+            F.lit(kind).alias("kind"), ord_.cast("int").alias("ord"), detail.alias("detail"),
+            F.lit(None).cast("string").alias("a") if a is None else a.alias("a"),
+            F.lit(None).cast("string").alias("b") if b is None else b.alias("b"),
+            F.lit(False).alias("in_text") if in_text is None else in_text.alias("in_text"),
+        )
+
+    late, officer, text = 1_000_000, F.col("officer"), F.col("text_norm")
+    affiliated = F.transform(
+        entries, lambda e: probe("affiliation", e["pos"] * 2, e["affiliation"], e["norm"], F.col("org_norm"), (e["norm"] != "") & F.contains(text, e["norm"]))
     )
-    same_org = by_aff.withColumn("level", org_level).filter(F.col("level").isNotNull()).select(
-        *out, (F.col("pos") * 2).alias("ord"), "level",
-        F.when(F.col("level") == "block", "affiliation_matches_org").otherwise("affiliation_resembles_org").alias("reason"),
-        F.col("affiliation").alias("detail"), "score",
+    single = F.array(
+        F.when(F.col("entries").isNull(), probe("unknown", F.lit(late), officer)),
+        F.when(F.col("applicant") != "", probe("applicant", F.lit(late + 1), F.col("applicant"), F.col("officer_norm"), F.col("applicant_norm"))),
+        F.when((F.col("officer_norm") != "") & F.contains(text, F.col("officer_norm")), probe("mention", F.lit(late + 2), officer)),
     )
-    in_text = by_aff.filter(
-        (F.col("aff_norm") != "") & F.contains("text_norm", "aff_norm") & (F.col("score") < fv.ORG_WARN)
-    ).select(
-        *out, (F.col("pos") * 2 + 1).alias("ord"), F.lit("warn").alias("level"),
-        F.lit("affiliation_in_text").alias("reason"), F.col("affiliation").alias("detail"), "score",
+    full = known.join(cases.select("case_id", *parties, tx.name_norm("text").alias("text_norm")), "case_id")
+    probes = full.select("case_id", "officer", "org", F.inline(F.concat(affiliated, F.filter(single, lambda p: p.isNotNull()))))
+    judged = probes.join(scores, ["a", "b"], "left")
+    kind, score = F.col("kind"), F.col("score")
+    by_org = (kind == "affiliation") & (F.col("org") != "")
+    reason = (
+        F.when(by_org & (score >= fv.ORG_BLOCK), "affiliation_matches_org")
+        .when(by_org & (score >= fv.ORG_WARN), "affiliation_resembles_org")
+        .when((kind == "affiliation") & F.col("in_text") & (score < fv.ORG_WARN), "affiliation_in_text")
+        .when(kind == "unknown", "officer_not_registered")
+        .when((kind == "applicant") & (score >= fv.NAME_WARN), "name_resembles_applicant")
+        .when(kind == "mention", "name_in_text")
     )
-    late = 1_000_000
-    unknown = joined.filter(F.col("affiliations").isNull()).select(
-        *out, F.lit(late).alias("ord"), F.lit("warn").alias("level"), F.lit("officer_not_registered").alias("reason"),
-        F.col("officer").alias("detail"), F.lit(None).cast("double").alias("score"),
-    )
-    named = (
-        joined.filter(F.col("applicant") != "")
-        .withColumn("score", name_score("officer_norm", "applicant_norm"))
-        .filter(F.col("score") >= fv.NAME_WARN)
-        .select(*out, F.lit(late + 1).alias("ord"), F.lit("warn").alias("level"), F.lit("name_resembles_applicant").alias("reason"),
-                F.col("applicant").alias("detail"), "score")
-    )
-    mentioned = joined.filter((F.col("officer_norm") != "") & F.contains("text_norm", "officer_norm")).select(
-        *out, F.lit(late + 2).alias("ord"), F.lit("warn").alias("level"), F.lit("name_in_text").alias("reason"),
-        F.col("officer").alias("detail"), F.lit(None).cast("double").alias("score"),
+    found = judged.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+    return found.select(
+        "case_id",
+        "officer",
+        (F.col("ord") + (F.col("reason") == "affiliation_in_text").cast("int")).alias("ord"),
+        F.when(F.col("reason") == "affiliation_matches_org", "block").otherwise("warn").alias("level"),
+        "reason",
+        "detail",
+        "score",
     )
-    return same_org.unionByName(in_text).unionByName(unknown).unionByName(named).unionByName(mentioned)
 
 
 def coi_check(assignments: DataFrame, officers: DataFrame, cases: DataFrame, reasons: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ Chunks are rows ``(case_id, chunk_id, text)``, rules are rows ``(ruleset_id, rul
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eviflow.functions import text as tx
@@ -59,22 +59,22 @@ def retrieve(chunks: DataFrame, case_sets: DataFrame, rules: DataFrame, k: int =
     Scores come from joins on (case, term): no case meets a rule it shares no term with, except through its first
     ``k`` chunks, which are all the zero-score rows a top ``k`` can hold.
     """
-    weights, idf, norms = tfidf_index(chunks)
-    asked = term_counts(rule_query(rules), ["ruleset_id", "rule_id"])
+    counted = term_counts(chunks, ["case_id", "chunk_id"])
+    n = chunks.groupBy("case_id").agg(F.count("*").alias("n"))
+    df = F.count("*").over(Window.partitionBy("case_id", "term"))
+    weighed = counted.withColumn("df", df).join(n, "case_id").withColumn("idf", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
+    w = F.col("tf") * F.col("idf")
+    norm = F.sqrt(F.sum(w * w).over(Window.partitionBy("case_id", "chunk_id")))
+    asked = term_counts(rule_query(rules), ["ruleset_id", "rule_id"]).withColumnRenamed("tf", "q_tf")
     sets = case_sets.select("case_id", "ruleset_id")
-    wanted = join_keyed(idf.join(sets, "case_id"), asked, ["ruleset_id", "term"]).select(
-        "case_id", "rule_id", "term", (F.col("tf") * F.col("idf")).alias("q")
-    )
-    lengths = wanted.groupBy("case_id", "rule_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
-    dots = (
-        weights.join(wanted, ["case_id", "term"])
-        .groupBy("case_id", "rule_id", "chunk_id")
-        .agg(F.sum(F.col("q") * F.col("w")).alias("dot"))
-    )
+    met = join_keyed(weighed.withColumn("norm", norm).join(sets, "case_id"), asked, ["ruleset_id", "term"])
+    q = F.col("q_tf") * F.col("idf")
+    # A term of the case stands in ``df`` rows per rule; each gives its share of the query's length.
+    q_norm = F.sqrt(F.sum(q * q / F.col("df")).over(Window.partitionBy("case_id", "rule_id")))
     scored = (
-        dots.join(norms, ["case_id", "chunk_id"])
-        .join(lengths, ["case_id", "rule_id"])
-        .select("case_id", "rule_id", "chunk_id", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("raw"))
+        met.withColumn("q_norm", q_norm)
+        .groupBy("case_id", "rule_id", "chunk_id")
+        .agg((F.sum(q * w) / (F.first("norm") * F.first("q_norm"))).alias("raw"))
     )
     first = top_k(chunks.select("case_id", "chunk_id"), ["case_id"], [F.asc("chunk_id")], k).drop("rank")
     blank = join_keyed(first.join(sets, "case_id"), rules.select("ruleset_id", "rule_id"), ["ruleset_id"]).select(
