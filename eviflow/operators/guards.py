@@ -255,29 +255,28 @@ def _anchored(anchors: Column, text: Column) -> Column:
     return F.size(F.filter(F.array_distinct(anchors), lambda a: F.contains(text, a)))
 
 
-def _figure_hit(figures: Column) -> Column:
-    """Reason of a min or max constraint that the figures break, null when they do not.
+def _figure_hit(figures: Column, c: Column) -> Column:
+    """Reason of a min or max constraint that the figures break, null when they do not; it holds the offending figure.
 
-    A minimum is broken when every figure of a sentence on its topic lies below it; a cap when one figure with two
-    topic words right before it lies above it.
+    A minimum is broken when every figure of a sentence on its topic lies below it, the lowest is named; a cap when one
+    figure with two topic words right before it lies above it, the highest is named.
     """
+    is_min = c["op"] == "min"
 
     def relevant(f):
-        near = _anchored(F.col("anchors"), f["sentence"])
-        right_before = _anchored(F.col("anchors"), f["window"])
-        fits = F.when(F.col("op") == "min", near >= 1).otherwise((near >= 2) & (right_before >= 2))
-        return (f["kind"] == F.col("kind")) & fits
-
-    top = F.array_max(F.transform(F.filter(figures, relevant), lambda f: f["value"]))
-    broken = F.when(F.col("op") == "min", top < F.col("value")).otherwise(top > F.col("value"))
-    return F.when(
-        broken,
-        F.concat(
-            F.when(F.col("op") == "min", "highest figure under ").otherwise("figure over "),
-            F.format_number(F.col("value"), 0),
-            F.lit(" ("), F.col("label"), F.lit(")"),
-        ),
-    )
+        near = _anchored(c["anchors"], f["sentence"])
+        right_before = _anchored(c["anchors"], f["window"])
+        fits = F.when(is_min, near >= 1).otherwise((near >= 2) & (right_before >= 2))
+        return (f["kind"] == c["kind"]) & fits
+
+    def reason(values):
+        top, low, limit = F.array_max(values), F.array_min(values), F.format_number(c["value"], 0)
+        broken = F.when(is_min, top < c["value"]).otherwise(top > c["value"])
+        figure = F.format_number(F.when(is_min, low).otherwise(top), 0)
+        side = F.when(is_min, " under ").otherwise(" over ")
+        return F.when(broken, F.concat(F.lit("figure "), figure, side, limit, F.lit(" ("), c["label"], F.lit(")")))
+
+    return F.transform(F.array(F.transform(F.filter(figures, relevant), lambda f: f["value"])), reason)[0]
 
 
 def _asserted(sentence: Column, kind: Column, term: Column) -> Column:
@@ -305,35 +304,38 @@ def _asserted(sentence: Column, kind: Column, term: Column) -> Column:
     )
 
 
-def _term_hit(text: Column) -> Column:
+def _term_hit(sentences: Column, c: Column) -> Column:
     """Reason of a forbidden or excluded term that some sentence states, null when none does."""
-    naming = F.filter(tx.raw_sentences(text), lambda s: F.contains(F.lower(s), F.lower("term")))
-    stated = F.exists(naming, lambda s: _asserted(s, F.col("kind"), F.col("term")))
-    return F.when(stated, F.concat(F.lit("states '"), F.col("term"), F.lit("' ("), F.col("label"), F.lit(")")))
+    naming = F.filter(sentences, lambda s: F.contains(F.lower(s), F.lower(c["term"])))
+    stated = F.exists(naming, lambda s: _asserted(s, c["kind"], c["term"]))
+    return F.when(stated, F.concat(F.lit("states '"), c["term"], F.lit("' ("), c["label"], F.lit(")")))
 
 
 def eval_constraints(constraints: DataFrame, cases: DataFrame, whole_percent: bool = True) -> DataFrame:
     """Every firing constraint on ``cases (case_id, ruleset_id, text)``, text in guard form.
 
-    Figures are read from a text once; each constraint of the ruleset then looks at these few values, or, for terms
-    the text holds at all, at the sentences that name them.
+    A ruleset's constraints are one array, so a dossier meets them in one row and its text is never repeated. Figures and
+    sentences are read from it once.
     """
-    runnable = constraints.filter(F.col("kind") != "uncompilable").select(
-        *RULE, "ord", "kind", "op", "value", "anchors", F.trim("term").alias("term"), "alt", "label"
-    )
+    fields = ["rule_id", "ord", "kind", "op", "value", "anchors", F.trim("term").alias("term"), "alt", "label"]
+    runnable = constraints.filter(F.col("kind") != "uncompilable").groupBy("ruleset_id").agg(F.collect_list(F.struct(*fields)).alias("constraints"))
     read = computed(
-        cases.select("case_id", "ruleset_id", "text"),
+        join_keyed(cases.select("case_id", "ruleset_id", "text"), runnable, ["ruleset_id"]),
         figure_array(F.col("text"), whole_percent).alias("figures"),
         F.lower("text").alias("low"),
     )
-    numeric = F.col("kind").isin("money", "percent")
-    worth = F.when(numeric, F.size("figures") > 0).otherwise(F.contains("low", F.lower("term")))
-    pairs = join_keyed(read, runnable, ["ruleset_id"]).filter(worth)
-    judged = computed(pairs, F.when(numeric, _figure_hit(F.col("figures"))).otherwise(_term_hit(F.col("text"))).alias("reason"))
-    strong = numeric | ((F.col("kind") == "forbidden") & ~F.coalesce("alt", F.lit(False)))
-    return judged.filter(F.col("reason").isNotNull()).select(
-        *KEY, "ord", F.when(strong, "not_met").otherwise("unclear").alias("verdict"), "reason"
-    )
+    numeric = lambda c: c["kind"].isin("money", "percent")
+    named = lambda c: ~numeric(c) & F.contains("low", F.lower(c["term"]))
+    worth = F.filter("constraints", lambda c: (numeric(c) & (F.size("figures") > 0)) | F.coalesce(named(c), F.lit(False)))
+    read = computed(read, worth.alias("worth"), F.when(F.exists("constraints", lambda c: F.coalesce(named(c), F.lit(False))), tx.raw_sentences(F.col("text"))).alias("sentences"))
+
+    def judged(c):
+        strong = numeric(c) | ((c["kind"] == "forbidden") & ~F.coalesce(c["alt"], F.lit(False)))
+        reason = F.when(numeric(c), _figure_hit(F.col("figures"), c)).otherwise(_term_hit(F.col("sentences"), c))
+        return F.struct(c["rule_id"].alias("rule_id"), c["ord"].alias("ord"), F.when(strong, "not_met").otherwise("unclear").alias("verdict"), reason.alias("reason"))
+
+    hits = read.select("case_id", F.inline(F.transform("worth", judged)))
+    return hits.filter(F.col("reason").isNotNull()).select(*KEY, "ord", "verdict", "reason")
 
 
 def first_hit(hits: DataFrame) -> DataFrame:
