@@ -430,6 +430,7 @@ def dedup(docs: DataFrame, folder: str, length: int = 50, carry: bool = False, p
     if carry:
         other = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("other")).schema["other"].dataType.simpleString()
     found = removed(joined, length, other)
+    spark.sql(f"DROP TABLE {name}")  # the catalogue's entry; the files stay for the result
     if not carry:
         return found
     return found.select(*[F.col("kept").cast(docs.schema["text"].dataType).alias("text") if c == "text" else F.col("other")[c].alias(c) for c in docs.columns])
