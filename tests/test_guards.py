@@ -62,6 +62,14 @@ def test_max_needs_words_right_before(spark, frame):
     assert hits(frame, quote, "A grant requested of $500,000 is sought.") == "not_met"
 
 
+def test_reason_names_the_offending_figure(spark, frame):
+    rules = frame(RULES, ("s", "A", "quantitative", "", "The turnover must be at least $900,000."), ("s", "B", "quantitative", "", "The grant requested may not exceed $400,000."))
+    text = "Turnover was $100,000, then $200,000. A grant requested of $500,000 is sought; the grant requested was $450,000."
+    cases = frame("case_id int, ruleset_id string, text string", (1, "s", text))
+    reasons = {r.rule_id: r.reason for r in gd.evaluate_constraints(gd.compile_rules(rules), cases).collect()}
+    assert reasons["A"].startswith("figure 100,000 under 900,000") and reasons["B"].startswith("figure 500,000 over 400,000")
+
+
 def test_percent_reading(spark, frame):
     quote = "At least 51 per cent of income must come from farming."
     assert hits(frame, quote, "Farming gives 100% of income.") is None
