@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from eviflow.llm.common import batch_of, binary_text, rows_of, written
 
 BLOCK_IDS = 1 << 18
-CACHED = 400_000
+CACHED = 1_000_000
 GROUP_CHARS = 1 << 20
 #: Units on which the tokenizer's steps are these only (fixed values of its pattern): no normal form changes printable
 #: ASCII and these letters, lower-casing is per character, and the cut is at the ends of letter runs, digits and others.
@@ -73,13 +74,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.dtype = id_type(path)
+        self.code = "H" if self.dtype == "<u2" else "I"
         self.units: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}
 
     def of_token(self, token: str) -> bytes:
         """Ids of one token of the plain cut, by the tokenizer's own model over its spelling of bytes."""
         spelled = token if token.isascii() else token.encode().decode("latin-1").translate(SPELLED)
-        return np.array([t.id for t in self.model.tokenize(spelled)], dtype=self.dtype).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def learn(self, units: set[str]) -> None:
         """Encode new units; any but plain ones take all steps of the library."""
@@ -109,7 +111,7 @@ class Encoder:
                 if held < GROUP_CHARS:
                     continue
             seen = set().union(*group)
-            new = seen - self.units.keys()
+            new = {unit for unit in seen if unit not in self.units}
             if len(self.units) + len(new) > CACHED:
                 self.units.clear()
                 new = seen
@@ -149,10 +151,9 @@ def ranks(ids: DataFrame, dtype: str) -> DataFrame:
     def counts(batches):
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                more = np.bincount(np.frombuffer(value, dtype=dtype), minlength=len(total))
-                more[: len(total)] += total
-                total = more
+            more = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=dtype), minlength=len(total))
+            more[: len(total)] += total
+            total = more
         used = np.flatnonzero(total)
         yield batch_of(pa.schema([("id", pa.int64()), ("n", pa.int64())]), (used, total[used]))
 
