@@ -308,3 +308,66 @@ def test_simhash_stage_keeps_one_of_each_group(spark, awkward):
     texts = [(r["text"] or "").lower().split() for r in kept]
     assert len({tuple(t) for t in texts}) == len(texts)
     assert {tuple((r[1] or "").lower().split()) for r in awkward_rows()} >= {tuple(t) for t in texts}
+
+
+def slow_groups(texts, words=5, percent=80):
+    """For each text the first of its near-copy group, by all pairs, and the similar pairs."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[k : k + words]) for k in range(max(len(w) - words + 1, 1))} if w else set())
+    first, pairs = list(range(len(texts))), set()
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            both = len(a & b)
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                pairs.add((i, j))
+                x, y = sorted((first[i], first[j]))
+                first = [x if f == y else f for f in first]
+    return first, pairs
+
+
+def copied_texts():
+    """Copies with several words changed, a crowd of them, longer and shorter ones, and texts that share a passage only."""
+    draw = np.random.default_rng(8)
+    text = lambda n: [f"w{x}" for x in draw.integers(0, 5000, n)]
+    texts, passage = [" ".join(text(n)) for n in (3, 5, 30, 100)], text(60)
+    for _ in range(12):
+        base = text(int(draw.integers(80, 400)))
+        texts.append(" ".join(base))
+        for share in (0.002, 0.01, 0.018, 0.025, 0.05):
+            texts.append(" ".join(w if draw.random() > share else "new" for w in base))
+        texts += [" ".join(base[: int(len(base) * cut)]) for cut in (0.79, 0.8, 0.81, 0.9)]
+        texts.append(" ".join([*passage, *text(30)]))
+    base = text(150)
+    texts += [" ".join(w if draw.random() > 0.02 else f"x{draw.integers(99)}" for w in base) for _ in range(60)]
+    return [*texts, None, "", " \n", texts[0].upper(), "a b", "A  b"]
+
+
+@pytest.mark.parametrize(("rounds", "sample_docs"), [(2, 20_000), (0, 20_000), (1, 1)])
+def test_near_copies_are_those_of_all_pairs(spark, folder, rounds, sample_docs):
+    from eviflow.llm import jaccard, simhash
+
+    texts = copied_texts()
+    want, pairs = slow_groups(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(4)
+    found = dict(map(tuple, jaccard.near_copies(rows, folder, rounds=rounds, sample_docs=sample_docs).collect()))
+    assert [found[i] for i in range(len(texts))] == want
+    marks = [simhash.fingerprint((t or "").encode()) for t in texts]
+    assert sum((marks[i] ^ marks[j]).bit_count() > 4 for i, j in pairs) > 100  # pairs that four bits of SimHash miss
+
+
+def test_no_near_copies(spark, folder):
+    from eviflow.llm import jaccard
+
+    assert jaccard.near_copies(spark.createDataFrame([], "row long, text string"), folder).count() == 0
+
+
+def test_simhash_stage_drops_copies_with_changed_words(spark):
+    from eviflow.llm import stages
+
+    texts = copied_texts()
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    want, _ = slow_groups(texts)
+    kept = {r["doc_id"]: r["text"] for r in stages.simhash_stage(spark, docs, "unused").collect()}
+    assert kept == {i: texts[i] for i in set(want)}
