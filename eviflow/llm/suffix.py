@@ -268,7 +268,7 @@ def snippets(joined: DataFrame, length: int, parts: int) -> DataFrame:
         cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1]][: len(where)]).tolist()
         out = [
             {"part": int(where[x]), "sizes": _zip(np.array([len(t) for t in distinct[x:y]], dtype="<u4").tobytes()), "octets": _zip(b"".join(distinct[x:y])), "docs": _zip(least_sent[x:y].tobytes()), "keys": key[x:y].tobytes()}
-            for x, y in zip(cut, [*cut[1:], len(distinct)], strict=True)
+            for x, y in zip(cut, [*cut[1:], len(distinct)][: len(cut)], strict=True)
         ]
         found = _zip(np.stack([first, count, back[entry] if len(entry) else entry, doc == least[entry] if len(entry) else entry]).astype("<i4").tobytes())
         return block, found, out

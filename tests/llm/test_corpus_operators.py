@@ -371,3 +371,17 @@ def test_simhash_stage_drops_copies_with_changed_words(spark):
     want, _ = slow_groups(texts)
     kept = {r["doc_id"]: r["text"] for r in stages.simhash_stage(spark, docs, "unused").collect()}
     assert kept == {i: texts[i] for i in set(want)}
+
+
+def test_suffix_stage_removes_passages_of_50_bytes(spark):
+    from eviflow.llm import stages
+
+    draw = np.random.default_rng(3)
+    text = lambda n: "".join(chr(97 + x) for x in draw.integers(0, 26, n))
+    passages = {n: text(n) for n in (49, 50, 75, 99, 100)}
+    texts = [text(200) for _ in passages] + [text(40).upper() + p + text(40).upper() for _ in range(2) for p in passages.values()]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: r["text"] for r in stages.suffix_array_stage(spark, docs, "unused").collect()}
+    want = slow_removal(list(enumerate(texts)), 50)
+    assert Counter(hashlib.sha256(t.encode()).hexdigest() for t in kept.values()) == Counter({h: n for (*_, h), n in want.items()})
+    assert [len(kept[10 + k]) - 80 for k in range(5)] == [49, 0, 0, 0, 0]
