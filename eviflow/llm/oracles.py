@@ -80,3 +80,49 @@ j AS (SELECT host, (f + centre * strength) / (h.n + strength) > 0.5 AS rejected
 SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
 FROM r JOIN j ON r.host IS NOT DISTINCT FROM j.host
 """
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+LINES = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, ls[i] AS line, translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS k
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+g AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+x AS (SELECT doc_id, count(*) AS n_dropped, list(i) AS gone FROM l JOIN g USING (k) WHERE doc_id <> keeper GROUP BY doc_id)
+SELECT d.doc_id, len(ls) AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
+  sha256(CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda s, i: NOT list_contains(gone, i)), chr(10)) END) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)
+"""
+
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+LEXICAL = f"""
+WITH q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+d AS (SELECT doc_id, terms, len(terms) AS n FROM (SELECT doc_id, {_TERMS} AS terms FROM documents) WHERE len(terms) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS l FROM d),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, s GROUP BY term, docs),
+i AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // l))) AS impact FROM p JOIN f USING (term), s),
+r AS (SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 10
+"""
+
+#: CRC-32 is folded byte by byte; near words share a string with one letter gone, or masked at the same place.
+SPELLING = f"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+o AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(doc_id || ':' || run)), '..'), lambda b: CAST('0x' || b AS BIGINT))),
+  lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM o, t WHERE length(run) >= 7),
+c AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM c WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+e AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+cut AS (SELECT DISTINCT word, left(word, i - 1) || substr(word, i + 1) AS less FROM e),
+mask AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM e),
+ins AS (SELECT cut.word AS a, w.word AS b FROM cut JOIN w ON w.word = cut.less),
+p AS (SELECT a, b FROM ins UNION SELECT b, a FROM ins UNION SELECT x.word, y.word FROM mask x JOIN mask y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word),
+b AS (SELECT a, count(*) AS n_near, min({{'less': -w.n, 'near': b}}) AS best FROM p JOIN w ON w.word = b GROUP BY a),
+f AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 10 * n THEN best.near END AS form, CASE WHEN -best.less >= 10 * n THEN -best.less END AS form_n FROM w LEFT JOIN b ON b.a = w.word),
+up AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT up.word, f.word, f.form FROM up JOIN f ON f.word = up.next)
+SELECT f.word, form, up.root, n, n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN up ON up.word = f.word AND up.next IS NULL
+"""

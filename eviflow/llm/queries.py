@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eviflow.llm import language, mixture, oracles, pieces, quality_model, quality_rules, sharding, simhash, suffix, token_files, vptree
+from eviflow.llm import language, lexical, line_dedup, mixture, oracles, pieces, quality_model, quality_rules, sharding, simhash, spelling, suffix, token_files, vptree
 from eviflow.llm.common import session, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,21 @@ def op10(spark, sf_dir):
 
 
 QUERIES["op10_quality_model"] = op10
+
+
+@query("op11_line_dedup", sql=oracles.LINES)
+def op11(documents, folder):
+    return line_dedup.dedup(documents, folder).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12(spark, sf_dir):
+    tables = session(spark).read
+    return lexical.search(tables.parquet(f"{sf_dir}/documents.parquet"), tables.parquet(f"{sf_dir}/benchmark.parquet"), work_folder(spark))
+
+
+QUERIES["op12_lexical_search"], SQL["op12_lexical_search"] = op12, oracles.LEXICAL
+
+
+@query("op13_spelling", sql=oracles.SPELLING)
+def op13(documents, folder):
+    return spelling.grouped(documents, folder)
