@@ -6,13 +6,15 @@ provably every match has, so no name meets a whole register; scoring by UDF sees
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eviflow import fixed_values as fv
 from eviflow.functions import text as tx
 from eviflow.functions.similarity import name_score, token_jaccard
-from eviflow.operators.common import count_where, join_keyed, top_k
+from eviflow.operators.common import computed, count_where, join_keyed, top_k
 
 ROUNDING = 0.0005
 # Letters by falling frequency in English names; rarer pieces sort first so that the kept prefix is selective.
@@ -32,6 +34,10 @@ def strength(score: Column) -> Column:
 # r / (2 - r). Two bigram multisets with that overlap must meet within their rarest pieces (prefix filter).
 # A score above the threshold with a lower r needs token overlap of at least (t - 0.45) / 0.55, for which the same
 # prefix argument holds on tokens.
+#
+# Where (1.5 r - 1) S is 1 or less no bigram is certain: at 0.70 up to S = 20. Such names share M >= r S / 2 letters, so
+# in one order of letters (the rarest first) the first three common ones lie in both names' first n - M + 3: they meet
+# on a combination of three letters (of two where both have three letters or fewer).
 
 
 def _bigrams(coded: Column) -> Column:
@@ -56,7 +62,27 @@ def _shared(r: float, total: Column) -> Column:
     return F.greatest(F.ceil((1.5 * r - 1) * total - 1), F.lit(1))
 
 
-def _profile(df: DataFrame, key: str, norm: str, threshold: float) -> DataFrame:
+def _combined(items: Column, k: int) -> Column:
+    """All combinations of ``k`` of an array's items, in its order, each as one string."""
+    if k == 1:
+        return items
+    rest = lambda i: F.slice(items, i + 2, F.size(items))
+    return F.flatten(F.transform(items, lambda x, i: F.transform(_combined(rest(i), k - 1), lambda y: F.concat(x, y))))
+
+
+def _with_letter_keys(df: DataFrame, r: float, longest: int) -> DataFrame:
+    """``letters`` of a name, and ``letter_keys``: what one of ``longest`` letters or fewer is found by where no bigram is certain."""
+    none = F.array().cast("array<string>")
+    n = F.size("letters")
+    df = computed(df, F.transform(F.sequence(F.lit(1), F.length("coded")), lambda i: F.substring(F.col("coded"), i, F.lit(1))).alias("chars"))
+    df = computed(df, _numbered(F.col("chars")).alias("letters")).drop("chars")
+    first = F.slice("letters", 1, (n - F.ceil(n * (r / (2 - r)) - 1e-9) + 3).cast("int"))
+    df = computed(df, F.when(n <= longest, first).otherwise(none).alias("first"))
+    pairs = F.when(n <= 3, _combined(F.col("letters"), 2)).otherwise(none)
+    return computed(df, F.concat(_combined(F.col("first"), 3), pairs).alias("letter_keys")).drop("first")
+
+
+def _profile(df: DataFrame, key: str, norm: str, threshold: float, certain: int) -> DataFrame:
     """Per name: sorted form, numbered bigrams, tokens, and the pieces it is found by."""
     r = threshold - ROUNDING
     base = df.select(F.col(key).alias("id"), F.col(norm).alias("norm"))
@@ -72,6 +98,10 @@ def _profile(df: DataFrame, key: str, norm: str, threshold: float) -> DataFrame:
     ranked = F.transform(
         F.array_sort(F.transform("tokens", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda s: s["t"]
     )
+    letters = []
+    if certain:
+        base = _with_letter_keys(base, r, int(certain * (2 - r) / 2))
+        letters = ["letters", "letter_keys"]
     return base.select(
         "id",
         "norm",
@@ -79,49 +109,56 @@ def _profile(df: DataFrame, key: str, norm: str, threshold: float) -> DataFrame:
         "grams",
         F.slice("grams", 1, keep).alias("gram_keys"),
         F.slice(ranked, 1, F.greatest(token_keep, F.lit(1))).alias("token_keys"),
+        *letters,
     )
 
 
-def name_candidates(queries: DataFrame, register: DataFrame, threshold: float = fv.POSSIBLE_MATCH) -> DataFrame:
+def name_candidates(
+    queries: DataFrame, register: DataFrame, threshold: float = fv.POSSIBLE_MATCH, min_length: int = fv.MIN_QUERY_NAME
+) -> DataFrame:
     """All pairs (query_id, ord) whose score can reach the threshold.
 
-    ``queries (query_id, norm)`` and ``register (ord, norm)``. Every pair scoring at or above the threshold is
-    returned, each once; thresholds under 0.78 give no guarantee and are refused.
+    ``queries (query_id, norm)``, names under ``min_length`` letters are passed over, and ``register (ord, norm)``. Every
+    pair scoring at or above the threshold is returned, each once; thresholds under 0.70 are refused, as so many pairs
+    share no piece of use there.
     """
-    if threshold < fv.POSSIBLE_MATCH:
-        raise ValueError("candidate pieces are guaranteed for thresholds of 0.78 and above only")
+    if threshold < fv.ORG_WARN:
+        raise ValueError("candidate pieces are guaranteed for thresholds of 0.70 and above only")
     r = threshold - ROUNDING
-    q = _profile(queries.filter(F.length("norm") >= fv.MIN_QUERY_NAME), "query_id", "norm", threshold)
-    reg = _profile(register.filter(F.length("norm") >= 1), "ord", "norm", threshold)
+    certain = int(1 / (1.5 * r - 1))  # the total length up to which no common bigram is certain
+    if min_length + math.ceil(min_length * r / (2 - r)) > certain:
+        certain = 0
+    q = _profile(queries.filter(F.length("norm") >= min_length), "query_id", "norm", threshold, certain)
+    reg = _profile(register.filter(F.length("norm") >= 1), "ord", "norm", threshold, certain)
     right = reg.select(*[F.col(c).alias(f"r_{c}") for c in reg.columns])
 
     total = F.col("len") + F.col("r_len")
     common = F.size(F.array_intersect("grams", "r_grams"))
     near = (F.least("len", "r_len") >= F.floor(total * r / 2)) & (common >= _shared(r, total))
+    enough = F.size(F.array_intersect("letters", "r_letters")) >= F.ceil(total * (r / 2) - 1e-9) if certain else F.lit(True)
 
     def met_once(keys: str, other: str) -> Column:
         """The joined piece is the first one both sides are found by, so a pair appears once."""
         return F.array_min(F.array_intersect(keys, other)) == F.col("piece")
 
-    # Outer generators: a plain one adds a filter on its array that is pushed down and works the profile out again.
-    by_gram = join_keyed(
-        q.withColumn("piece", F.explode_outer("gram_keys")),
-        right.withColumn("piece", F.explode_outer("r_gram_keys")),
-        ["piece"],
-    ).filter(near & met_once("gram_keys", "r_gram_keys"))
-    jaccard = token_jaccard(F.col("norm"), F.col("r_norm"))
-    by_token = join_keyed(
-        q.withColumn("piece", F.explode_outer("token_keys")),
-        right.withColumn("piece", F.explode_outer("r_token_keys")),
-        ["piece"],
-    ).filter(~near & (0.55 * jaccard + 0.45 >= r) & met_once("token_keys", "r_token_keys"))
+    def met_on(keys: str, test: Column) -> DataFrame:
+        # Outer generators: a plain one adds a filter on its array that is pushed down and works the profile out again.
+        left, other = q.withColumn("piece", F.explode_outer(keys)), right.withColumn("piece", F.explode_outer(f"r_{keys}"))
+        return join_keyed(left, other, ["piece"]).filter(test & met_once(keys, f"r_{keys}")).select(*out)
+
     out = [F.col("id").alias("query_id"), F.col("r_id").alias("ord"), "norm", "r_norm"]
-    return by_gram.select(*out).unionByName(by_token.select(*out))
+    by_token = 0.55 * token_jaccard(F.col("norm"), F.col("r_norm")) + 0.45 >= r
+    found = met_on("gram_keys", near & enough).unionByName(met_on("token_keys", ~(near & enough) & by_token))
+    if certain:
+        found = found.unionByName(met_on("letter_keys", (total <= certain) & ~near & enough & ~by_token))
+    return found
 
 
-def scored_pairs(queries: DataFrame, register: DataFrame, threshold: float = fv.POSSIBLE_MATCH) -> DataFrame:
+def scored_pairs(
+    queries: DataFrame, register: DataFrame, threshold: float = fv.POSSIBLE_MATCH, min_length: int = fv.MIN_QUERY_NAME
+) -> DataFrame:
     """(query_id, ord, score) of the pairs at or above the threshold."""
-    pairs = name_candidates(queries, register, threshold)
+    pairs = name_candidates(queries, register, threshold, min_length)
     return (
         pairs.withColumn("score", name_score("norm", "r_norm"))
         .filter(F.col("score") >= threshold)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eviflow.functions import text as tx
 from eviflow.functions.similarity import name_score
+from eviflow.operators import assignment
 from eviflow.operators import names as nm
 from eviflow.plans import views as v
 from eviflow.plans.registry import Tables, query
@@ -291,6 +292,13 @@ def name_candidates(t: Tables) -> DataFrame:
     return pairs.select("query_id", "ord")
 
 
+@query("name_matches_low", v.ctes(ALL_PARTS, SCORES, body="SELECT a AS query_id, b AS ord, score FROM v_score WHERE score >= 0.70"))
+def name_matches_low(t: Tables) -> DataFrame:
+    """Pairs of part names at the level of organisations that resemble each other."""
+    names = t.spread("part").select(tx.name_norm("p_name", exotic=False).alias("norm")).distinct()
+    return nm.scored_pairs(names.select(F.col("norm").alias("query_id"), "norm"), names.select(F.col("norm").alias("ord"), "norm"), nm.fv.ORG_WARN)
+
+
 @query(
     "name_overlap",
     """
@@ -351,3 +359,72 @@ def eligible_reviewers(t: Tables) -> DataFrame:
 @query("officer_roles", v.ctes(v.V_CASES, body="SELECT case_id, officer AS name, CASE officer WHEN 'officer 2' THEN 'manager' WHEN 'officer 6' THEN NULL ELSE 'officer' END AS role FROM v_cases"))
 def officer_roles(t: Tables) -> DataFrame:
     return nm.officer_roles(v.cases(t).select("case_id", F.col("officer").alias("name")), _officers(t))
+
+
+def _register(t: Tables) -> DataFrame:
+    """Suppliers as officers, affiliated with the parts of their number and of the next."""
+    part = t.part.select("p_partkey", "p_name")
+    own = t.supplier.select("s_suppkey", "s_name", F.posexplode(F.array("s_suppkey", F.col("s_suppkey") + 1)).alias("pos", "p_partkey"))
+    entries = own.join(part, "p_partkey").groupBy("s_suppkey", "s_name").agg(F.array_sort(F.collect_list(F.struct("pos", "p_name"))).alias("e"))
+    return entries.select(F.col("s_suppkey").alias("ord"), F.col("s_name").alias("name"), F.transform("e", lambda e: e["p_name"]).alias("affiliations"))
+
+
+def _applications(t: Tables) -> DataFrame:
+    """Parts as applications: some name an organisation, a supplier, or another name in the text."""
+    turned = F.concat(F.substring_index("p_name", " ", -1), F.lit(" "), F.substring_index("p_name", " ", 1))
+    supplier = F.format_string("Supplier#%09d", F.col("p_partkey") % 10)
+    text = F.concat(
+        F.lit("Form of "), turned, F.when(F.col("p_size") > 40, F.concat(F.lit(", with "), supplier)).otherwise(""), F.when(F.col("p_size") < 5, F.concat(F.lit(", at "), "p_name")).otherwise("")
+    )
+    return t.spread("part").select(
+        F.col("p_partkey").alias("case_id"), F.when(F.col("p_size") == 50, supplier).otherwise(turned).alias("applicant"),
+        F.when(F.col("p_size") > 30, F.concat("p_name", F.when(F.col("p_size") > 44, " ltd").otherwise(""))).alias("org"), text.alias("text"),
+    )
+
+
+CONFLICTS = """
+v_entry0 AS (SELECT s_suppkey AS ord, s_name AS officer, pos, upper(p_name) AS aff, upper(replace(s_name, '#', ' ')) AS norm
+  FROM (SELECT *, unnest([0, 1]) AS pos FROM supplier) JOIN part ON p_partkey = s_suppkey + pos),
+v_known AS (SELECT ord, officer, norm, row_number() OVER (ORDER BY ord) - 1 AS place FROM (SELECT DISTINCT ord, officer, norm FROM v_entry0)),
+v_app AS (SELECT p_partkey AS case_id, string_split(p_name, ' ') AS w, 'SUPPLIER ' || lpad(CAST(p_partkey % 10 AS VARCHAR), 9, '0') AS sup, p_size AS size,
+  CASE WHEN p_size > 30 THEN upper(p_name) || CASE WHEN p_size > 44 THEN ' LTD' ELSE '' END ELSE '' END AS org, upper(p_name) AS name FROM part),
+v_text AS (SELECT *, CASE WHEN size = 50 THEN sup ELSE upper(w[-1] || ' ' || w[1]) END AS applicant,
+  'FORM OF ' || upper(w[-1] || ' ' || w[1]) || CASE WHEN size > 40 THEN ' WITH ' || sup ELSE '' END || CASE WHEN size < 5 THEN ' AT ' || name ELSE '' END AS txt FROM v_app),
+v_ask AS (SELECT DISTINCT org AS a, aff AS b FROM v_text, v_entry0 WHERE org <> '' UNION SELECT DISTINCT applicant, norm FROM v_text, v_known WHERE size = 50)
+"""
+IN_CONFLICT = """
+v_conflict AS (
+  SELECT case_id, officer, CASE WHEN score >= 0.85 THEN 2 ELSE 1 END AS rank FROM v_text JOIN v_score ON a = org JOIN v_entry0 ON aff = b WHERE score >= 0.70
+  UNION ALL SELECT case_id, officer, 1 FROM v_text JOIN v_score ON a = applicant AND size = 50 JOIN v_known ON norm = b WHERE score >= 0.82
+  UNION ALL SELECT case_id, officer, 1 FROM v_text JOIN v_entry0 ON contains(txt, aff) LEFT JOIN v_score ON a = org AND b = aff WHERE coalesce(score, 0) < 0.70
+  UNION ALL SELECT case_id, officer, 1 FROM v_text JOIN v_known ON contains(txt, norm)),
+v_level AS (SELECT case_id, officer, max(rank) AS rank, count(*) AS n_reasons FROM v_conflict GROUP BY ALL)
+"""
+
+
+@query("assignment_conflicts", v.ctes(CONFLICTS, SCORES, IN_CONFLICT, body="SELECT case_id, officer, CASE rank WHEN 2 THEN 'block' ELSE 'warn' END AS level, n_reasons FROM v_level"))
+def assignment_conflicts(t: Tables) -> DataFrame:
+    """Every conflict between the whole register and all applications."""
+    return assignment.conflict_levels(assignment.conflicts(_applications(t), _register(t)))
+
+
+@query(
+    "assignment_pool",
+    v.ctes(
+        CONFLICTS, SCORES, IN_CONFLICT,
+        """
+v_n AS (SELECT count(*) AS n FROM v_known),
+v_free AS (SELECT case_id, officer, row_number() OVER (PARTITION BY case_id ORDER BY (place - CAST('0x' || substr(md5(CAST(case_id AS VARCHAR)), 1, 8) AS BIGINT) % n + n) % n) AS turn
+  FROM v_text CROSS JOIN v_known CROSS JOIN v_n WHERE NOT EXISTS (SELECT 1 FROM v_level l WHERE l.case_id = v_text.case_id AND l.officer = v_known.officer)),
+v_first AS (SELECT case_id, string_agg(officer, ', ' ORDER BY turn) AS suggested FROM v_free WHERE turn <= 3 GROUP BY case_id),
+v_count AS (SELECT case_id, count(*) FILTER (WHERE rank = 2) AS n_blocked, count(*) FILTER (WHERE rank = 1) AS n_warned FROM v_level GROUP BY case_id)
+""",
+        body="""
+SELECT case_id, n AS n_officers, coalesce(n_blocked, 0) AS n_blocked, coalesce(n_warned, 0) AS n_warned, n - coalesce(n_blocked, 0) - coalesce(n_warned, 0) AS n_free, coalesce(suggested, '') AS suggested
+FROM v_text CROSS JOIN v_n LEFT JOIN v_count USING (case_id) LEFT JOIN v_first USING (case_id)
+""",
+    ),
+)
+def assignment_pool(t: Tables) -> DataFrame:
+    """The conflict-free officers of every application, counted, and three of them."""
+    return assignment.assignment_pool(_applications(t), _register(t)).withColumn("suggested", F.array_join("suggested", ", "))
