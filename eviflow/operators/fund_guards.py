@@ -190,24 +190,25 @@ def _as_read(test, whole_percent: bool):
     return test
 
 
+FUND_HIT = "array<struct<at:int,rule_id:string,verdict:string,reason:string>>"
+
+
+def fund_array(text: Column, ruleset: Column, whole_percent: bool = True) -> Column:
+    """Rows of the table that a dossier breaks, from its text in guard form, its ruleset and column ``directorate``."""
+    hits = []
+    for at, (of, rule, test, verdict, reason) in enumerate(FUND_TABLE):
+        broken = (ruleset == of) & _as_read(test, whole_percent).broken(text)
+        hit = F.struct(F.lit(at).alias("at"), F.lit(rule).alias("rule_id"), F.lit(verdict).alias("verdict"), F.lit(reason).alias("reason"))
+        hits.append(F.when(broken, hit))
+    return F.when(ruleset.isin(list(fv.FUND_GUARD_RULES)), F.array_compact(F.array(*hits))).otherwise(F.array().cast(FUND_HIT))
+
+
 def fund_hits(cases: DataFrame, whole_percent: bool = True) -> DataFrame:
     """(case, ruleset, rule, verdict, reason) for ``cases (case_id, ruleset_id, text[, directorate])``, text in guard
     form. ``whole_percent`` reads percentages as full numbers; off, it reads their last digits as published."""
     if "directorate" not in cases.columns:
         cases = cases.withColumn("directorate", F.lit(""))
-    known = cases.filter(F.col("ruleset_id").isin(list(fv.FUND_GUARD_RULES)))
-    hits = []
-    for at, (ruleset, rule, test, verdict, reason) in enumerate(FUND_TABLE):
-        broken = (F.col("ruleset_id") == ruleset) & _as_read(test, whole_percent).broken(F.col("text"))
-        hits.append(
-            F.when(
-                broken,
-                F.struct(
-                    F.lit(at).alias("at"), F.lit(rule).alias("rule_id"), F.lit(verdict).alias("verdict"), F.lit(reason).alias("reason")
-                ),
-            )
-        )
-    fired = known.select("case_id", "ruleset_id", F.inline(F.array_compact(F.array(*hits))))
+    fired = cases.select("case_id", "ruleset_id", F.inline(fund_array(F.col("text"), F.col("ruleset_id"), whole_percent)))
     first = fired.groupBy("case_id", "ruleset_id", "rule_id").agg(
         F.min_by(F.struct("verdict", "reason"), "at").alias("_h")
     )

@@ -1,7 +1,7 @@
 """Rules compiled into constraints, constraints checked against dossiers, and verdicts corrected by the hits.
 
-Compiling is row-local over the rules. Checking first reduces every dossier to the few figures and sentences a
-constraint can look at, then joins constraints by ruleset; only hits are grouped.
+Compiling is row-local over the rules. Checking reads every dossier once for the few figures and sentences a constraint
+can look at, then meets its ruleset's constraints in arrays of bounded size; only hits are grouped.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from eviflow import fixed_values as fv
 from eviflow.functions import text as tx
 from eviflow.operators.common import computed, count_where, first_items, join_keyed, ratio
 from eviflow.operators.crosscheck import budget_values
-from eviflow.operators.fund_guards import fund_hits
+from eviflow.operators.fund_guards import fund_array
 
 KEY = ["case_id", "rule_id"]
 RULE = ["ruleset_id", "rule_id"]
@@ -311,31 +311,110 @@ def _term_hit(sentences: Column, c: Column) -> Column:
     return F.when(stated, F.concat(F.lit("states '"), c["term"], F.lit("' ("), c["label"], F.lit(")")))
 
 
-def eval_constraints(constraints: DataFrame, cases: DataFrame, whole_percent: bool = True) -> DataFrame:
-    """Every firing constraint on ``cases (case_id, ruleset_id, text)``, text in guard form.
+BOOK = ["rule_id", "layer", "ord", "kind", "op", "value", "anchors", "term", "alt", "label"]
+HIT = "array<struct<rule_id:string,layer:int,ord:int,verdict:string,reason:string>>"
+#: Layers of hits: a fund's own guard, the guard that every ruleset gets, the compiled rules.
+FUND, GENERIC, COMPILED = 0, 1, 2
+#: Constraints that a dossier meets in one row; a larger ruleset is cut into several.
+BUCKET = 200
+
+
+def rule_book(constraints: DataFrame | None = None, rules: DataFrame | None = None, bucket: int = BUCKET) -> DataFrame:
+    """(ruleset_id, constraints): what dossiers are checked for, in arrays of about ``bucket`` at most.
 
-    A ruleset's constraints are one array, so a dossier meets them in one row and its text is never repeated. Figures and
-    sentences are read from it once.
+    Compiled ``constraints`` and the limits of the generic guard, read from ``rules``; a ruleset of more is dealt over
+    several rows by the hash of the constraint, so no array grows with a ruleset.
     """
-    fields = ["rule_id", "ord", "kind", "op", "value", "anchors", F.trim("term").alias("term"), "alt", "label"]
-    runnable = constraints.filter(F.col("kind") != "uncompilable").groupBy("ruleset_id").agg(F.collect_list(F.struct(*fields)).alias("constraints"))
-    read = computed(
-        join_keyed(cases.select("case_id", "ruleset_id", "text"), runnable, ["ruleset_id"]),
-        figure_array(F.col("text"), whole_percent).alias("figures"),
-        F.lower("text").alias("low"),
-    )
+    parts = []
+    if constraints is not None:
+        compiled = constraints.filter(F.col("kind") != "uncompilable").withColumn("layer", F.lit(COMPILED))
+        parts.append(compiled.select("ruleset_id", *[F.trim(c).alias(c) if c == "term" else F.col(c) for c in BOOK]))
+    if rules is not None:
+        parts.append(generic_limits(rules).select("ruleset_id", *BOOK))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    sizes = rows.groupBy("ruleset_id").agg(F.ceil(F.count("*") / bucket).alias("_n"))
+    dealt = rows.join(sizes, "ruleset_id").withColumn("_bucket", F.pmod(F.xxhash64("rule_id", "layer", "ord"), F.col("_n")))
+    return dealt.groupBy("ruleset_id", "_bucket").agg(F.collect_list(F.struct(*BOOK)).alias("constraints")).drop("_bucket")
+
+
+def generic_limits(rules: DataFrame) -> DataFrame:
+    """Limits every ruleset's dossiers are held to: a stated minimum for the total budgets, a page limit for the description."""
+    quote = F.coalesce("quote", F.lit(""))
+    minimum, pages = tx.parse_digits(tx.first_group(quote, fv.GENERIC_MINIMUM)), tx.first_group(quote, fv.GENERIC_PAGES).cast("bigint")
+
+    def limit(ord_, op, value):
+        return F.when(value.isNotNull(), F.struct(F.lit(ord_).alias("ord"), F.lit(op).alias("op"), value.cast("bigint").alias("value")))
+
+    found = rules.select(*RULE, F.inline(F.array_compact(F.array(limit(0, "minimum", minimum), limit(1, "pages", pages)))))
+    empty = [F.lit(None).cast(kind).alias(name) for name, kind in (("anchors", "array<string>"), ("term", "string"), ("alt", "boolean"), ("label", "string"))]
+    return found.select(*RULE, F.lit(GENERIC).alias("layer"), "ord", F.lit("limit").alias("kind"), "op", "value", *empty)
+
+
+def _limit_hit(budget: Column, pages: Column, c: Column) -> Column:
+    """Reason of a generic limit that the dossier breaks."""
+    low = F.concat(F.lit("budget "), budget, F.lit(" under minimum "), c["value"])
+    long = F.concat(pages, F.lit(" pages over limit "), c["value"])
+    return F.when((c["op"] == "minimum") & (budget < c["value"]), low).when((c["op"] == "pages") & (pages > c["value"]), long)
+
+
+def fund_rules(rules: DataFrame) -> DataFrame:
+    """(ruleset_id, listed): the rules of each fund that have a guard of their own; as long as the table of such guards at most."""
+    own = F.create_map(*[x for of, ids in fv.FUND_GUARD_RULES.items() for x in (F.lit(of), F.array(*[F.lit(i) for i in ids]))])
+    guarded = F.array_contains(F.try_element_at(own, F.col("ruleset_id")), F.col("rule_id"))
+    return rules.filter(guarded).groupBy("ruleset_id").agg(F.collect_set("rule_id").alias("listed"))
+
+
+def book_arrays(book: DataFrame, cases: DataFrame, whole_percent: bool = True, funds: DataFrame | None = None) -> DataFrame:
+    """``cases`` without their text and with ``hits``, an array of every guard that fires.
+
+    One pass: a dossier is normalised once, read for its figures, sentences, budgets and pages once, and meets its
+    ruleset's constraints in a row per bucket of ``book``. With ``funds`` (:func:`fund_rules`) the fund guards read it in
+    the same pass. ``cases (case_id, ruleset_id, text[, directorate])`` may be a stream: nothing is grouped here.
+    """
+    if "directorate" not in cases.columns:
+        cases = cases.withColumn("directorate", F.lit(""))
+    kept = [c for c in cases.columns if c not in ("text", "directorate")]
+    ready = computed(cases.select(*kept, "directorate", F.col("text").alias("_raw")), tx.guard_norm("_raw").alias("text")).drop("_raw")
+    text = F.col("text")
+    read = [figure_array(text, whole_percent).alias("figures"), F.lower(text).alias("low")]
+    read += [F.array_max(budget_values("text")).alias("budget"), tx.first_group("text", fv.GENERIC_PAGES_FOUND).cast("bigint").alias("pages")]
+    if funds is not None:
+        read.append(fund_array(text, F.col("ruleset_id"), whole_percent).alias("fund"))
+    met = join_keyed(computed(ready, *read).drop("directorate"), book, ["ruleset_id"], "left")
+
     numeric = lambda c: c["kind"].isin("money", "percent")
-    named = lambda c: ~numeric(c) & F.contains("low", F.lower(c["term"]))
-    worth = F.filter("constraints", lambda c: (numeric(c) & (F.size("figures") > 0)) | F.coalesce(named(c), F.lit(False)))
-    read = computed(read, worth.alias("worth"), F.when(F.exists("constraints", lambda c: F.coalesce(named(c), F.lit(False))), tx.raw_sentences(F.col("text"))).alias("sentences"))
+    limit = lambda c: c["kind"] == "limit"
+    named = lambda c: ~numeric(c) & ~limit(c) & F.contains("low", F.lower(c["term"]))
+    constraints = F.coalesce("constraints", F.array().cast(book.schema["constraints"].dataType))
+    worth = F.filter(constraints, lambda c: (numeric(c) & (F.size("figures") > 0)) | limit(c) | F.coalesce(named(c), F.lit(False)))
+    met = computed(met, worth.alias("worth"))
+    met = computed(met, F.when(F.exists("worth", lambda c: ~numeric(c) & ~limit(c)), tx.raw_sentences(F.col("text"))).alias("sentences"))
+
+    def hit(rule, layer, ord_, verdict, reason):
+        return F.struct(rule.alias("rule_id"), layer.cast("int").alias("layer"), ord_.cast("int").alias("ord"), verdict.alias("verdict"), reason.alias("reason"))
 
     def judged(c):
-        strong = numeric(c) | ((c["kind"] == "forbidden") & ~F.coalesce(c["alt"], F.lit(False)))
-        reason = F.when(numeric(c), _figure_hit(F.col("figures"), c)).otherwise(_term_hit(F.col("sentences"), c))
-        return F.struct(c["rule_id"].alias("rule_id"), c["ord"].alias("ord"), F.when(strong, "not_met").otherwise("unclear").alias("verdict"), reason.alias("reason"))
+        strong = numeric(c) | limit(c) | ((c["kind"] == "forbidden") & ~F.coalesce(c["alt"], F.lit(False)))
+        reason = F.when(numeric(c), _figure_hit(F.col("figures"), c)).when(limit(c), _limit_hit(F.col("budget"), F.col("pages"), c))
+        return hit(c["rule_id"], c["layer"], c["ord"], F.when(strong, F.lit("not_met")).otherwise("unclear"), reason.otherwise(_term_hit(F.col("sentences"), c)))
+
+    hits = F.filter(F.transform("worth", judged).cast(HIT), lambda h: h["reason"].isNotNull())
+    if funds is not None:
+        met = join_keyed(met, funds, ["ruleset_id"], "left")
+        own = F.filter("fund", lambda f: F.coalesce(F.array_contains("listed", f["rule_id"]), F.lit(False)))
+        hits = F.concat(hits, F.transform(own, lambda f: hit(f["rule_id"], F.lit(FUND), f["at"], f["verdict"], f["reason"])).cast(HIT))
+    return met.select(*kept, hits.alias("hits"))
 
-    hits = read.select("case_id", F.inline(F.transform("worth", judged)))
-    return hits.filter(F.col("reason").isNotNull()).select(*KEY, "ord", "verdict", "reason")
+
+def book_hits(book: DataFrame, cases: DataFrame, whole_percent: bool = True, funds: DataFrame | None = None) -> DataFrame:
+    """(case_id, ruleset_id, rule_id, layer, ord, verdict, reason) of every guard that fires on ``cases``."""
+    found = book_arrays(book, cases, whole_percent, funds)
+    return found.select(*[c for c in found.columns if c != "hits"], F.inline("hits"))
+
+
+def eval_constraints(constraints: DataFrame, cases: DataFrame, whole_percent: bool = True) -> DataFrame:
+    """Every firing constraint on ``cases (case_id, ruleset_id, text)``."""
+    return book_hits(rule_book(constraints), cases.select("case_id", "ruleset_id", "text"), whole_percent).select(*KEY, "ord", "verdict", "reason")
 
 
 def first_hit(hits: DataFrame) -> DataFrame:
@@ -346,47 +425,43 @@ def first_hit(hits: DataFrame) -> DataFrame:
 
 
 def evaluate_constraints(constraints: DataFrame, cases: DataFrame, whole_percent: bool = True) -> DataFrame:
-    """(case, rule, verdict, reason) of the compiled layer; ``text`` is put in guard form first."""
-    ready = cases.select("case_id", "ruleset_id", tx.guard_norm("text").alias("text"))
-    return first_hit(eval_constraints(constraints, ready, whole_percent))
+    """(case, rule, verdict, reason) of the compiled layer."""
+    return first_hit(eval_constraints(constraints, cases, whole_percent))
 
 
 def generic_hits(rules: DataFrame, cases: DataFrame) -> DataFrame:
     """Hits every ruleset gets: a stated minimum against the total budgets, a page limit against the description."""
-    quote = F.coalesce("quote", F.lit(""))
-    limits = rules.select(
-        *RULE,
-        tx.parse_digits(tx.first_group(quote, fv.GENERIC_MINIMUM)).alias("minimum"),
-        tx.first_group(quote, fv.GENERIC_PAGES).cast("bigint").alias("limit"),
-    ).filter(F.col("minimum").isNotNull() | F.col("limit").isNotNull())
-    ready = computed(cases.select("case_id", "ruleset_id", "text"), tx.guard_norm("text").alias("norm"))
-    stated = (
-        computed(
-            ready,
-            F.array_max(budget_values("norm")).alias("budget"),
-            tx.first_group("norm", fv.GENERIC_PAGES_FOUND).cast("bigint").alias("pages"),
-        )
-        .filter(F.col("budget").isNotNull() | F.col("pages").isNotNull())
-        .select("case_id", "ruleset_id", "budget", "pages")
-    )
-    low = F.col("budget") < F.col("minimum")
-    long = F.col("pages") > F.col("limit")
-    return join_keyed(stated, limits, ["ruleset_id"]).filter(low | long).select(
-        *KEY,
-        F.lit("not_met").alias("verdict"),
-        F.when(low, F.concat(F.lit("budget "), "budget", F.lit(" under minimum "), "minimum"))
-        .otherwise(F.concat("pages", F.lit(" pages over limit "), "limit"))
-        .alias("reason"),
-    )
+    return first_hit(book_hits(rule_book(rules=rules), cases.select("case_id", "ruleset_id", "text")))
+
+
+def dossier_hits(rules: DataFrame, cases: DataFrame, constraints: DataFrame | None = None, whole_percent: bool = True) -> DataFrame:
+    """Hits of all layers with their ruleset; fund guards count for rules that are listed in ``rules`` only."""
+    constraints = compile_rules(rules) if constraints is None else constraints
+    return book_hits(rule_book(constraints, rules), cases, whole_percent, fund_rules(rules))
 
 
 def hand_hits(rules: DataFrame, cases: DataFrame, whole_percent: bool = True) -> DataFrame:
     """Fund-specific hits, the generic ones where the fund has none."""
-    ready = cases.withColumn("text", tx.guard_norm("text"))
-    fund = fund_hits(ready, whole_percent)
-    generic = generic_hits(rules, cases).join(fund.select(*KEY), KEY, "left_anti")
-    listed = join_keyed(fund, rules.select(*RULE).distinct(), RULE, "left_semi")
-    return listed.select(*KEY, "verdict", "reason").unionByName(generic)
+    found = dossier_hits(rules, cases, compile_rules(rules).limit(0), whole_percent)
+    return found.groupBy(*KEY).agg(F.min_by(F.struct("verdict", "reason"), F.struct("layer", "ord")).alias("_h")).select(*KEY, "_h.verdict", "_h.reason")
+
+
+def merge_layers(hits: DataFrame) -> DataFrame:
+    """One hit per (case, rule) from hits of all layers, as :func:`merge_hits` gives it, in one aggregation."""
+    one, by = F.struct("verdict", "reason"), F.struct("layer", "ord")
+    compiled = F.col("layer") == COMPILED
+    picked = hits.groupBy(*KEY).agg(F.min_by(F.when(~compiled, one), F.when(~compiled, by)).alias("_h"), F.min_by(F.when(compiled, one), F.when(compiled, by)).alias("_c"))
+    return picked.select(*KEY, *merged(F.col("_h"), F.col("_c")))
+
+
+def merged(hand: Column, compiled: Column) -> list[Column]:
+    """hit_verdict, source and reason of a hand hit and a compiled one (structs of verdict and reason, null where none)."""
+    both = hand.isNotNull() & compiled.isNotNull()
+    strict = (hand["verdict"] == "not_met") | (compiled["verdict"] == "not_met")
+    verdict = F.when(both & strict, "not_met").otherwise(F.coalesce(hand["verdict"], compiled["verdict"]))
+    source = F.when(both, "hand+compiler").when(hand.isNotNull(), "hand").otherwise("compiler")
+    reason = F.when(both, F.concat(hand["reason"], F.lit(" | "), compiled["reason"])).otherwise(F.coalesce(hand["reason"], compiled["reason"]))
+    return [verdict.alias("hit_verdict"), source.alias("source"), reason.alias("reason")]
 
 
 # --- merging and applying ------------------------------------------------------------------------
@@ -398,35 +473,29 @@ def hand_coverage(spark) -> DataFrame:
 
 def merge_hits(hand: DataFrame, compiled: DataFrame) -> DataFrame:
     """One hit per (case, rule) with its source: hand, compiler or both (not_met when either says so)."""
-    h = hand.select(*KEY, F.col("verdict").alias("_hv"), F.col("reason").alias("_hr"))
-    c = compiled.select(*KEY, F.col("verdict").alias("_cv"), F.col("reason").alias("_cr"))
-    both = F.col("_hv").isNotNull() & F.col("_cv").isNotNull()
-    verdict = F.when(both & ((F.col("_hv") == "not_met") | (F.col("_cv") == "not_met")), "not_met").otherwise(
-        F.coalesce("_hv", "_cv")
-    )
-    return h.join(c, KEY, "full").select(
-        *KEY,
-        verdict.alias("hit_verdict"),
-        F.when(both, "hand+compiler").when(F.col("_hv").isNotNull(), "hand").otherwise("compiler").alias("source"),
-        F.when(both, F.concat("_hr", F.lit(" | "), "_cr")).otherwise(F.coalesce("_hr", "_cr")).alias("reason"),
-    )
+    h = hand.select(*KEY, F.struct("verdict", "reason").alias("_h"))
+    c = compiled.select(*KEY, F.struct("verdict", "reason").alias("_c"))
+    return h.join(c, KEY, "full").select(*KEY, *merged(F.col("_h"), F.col("_c")))
 
 
 def decide(verdicts: DataFrame, hits: DataFrame, rules: DataFrame, hand: DataFrame) -> DataFrame:
     """Attach the guard's action to verdicts (case, rule, ruleset_id, verdict): override, flag, confirm or none."""
+    return decided(verdicts.join(hits, KEY, "left"), rules, hand).select(*verdicts.columns, "source", "reason", "action")
+
+
+def decided(met: DataFrame, rules: DataFrame, hand: DataFrame) -> DataFrame:
+    """``action`` for verdicts that carry their hit (hit_verdict, source, reason)."""
     known = rules.select(*RULE, "type").join(hand.withColumn("_hand", F.lit(True)), RULE, "left")
-    met = F.col("verdict") == "met"
+    is_met = F.col("verdict") == "met"
     doubt = (F.col("source") == "compiler") & F.coalesce("_hand", F.lit(False))
     strict = (F.col("type") == "quantitative") & (F.col("hit_verdict") == "not_met")
     action = (
         F.when(F.col("hit_verdict").isNull(), None)
-        .when(met & ~doubt & strict, "override")
-        .when(met, "flag")
+        .when(is_met & ~doubt & strict, "override")
+        .when(is_met, "flag")
         .otherwise("confirm")
     )
-    return join_keyed(verdicts.join(hits, KEY, "left"), known, RULE, "left").select(
-        *verdicts.columns, "source", "reason", action.alias("action")
-    )
+    return join_keyed(met, known, RULE, "left").select(*met.columns, action.alias("action"))
 
 
 def apply_guard(df: DataFrame) -> DataFrame:
@@ -451,9 +520,7 @@ def guard_verdicts(
     verdicts: DataFrame, cases: DataFrame, rules: DataFrame, constraints: DataFrame | None = None, whole_percent: bool = True
 ) -> DataFrame:
     """The whole guard layer over verdicts (case, rule, ruleset_id, verdict, confidence, note)."""
-    constraints = compile_rules(rules) if constraints is None else constraints
-    compiled = evaluate_constraints(constraints, cases, whole_percent)
-    hits = merge_hits(hand_hits(rules, cases, whole_percent), compiled)
+    hits = merge_layers(dossier_hits(rules, cases, constraints, whole_percent))
     return apply_guard(decide(verdicts, hits, rules, hand_coverage(rules.sparkSession)))
 
 

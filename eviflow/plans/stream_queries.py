@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eviflow.plans import guard_queries as gq
 from eviflow.plans import name_queries as nq
 from eviflow.plans import text_queries as tq
 from eviflow.plans import views as v
 from eviflow.plans.registry import Tables, query, work_folder
 from eviflow.sources import readers, writers
+from eviflow.sources.keyed_table import KeyedTable
 from eviflow.streaming.intake import assess_stream, screen_stream, written_findings
+from eviflow.streaming.verdicts import current_verdicts, verdict_stream
 
 
 class StreamedOrders(Tables):
@@ -49,6 +52,78 @@ def stream_screening(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{out}/result/risk").select("case_id", "risk")
 
 
+@query(
+    "stream_verdicts",
+    v.ctes(
+        v.V_MONEY, gq.NATION_HITS,
+        """
+v_again AS (SELECT *, case_id % 3 = 0 AS again, 4 * declared AS figure FROM v_nation),
+v_hit AS (SELECT case_id, 'A1' AS rule_id, 'compiler' AS source FROM v_again WHERE CASE WHEN again THEN figure ELSE top END < lo
+  UNION ALL SELECT case_id, 'A2', 'compiler' FROM v_again WHERE CASE WHEN again THEN figure ELSE declared END > hi
+  UNION ALL SELECT case_id, 'A3', 'compiler' FROM v_again WHERE revenue IS NOT NULL AND NOT again
+  UNION ALL SELECT case_id, 'A4', 'hand' FROM v_again WHERE CASE WHEN again THEN figure ELSE top END < lo),
+v_sheet AS (SELECT case_id, ruleset_id, again, unnest(CASE WHEN again THEN ['A1', 'A2', 'A3'] ELSE ['A1', 'A2', 'A3', 'A4'] END) AS rule_id,
+  CASE WHEN o_orderstatus = 'O' AND NOT again THEN 'unclear' ELSE 'met' END AS ai FROM v_again JOIN orders ON o_orderkey = case_id)
+""",
+        body="""
+SELECT s.case_id, s.rule_id, s.ruleset_id, CASE WHEN h.case_id IS NULL OR ai <> 'met' THEN ai WHEN s.rule_id <> 'A2' THEN 'not_met' ELSE 'unclear' END AS verdict,
+  CASE WHEN h.case_id IS NULL THEN NULL WHEN ai <> 'met' THEN 'confirm' WHEN s.rule_id <> 'A2' THEN 'override' ELSE 'flag' END AS action, h.source
+FROM v_sheet s LEFT JOIN v_hit h ON h.case_id = s.case_id AND h.rule_id = s.rule_id
+""",
+    ),
+)
+def stream_verdicts(t: Tables) -> DataFrame:
+    """Dossiers and verdicts of all orders arrive in two batches; a third of the dossiers comes again, under another fund's name.
+
+    The second upload counts, read by the ruleset of the first; its verdicts replace those before, which are void.
+    """
+    out = work_folder(t)
+    rules, first = gq.nation_rules(t), gq.nation_cases(t)
+    state = t.orders.select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_orderstatus") == "O", "unclear").otherwise("met").alias("verdict"))
+    asked = F.explode(F.array(*[F.lit(r) for r in ("A1", "A2", "A3", "A4")])).alias("rule_id")
+    given = [F.lit("medium").alias("confidence"), F.lit("").alias("note")]
+    again = v.money_figures(t).filter("case_id % 3 = 0")
+    text = F.concat(F.lit("The total requested budget is $"), F.format_number(F.col("declared") * 4, 0), F.lit(" over two years."))
+    uploads = [first.select("case_id", F.lit(1).alias("seq"), "ruleset_id", "text", "directorate"), again.select("case_id", F.lit(3).alias("seq"), F.lit("N0").alias("ruleset_id"), text.alias("text"), "directorate")]
+    verdicts = [
+        first.join(state, "case_id").select("case_id", F.lit(2).alias("seq"), asked, "verdict", *given),
+        again.select("case_id", F.lit(4).alias("seq"), asked, F.lit("met").alias("verdict"), *given).filter("rule_id <> 'A4'"),
+    ]
+    streams = {}
+    for k in (0, 1):
+        for name, batches in (("uploads", uploads), ("verdicts", verdicts)):
+            batches[k].write.parquet(f"{out}/{name}/batch={k}")
+            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batches[k].schema)
+            streams[name] = t.spark.readStream.schema(f"{schema}, batch int").parquet(f"{out}/{name}")
+        verdict_stream(streams["uploads"], streams["verdicts"], rules, f"{out}/result", f"{out}/state").awaitTermination()
+    found = current_verdicts(t.spark.read.parquet(f"{out}/result"))
+    return found.select("case_id", "rule_id", "ruleset_id", "verdict", "action", "source")
+
+
+@query(
+    "verdict_table",
+    v.ctes(
+        v.V_VERDICTS,
+        body="""
+SELECT case_id, rule_id, CASE WHEN l_tax >= 0.07 THEN 'met' WHEN l_tax >= 0.05 AND case_id % 97 < 9 THEN 'unclear' ELSE ai_verdict END AS ai_verdict,
+  CASE WHEN l_tax >= 0.07 OR (l_tax >= 0.05 AND case_id % 97 < 9) THEN NULL ELSE final_verdict END AS final_verdict FROM v_verdicts
+""",
+    ),
+)
+def verdict_table(t: Tables) -> DataFrame:
+    """Verdicts kept in a keyed table: loaded, assessed again in two batches of which one comes twice, and read back."""
+    rows = v.verdicts(t)
+    loaded = rows.select("case_id", "rule_id", "ai_verdict", "final_verdict")
+    table = KeyedTable.create(t.spark, f"{work_folder(t)}/verdicts", ["case_id", "rule_id"], loaded.schema, buckets=16)
+    table.merge(loaded, "load", lambda current, changes: changes)
+    again = rows.filter("l_tax >= 0.05 AND case_id % 97 < 9").select("case_id", "rule_id", F.lit("unclear").alias("ai_verdict"), F.lit(1).alias("seq"))
+    for batch in ("first", "first"):
+        table.merge(again, batch, writers.upsert_verdicts)
+    last = rows.filter("l_tax >= 0.07").select("case_id", "rule_id", F.lit("met").alias("ai_verdict"), F.lit(2).alias("seq"))
+    table.merge(last, "second", writers.upsert_verdicts)
+    return KeyedTable.open(t.spark, table.path).read()
+
+
 # --- files ---------------------------------------------------------------------------------------
 @query(
     "feedback_files",

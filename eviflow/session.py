@@ -17,6 +17,8 @@ SETTINGS = {
     # Unions keep plain concatenation of partitions: the partition-aware union zips its inputs and fails when adaptive
     # execution has coalesced them differently.
     "spark.sql.unionOutputPartitioning": "false",
+    # Keyed stream state lives on disk and is snapshotted to the checkpoint.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -1,7 +1,8 @@
-"""Intake streams: every arriving dossier is screened and cross-checked.
+"""Intake streams: every arriving dossier is screened and cross-checked, and its verdicts are guarded as they come.
 
-A dossier is one row, so nothing is kept between batches; results of a batch are written under its batch id, which
-makes a repeated batch overwrite itself.
+For screening and cross-checks a dossier is one row, so nothing is kept between batches; results of a batch are written
+under its batch id, which makes a repeated batch overwrite itself. Guarded verdicts need what came before: the ruleset
+that a case was first assessed under, the hits on its latest text and its latest verdicts are keyed state.
 """
 
 from __future__ import annotations
