@@ -129,21 +129,26 @@ def shared_keys(batches):
         yield batch_of(schema, held.T)
 
 
-def likely(of: DataFrame):
-    """A filter on a column of row numbers that all of ``of`` pass and few others, however large ``of`` is."""
+def row_filter(of: DataFrame):
+    """A broadcast filter on hashes of row numbers that all of ``of`` pass and few others; ``FILTER_BITS`` however large ``of`` is."""
     place = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
     word = F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))")
     words = of.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(word.alias("bits")).toPandas()  # FILTER_BITS / 64 rows at most
     bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     bits[words["w"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
-    shared = of.sparkSession.sparkContext.broadcast(bits)
+    return of.sparkSession.sparkContext.broadcast(bits)
+
+
+def likely(of: DataFrame):
+    """:func:`row_filter` as a condition on column ``row``."""
+    shared = row_filter(of)
 
     @F.pandas_udf("boolean")
     def passes(p: pd.Series) -> pd.Series:
         p = p.to_numpy()
         return pd.Series((shared.value[p >> 6] >> (p & 63)) & 1 == 1)
 
-    return passes(place)
+    return passes(F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS)))
 
 
 def within_bounds(a: str, b: str, percent: int):
@@ -153,24 +158,41 @@ def within_bounds(a: str, b: str, percent: int):
     return (100 + percent) * most >= percent * (n + m)
 
 
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parities allow the similarity; sets are sent for these only."""
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("class").alias(side), F.struct("n", *PARITIES).alias(f"of_{side}")), side)
+    return pairs.filter(parities_allow("of_a", "of_b", percent)).select("a", "b")
+
+
 def parities_allow(a: str, b: str, percent: int):
     """Can the pair be similar enough, as each parity that differs stands for a shingle of one set only?"""
     differ = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITIES), F.lit(0))
     return (100 + percent) * differ <= (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
-def similar(pairs: DataFrame, classes: DataFrame, rows: DataFrame, folder: str, name: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough, compared whole."""
-    asked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    asked = written(classes.join(asked, "class").select("class", F.col("first").alias("row")), folder, f"asked-{name}")
-    schema = pa.schema([("class", pa.int64()), ("items", pa.list_(pa.int64()))])
+def sets_of(asked: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(class, items) of the classes in ``asked`` (class, row), from one pass over the texts: only sets are shuffled."""
+    place = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
+    passes = row_filter(asked)
+    schema = pa.schema([("row", pa.int64()), ("items", pa.list_(pa.int64()))])
 
     def run(batches):
+        bits = passes.value
         for batch in batches:
+            p = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[p >> 6] >> (p & 63)) & 1 == 1))
             yield batch_of(schema, (batch.column(0), [shingles(t, words).view(np.int64) for t in batch.column(1).to_pylist()]))
 
-    texts = rows.filter(likely(asked)).join(asked, "row").select("class", binary_text().alias("text"))
-    sets = written(texts.mapInArrow(run, "class long, items array<long>"), folder, f"sets-{name}")
+    found = rows.select("row", binary_text().alias("text"), place.alias("p")).mapInArrow(run, "row long, items array<long>")
+    return found.join(asked, "row").select("class", "items")
+
+
+def similar(pairs: DataFrame, classes: DataFrame, rows: DataFrame, folder: str, name: str, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar enough, compared whole."""
+    asked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    asked = written(classes.join(asked, "class").select("class", F.col("first").alias("row")), folder, f"asked-{name}")
+    sets = written(sets_of(asked, rows, words), folder, f"sets-{name}")
     left, right = sets.select(F.col("class").alias("a"), F.col("items").alias("of_a")), sets.select(F.col("class").alias("b"), F.col("items").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     met = pairs.join(left, "a").join(right, "b")
@@ -180,7 +202,7 @@ def similar(pairs: DataFrame, classes: DataFrame, rows: DataFrame, folder: str,
 def near_copies(rows: DataFrame, folder: str, words: int = 5, percent: int = 80, rounds: int = 2, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(row, first) of every row of ``rows`` (row, text): the least row that it reaches by pairs of ``percent`` or more."""
     marks = written(prefixes(rows, words, percent, sample_docs), folder, "prefixes")
-    classes = written(marks.groupBy("class").agg(F.min("row").alias("first"), *[F.min(p).alias(p) for p in PARITIES]), folder, "classes")
+    classes = written(marks.groupBy("class").agg(F.min("row").alias("first"), F.min("n").alias("n"), *[F.min(p).alias(p) for p in PARITIES]), folder, "classes")
     keys = marks.filter(F.col("prefix").isNotNull()).select("class", "n", F.posexplode("prefix").alias("at", "key"))
     keys = keys.select("key", "class", "n", F.col("at").cast("long").alias("at")).repartition("key").sortWithinPartitions("key", "class")
     keys = written(keys.mapInArrow(shared_keys, "key long, class long, n long, at long"), folder, "keys")
@@ -202,7 +224,8 @@ def near_copies(rows: DataFrame, folder: str, words: int = 5, percent: int = 80,
         pair = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
         pairs = met.filter(fits).select(*pair)
         pairs = (pairs if k < rounds else pairs.union(crowd.filter(fits).select(*pair))).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), folder, f"pairs-{k}")
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = written(plausible(pairs, classes, percent), folder, f"pairs-{k}")
         found = written(similar(pairs, classes, rows, folder, str(k), words, percent), folder, f"links-{k}")
         tried = pairs if tried is None else tried.union(pairs)
         links = found if links is None else links.union(found)

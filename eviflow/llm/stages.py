@@ -38,15 +38,19 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the first in the table's order. Repeated rows and null ids are rows of their own.
+    """One document of each near-duplicate group: that of the smallest doc_id. Repeated rows and null ids are rows of their own.
 
     Documents are linked where the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. SimHash
-    cannot tell: at 0.8 about ten of 64 bits differ, so the pairs come from ``jaccard``, whole.
+    cannot tell: at 0.8 about ten of 64 bits differ, so the pairs come from ``jaccard``, whole. A null doc_id is above all
+    others; among equal ones the text's hash decides, and then the table's order. An empty table stays empty.
     """
     folder = stage_folder(spark, docs, "simhash")
     rows = written(packed(docs, F.monotonically_increasing_id().alias("row")), folder, "numbered")
     found = written(jaccard.near_copies(rows.select("row", F.col("doc.text").alias("text")), folder), folder, "groups")
-    dropped = found.filter(F.col("row") != F.col("first")).select("row", F.lit(True).alias("dropped"))
+    many = found.filter(F.col("row") != F.col("first")).select("first").distinct()
+    members = found.join(many, "first").join(rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.xxhash64("doc.text").alias("hash")), "row")
+    kept = members.groupBy("first").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "row")).alias("kept"))
+    dropped = written(members.join(kept, "first").filter(F.col("row") != F.col("kept.row")).select("row", F.lit(True).alias("dropped")), folder, "dropped")
     unsure = jaccard.likely(dropped)
     doubtful = rows.filter(unsure).join(dropped, "row", "left").filter(F.col("dropped").isNull())
     return rows.filter(~unsure).select("doc.*").union(doubtful.select("doc.*"))
