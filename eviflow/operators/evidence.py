@@ -109,48 +109,16 @@ def cite_ok(quote: Column | str, text: Column | str) -> Column:
 
 def attestation_found(attestation: Column, source: Column, min_words: int = fv.ATTEST_MIN_WORDS) -> Column:
     """Does the source hold ``min_words`` consecutive words of the attestation?"""
-    return F.coalesce(F.size(_starts(attestation, source, min_words)) > 0, F.lit(False))
-
-
-def _starts(attestation: Column, source: Column, min_words: int) -> Column:
-    parts, text = tx.words(F.lower(attestation)), tx.ws_norm(source)
-    windows = F.when(
-        F.size(parts) >= min_words, F.sequence(F.lit(1), F.size(parts) - min_words + 1)
-    ).otherwise(F.array().cast("array<int>"))
-    return F.filter(windows, lambda i: F.contains(text, F.array_join(F.slice(parts, i, min_words), " ")))
+    return sim.longest_span(tx.words(F.lower(attestation)), tx.ws_norm(source), F.lit(min_words)).isNotNull()
 
 
 def attestation_span(df: DataFrame, min_words: int = fv.ATTEST_MIN_WORDS, name: str = "span") -> DataFrame:
     """Longest run of at least ``min_words`` words of ``attestation`` found in ``source``, the earliest among equals.
 
-    Starts come from fixed-length windows; each is extended word by word until the source no longer holds it.
+    The time for a row is linear in the lengths of both texts (:func:`similarity.longest_span`).
     """
-    work = (
-        df.withColumn("_w", tx.words(F.lower("attestation")))
-        .withColumn("_t", tx.ws_norm("source"))
-        .withColumn("_i", _starts(F.col("attestation"), F.col("source"), min_words))
-    )
-
-    def piece(i, n):
-        return F.array_join(F.slice("_w", i, n), " ")
-
-    def extend(i):
-        longer = F.when(
-            F.size("_w") - i >= min_words, F.sequence(F.lit(min_words + 1), F.size("_w") - i + 1)
-        ).otherwise(F.array().cast("array<int>"))
-        reach = F.aggregate(
-            longer,
-            F.lit(min_words),
-            lambda n, m: F.when((m == n + 1) & F.contains("_t", piece(i, m)), m).otherwise(n),
-        )
-        return F.struct(reach.alias("n"), (-i).alias("at"))
-
-    best = F.array_max(F.transform("_i", extend))
-    return (
-        work.withColumn("_b", best)
-        .withColumn(name, F.when(F.col("_b").isNotNull(), piece(-F.col("_b.at"), F.col("_b.n"))))
-        .drop("_w", "_t", "_i", "_b")
-    )
+    span = sim.longest_span(tx.words(F.lower("attestation")), tx.ws_norm("source"), F.lit(min_words))
+    return df.withColumn(name, span)
 
 
 def rule_verbatim_ok(rules: DataFrame, guideline: str = "guideline") -> DataFrame:

@@ -11,6 +11,7 @@ from eviflow.operators import review as rv
 from eviflow.operators.common import latest_by_key
 from eviflow.plans import views as v
 from eviflow.plans.registry import Tables, query
+from eviflow.operators.asof import rules_in_force
 from eviflow.sources.writers import upsert_cases, upsert_verdicts
 
 AUDITOR = "officer 3"
@@ -863,3 +864,22 @@ def measurement_status(t: Tables) -> DataFrame:
         "target_false_pass", "control_total", "false_alarm",
     )
     return ev.measurement_status(rulesets, sets.select("ruleset_id", "approved", "generated_at", "approved_at"), cases, evals)
+
+
+# --- rulesets over time --------------------------------------------------------------------------
+@query(
+    "rules_in_force",
+    """
+WITH o AS (SELECT *, CASE WHEN o_custkey % 3 = 0 THEN 'fund 0' ELSE 'fund ' || (o_custkey % 11 + 1) END AS ruleset_id FROM orders),
+ver AS (SELECT ruleset_id, o_orderdate + to_hours(o_orderkey % 24) AS valid_from, max(o_orderkey) AS version FROM o WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2)
+SELECT o.o_orderkey AS case_id, o.ruleset_id, ver.version, ver.valid_from FROM o ASOF LEFT JOIN ver ON o.ruleset_id = ver.ruleset_id AND o.o_orderdate >= ver.valid_from
+""",
+)
+def rules_in_force_query(t: Tables) -> DataFrame:
+    """Orders as cases, urgent ones as new versions of their ruleset; one ruleset has a third of both."""
+    ruleset = F.when(F.col("o_custkey") % 3 == 0, "fund 0").otherwise(F.concat(F.lit("fund "), F.col("o_custkey") % 11 + 1)).alias("ruleset_id")
+    at = F.col("o_orderdate").cast("timestamp_ntz")
+    cases = t.orders.select(F.col("o_orderkey").alias("case_id"), ruleset, at.alias("assessed_at"))
+    begins = at + F.make_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+    versions = t.orders.filter("o_orderpriority = '1-URGENT'").select(ruleset, F.col("o_orderkey").alias("version"), begins.alias("valid_from"))
+    return rules_in_force(cases, versions, width=90 * 86_400).select("case_id", "ruleset_id", "version", "valid_from")

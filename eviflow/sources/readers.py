@@ -124,15 +124,14 @@ def read_applications(spark: SparkSession, folder: str) -> DataFrame:
         .drop("id")
         .withColumnRenamed("ruleset", "ruleset_id")
     )
-    root = folder.rstrip("/").split("/")[-1]
+    # The manifest's own path tells how the file system names the folder, so a folder name that occurs twice is no matter.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    root = spark.read.text(f"{folder}/manifest.json", wholetext=True).select(path.alias("path")).first()["path"].removesuffix("manifest.json")
     texts = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.txt")
         .text(folder, wholetext=True)
-        .select(
-            F.col("value").alias("text"),
-            F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), rf"^.*?/{root}/(.*)$", 1).alias("file"),
-        )
+        .select(F.col("value").alias("text"), F.substring(path, F.lit(len(root) + 1), F.length(path)).alias("file"))
     )
     return cases.join(texts, "file", "left")
 
