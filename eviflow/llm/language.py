@@ -1,9 +1,11 @@
 """Language identification, words first: known words score by their log frequency per language, unseen words by their
 character n-grams, the longest length of which any n-gram is known.
 
-The classifier learns from a bounded sample: ``fit_docs`` documents by hash order (all, where there are fewer), the
-``max_words`` words, ``max_grams`` n-grams and ``max_langs`` languages most frequent in it. These bounds are parameters
-of the classifier; prediction reads every whole text.
+The classifier learns from a bounded sample: of each language about ``lang_docs`` documents by hash order (all, where there
+are fewer), and of ``max_words`` words and ``max_grams`` n-grams each language chooses an equal share, its own most
+frequent ones. So a rare language learns as much as one that dominates the table; how frequent languages are counts as
+prior, from all labelled documents. These bounds are parameters of the classifier; every language is learned, and
+prediction reads every whole text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; so is every text where nothing could be
 learned; equal scores go to the first language in code point order; null languages and null doc_ids teach nothing;
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eviflow.llm.common import batch_of, binary_text, rows_of, written
+from eviflow.operators.common import top_k
 
 RUNS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
@@ -77,7 +80,7 @@ def counted(rows: DataFrame, of) -> DataFrame:
 
 
 def _count_words(total, lang, octets):
-    total.update((lang, w) for w in word_runs(octets.decode("utf-8", "replace")) if len(w) <= 64)
+    total.update((lang, w) for w in word_runs(octets.decode("utf-8", "replace")))
 
 
 def _count_grams(total, lang, word, n):
@@ -86,22 +89,22 @@ def _count_grams(total, lang, word, n):
             total[lang, gram] += n
 
 
-def fit(docs: DataFrame, folder: str, fit_docs: int = 20_000, max_words: int = 100_000, max_grams: int = 100_000, max_langs: int = 64) -> Model:
-    """Model of the rows of ``docs`` (lang, text) that a hash order puts first."""
+def fit(docs: DataFrame, folder: str, lang_docs: int = 5_000, max_words: int = 100_000, max_grams: int = 100_000) -> Model:
+    """Model of the rows of ``docs`` (lang, text) that a hash order puts first in their language."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    n = known.count()
-    share = min(1.0, fit_docs / max(n, 1))
+    known = known.select(F.col("lang").cast("string").alias("lang"), "doc_id", binary_text().alias("text"))
+    sizes = written(known.groupBy("lang").agg(F.count("*").alias("held")), folder, "languages")
     place = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20))
-    sample = known.filter(place < F.lit(int(share * (1 << 20)) + 1)).select(F.col("lang").cast("string").alias("lang"), binary_text().alias("text"))
+    sample = known.join(sizes, "lang").filter(place < F.floor(F.lit(lang_docs) / F.col("held") * (1 << 20)) + 1).select("lang", "text")
     words = written(counted(sample, _count_words), folder, "words")
     parts = written(counted(words, _count_grams), folder, "grams")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
-    langs = sorted(r["lang"] for r in totals)
-    weight = {r["lang"]: r["n"] for r in totals}
+    weight = {r["lang"]: r["held"] for r in sizes.collect()}  # one row per language
+    langs = sorted(weight)
 
     def table(counts: DataFrame, most: int) -> tuple[dict[str, int], np.ndarray]:
-        often = counts.groupBy("item").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).filter(F.col("all") > 1)
-        rows = often.orderBy(F.desc("all"), "item").limit(most).collect()
+        chosen = top_k(counts, ["lang"], [F.desc("n"), F.asc("item")], max(1, most // max(len(langs), 1))).select("item").distinct()
+        often = counts.join(chosen, "item").groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+        rows = often.orderBy("item").collect()  # ``most`` rows at most
         scores = np.array([[r["by"].get(lang, 0) for lang in langs] for r in rows], dtype=np.float64).reshape(len(rows), len(langs))
         return {r["item"]: i for i, r in enumerate(rows)}, np.log((scores + 0.5) / (scores.sum(axis=0) + 0.5 * (len(rows) + 1)))
 

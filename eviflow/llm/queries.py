@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +14,6 @@ from eviflow.llm.common import session, work_folder
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-TOKENIZERS = "/opt/tokenizers"
-
 
 def query(name: str, table: str = "documents", sql: str | None = None):
     """Register ``fn(table, folder)``, called with the whole table and a fresh shared folder."""
@@ -46,7 +45,7 @@ def op3(documents, folder):
 
 @query("op4_sentencepiece")
 def op4(documents, folder):
-    return pieces.encode(documents, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return pieces.encode(documents, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 @query("op5_simhash")
@@ -68,7 +67,7 @@ def op7(documents, folder):
 
 @query("op8_token_files")
 def op8(documents, folder):
-    return token_files.write_and_read(documents, f"{TOKENIZERS}/word_bpe_49k.json", folder, end_id=1, digest=True)
+    return token_files.write_and_read(documents, public_tokenizers.path("word_bpe_49k.json"), folder, end_id=1, digest=True)
 
 
 @query("op9_language")

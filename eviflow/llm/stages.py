@@ -5,13 +5,13 @@ A stage works on any table with doc_id, text and source; further columns are car
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eviflow.llm import jaccard, mixture, pieces, quality_rules, suffix
 from eviflow.llm.common import SPACES, packed, session, work_folder, written
 
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 _folders: list[tuple[str, str]] = []
 #: Shared passages of this many bytes or more go, as in op6.
 PASSAGE_BYTES = 50
@@ -72,4 +72,4 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, round_trip) of every document."""
     stage_folder(spark, docs, "sentencepiece")
-    return pieces.encode(docs, PIECES)
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))

@@ -12,6 +12,7 @@ documents are not read.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -31,6 +32,9 @@ GROUP_CHARS = 1 << 20
 #: ASCII and these letters, lower-casing is per character, and the cut is at the ends of letter runs, digits and others.
 PLAIN = re.compile("[!-~À-ÖØ-öø-įĲ-ſ]*")
 TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+#: The file's own steps that the two patterns above stand for (fixed values of the tokenizer).
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The byte-level spelling: printable Latin-1 stands for itself, the rest follows from U+0100 on.
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SPELLED = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(SHOWN)))}
@@ -61,9 +65,25 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return loads[start] & MASKS[code] if n else np.zeros(0, dtype=np.uint32)
 
 
+def cut_as_here(path: str) -> bool:
+    """Are the file's steps before its model those that ``PLAIN`` and ``TOKENS`` stand for?"""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    steps = (spec["normalizer"] or {}).get("normalizers", [])
+    cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if [s["type"] for s in steps] != NORMALIZERS or [c["type"] for c in cuts] != ["Split", "ByteLevel"]:
+        return False
+    replaced = steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+    split = cuts[0]["pattern"] == {"Regex": SPLIT} and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+    spelled = not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+    return replaced and split and spelled and all(t["content"].startswith("<|") for t in spec["added_tokens"])
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, each distinct part of a text encoded once.
 
+    A file with other steps before its model than :func:`cut_as_here` knows is left to the library, text by text.
+
     The tokenizer drops white space and joins nothing across it, so texts are cut at blanks and line ends; plain units
     are cut further where the tokenizer's own pattern cuts them. Both caches are emptied when they are full.
     """
@@ -73,6 +93,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.parts = cut_as_here(path)
         self.dtype = id_type(path)
         self.code = "H" if self.dtype == "<u2" else "I"
         self.units: dict[str, bytes] = {}
@@ -103,6 +124,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text; a few texts are cut at a time, so that their new units are learned together."""
+        if not self.parts:
+            for text in texts:
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+            return
         group, held = [], 0
         for text in [*texts, None]:
             if text is not None:

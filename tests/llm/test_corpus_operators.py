@@ -246,6 +246,55 @@ def test_language_backoff():
     assert model.unseen("q").tolist() == [0.0, 0.0]
 
 
+def slow_languages(rows):
+    """(doc_id -> language, score), learned from the rows (doc_id, text, lang) whose crc32 mod 4 is not 2."""
+    words, grams, docs = defaultdict(Counter), defaultdict(Counter), Counter()
+    for doc, text, lang in rows:
+        if zlib.crc32(str(doc).encode()) % 4 != 2 and lang is not None and text is not None:
+            docs[lang] += 1
+            for w in language.word_runs(text):
+                words[lang][w] += 1
+                for n in range(1, 5):
+                    for g in language.grams(w, n):
+                        grams[lang][g] += 1
+    langs = sorted(docs)
+    logs = []
+    for counts in (words, grams):
+        items = {x for c in counts.values() for x in c}
+        total = {x: sum(counts[x].values()) for x in langs}
+        logs.append({i: [math.log((counts[x][i] + 0.5) / (total[x] + 0.5 * (len(items) + 1))) for x in langs] for i in items})
+    out = {}
+    for doc, text, _ in rows:
+        found = language.word_runs(text or "")
+        score = [math.log(docs[x] / sum(docs.values())) for x in langs]
+        for w in found:
+            own = logs[0].get(w)
+            for n in range(4, 0, -1):
+                if own is None and (known := [logs[1][g] for g in language.grams(w, n) if g in logs[1]]):
+                    own = [sum(k) / len(known) for k in zip(*known, strict=True)]
+            score = [a + b for a, b in zip(score, own or [0.0] * len(langs), strict=True)]
+        best = max(range(len(langs)), key=lambda k: (score[k], -k))
+        out[doc] = (langs[best], 1 / sum(math.exp(x - score[best]) for x in score)) if found else ("und", 0.0)
+    return out
+
+
+def test_languages_equal_brute_force(spark, folder):
+    """Eighty languages, one of which holds nine of ten documents, with words of any length."""
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnop"))
+    rows = []
+    for d in range(900):
+        lang = 0 if d % 10 else 1 + d // 10 % 79
+        own = np.roll(letters, lang)[:6]
+        rows.append((d, " ".join("".join(rng.choice(own, rng.integers(1, 9))) for _ in range(12)) + (" " + "x" * 90 if lang == 3 else ""), f"l{lang:02}"))
+    rows += [(1000, "12 !", "l01"), (1001, None, "l02"), (1002, "abc", None)]
+    found = language.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"), folder, max_words=10**6, max_grams=10**6).collect()
+    want = slow_languages(rows)
+    assert {r["doc_id"]: r["lang_pred"] for r in found} == {d: lang for d, (lang, _) in want.items()}
+    assert all(r["score"] == pytest.approx(want[r["doc_id"]][1], rel=1e-9) for r in found)
+    assert len({r["lang_pred"] for r in found}) > 60  # of 80 learned
+
+
 def test_language_awkward(awkward, nothing, folder):
     rows = language.identified(awkward, folder).collect()
     assert len(rows) == len(awkward_rows())

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from llm_fixtures import awkward, documents, folder, nothing, spark  # noqa: F401
 
@@ -12,8 +13,8 @@ from eviflow.llm import pieces, quality_rules, simhash, token_files
 from eviflow.llm.components import components, local_components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-TOKENS = "/opt/tokenizers/word_bpe_49k.json"
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+TOKENS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def texts_of(frame):
@@ -130,6 +131,18 @@ def test_token_files(request, folder, table):
     assert [r["start"] for r in found] == np.cumsum([0, *map(len, ids)])[:-1].tolist()
 
 
+def test_other_tokenizers_are_left_to_the_library(awkward, folder):
+    """A file with other steps before its model gives the library's ids too."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    found = token_files.write_and_read(awkward, path, folder, end_id=50256).collect()
+    want = Counter((i, *tokenizer.encode(t or "", add_special_tokens=False).ids, 50256) for i, t in texts_of(awkward))
+    assert Counter((r["doc_id"], *np.frombuffer(r["ids"], dtype="<u4").tolist()) for r in found) == want
+    assert token_files.cut_as_here(TOKENS) and not token_files.cut_as_here(path)
+
+
 def test_token_digest_and_small_blocks(documents, folder, monkeypatch):
     whole = token_files.write_and_read(documents, TOKENS, folder).collect()
     digest = token_files.write_and_read(documents, TOKENS, folder + "2", digest=True).collect()
