@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eviflow.operators import review as rv
 from eviflow.plans import guard_queries as gq
 from eviflow.plans import name_queries as nq
 from eviflow.plans import text_queries as tq
@@ -199,3 +200,79 @@ def approved_rulesets(t: Tables) -> DataFrame:
         F.col("n_name").alias("ruleset_id"), F.when(F.col("rich").isNull(), "draft").alias("status"), F.lit(True).alias("is_default")
     )
     return readers.select_ruleset(sets, require_approved=True).select("ruleset_id")
+
+
+def _one_file_each(rows: DataFrame, key: str, path: str) -> str:
+    """Rows as JSON documents, one file per value of ``key``, which names the file's folder only."""
+    rows.repartition(key).write.partitionBy(key).json(path)
+    return path
+
+
+@query(
+    "officer_files",
+    "SELECT s_name AS name, CASE WHEN s_acctbal > 5000 THEN 'manager' ELSE 'officer' END AS role, n_name || ' office, part ' || s_suppkey AS affiliations FROM supplier JOIN nation ON n_nationkey = s_nationkey",
+)
+def officer_files(t: Tables) -> DataFrame:
+    """Suppliers as officers, a register document per nation, written, read back and listed."""
+    role = F.when(F.col("s_acctbal") > 5000, "manager")  # the others' role is missing
+    of = F.struct(F.col("s_name").alias("name"), role.alias("role"), F.array(F.concat("n_name", F.lit(" office")), F.concat(F.lit("part "), "s_suppkey")).alias("affiliations"))
+    officers = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey").agg(F.collect_list(of).alias("officers"))
+    path = _one_file_each(officers.withColumn("sla_days", F.create_map(F.lit("new"), F.lit(5))), "n_nationkey", f"{work_folder(t)}/officers")
+    listed = rv.officer_catalogue(readers.read_officers(t.spark, f"{path}/*")[0])
+    return listed.withColumn("affiliations", F.array_join("affiliations", ", "))
+
+
+@query(
+    "label_files",
+    """
+SELECT 'D' || doc_id AS case_id, r AS rule_id, CASE WHEN CASE r WHEN 'quality' THEN quality ELSE toxic END = 1 THEN 'met' ELSE 'not_met' END AS truth
+FROM labels, (SELECT unnest(['quality', 'toxic']) AS r)
+""",
+)
+def label_files(t: Tables) -> DataFrame:
+    """Labels as truth documents of a hundred cases, written and read back."""
+    verdict = lambda c: F.when(F.col(c) == 1, "met").otherwise("not_met")
+    entry = F.struct(F.concat(F.lit("D"), "doc_id").alias("key"), F.create_map(F.lit("quality"), verdict("quality"), F.lit("toxic"), verdict("toxic")).alias("value"))
+    docs = t.labels.groupBy(F.floor(F.col("doc_id") / 100).alias("part")).agg(F.map_from_entries(F.collect_list(entry)).alias("labels"))
+    path = _one_file_each(docs, "part", f"{work_folder(t)}/labels")
+    return readers.read_labels(t.spark, f"{path}/*")[0]
+
+
+@query(
+    "evaluation_files",
+    """
+SELECT p_brand AS ruleset_id, count(*) FILTER (WHERE p_size > 10) AS target_correct, count(*) AS target_total, count(*) FILTER (WHERE p_size < 3) AS target_false_pass,
+  count(DISTINCT p_type) AS control_total FROM part GROUP BY p_brand
+""",
+)
+def evaluation_files(t: Tables) -> DataFrame:
+    """An evaluation report per brand, a document each, written and read back."""
+    counts = t.part.groupBy("p_brand").agg(
+        F.count_if(F.col("p_size") > 10).alias("correct"), F.count("*").alias("total"), F.count_if(F.col("p_size") < 3).alias("false_pass"), F.countDistinct("p_type").alias("types")
+    )
+    docs = counts.select(F.col("p_brand").alias("ruleset"), F.lit("m").alias("llm"), F.struct("correct", "total", "false_pass").alias("target"), F.struct(F.col("types").alias("total")).alias("control"))
+    path = f"{work_folder(t)}/reports"
+    _one_file_each(docs.withColumn("of", F.col("ruleset")), "of", path)
+    found = readers.read_evals(t.spark, f"{path}/*")
+    return found.select("ruleset_id", "target_correct", "target_total", "target_false_pass", "control_total")
+
+
+@query(
+    "tuning_file",
+    """
+SELECT 'P' || p_partkey AS "case", 'You judge grants.' AS system, '{"verdict":"met","confidence":"high","supporting_fact":1,"note":"' || CASE WHEN p_size > 25 THEN p_type ELSE 'Per the officer''s signed verdict.' END || '"}' AS assistant
+FROM part WHERE p_size > 10
+""",
+)
+def tuning_file(t: Tables) -> DataFrame:
+    """Parts as feedback written as tuning lines and read back; small ones have no facts and are left out."""
+    facts = F.when(F.col("p_size") > 10, F.array("p_name", "p_brand")).otherwise(F.array().cast("array<string>"))
+    rows = t.spread("part").select(
+        F.concat(F.lit("P"), "p_partkey").alias("case"), F.lit("R1").alias("rule"), F.col("p_name").alias("rule_quote"), facts.alias("facts"),
+        F.lit("met").alias("final_verdict"), F.when(F.col("p_size") > 25, F.col("p_type")).alias("officer_reason"),
+    )
+    path = f"{work_folder(t)}/tuning"
+    writers.write_sft(rows, path, "You judge grants.")
+    read = t.spark.read.schema("messages array<struct<role:string,content:string>>").json(path)
+    said = lambda k: F.col("messages")[k]["content"]
+    return read.select(F.regexp_extract(said(1), r"^CASE (\S+) ", 1).alias("case"), said(0).alias("system"), said(2).alias("assistant"))
