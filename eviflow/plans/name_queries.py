@@ -147,6 +147,21 @@ def sanctions_matches(t: Tables) -> DataFrame:
     return hits.select("norm", "ref", "matched_name", "entity_type", "score", "detail", "rank")
 
 
+@query(
+    "register_search",
+    v.ctes(
+        BANNED, ALL_PARTS, SCORES, BEST_BANNED,
+        body="SELECT a AS norm, CAST(rank AS INTEGER) AS rank, score, name AS matched_name, active FROM v_bhit WHERE a IN (SELECT upper(p_name) FROM part WHERE p_size > 25)",
+    ),
+)
+def register_search(t: Tables) -> DataFrame:
+    """Names of the larger parts looked up in all registers, without a kind; the banned persons found."""
+    names = t.part.filter("p_size > 25").select(F.col("p_name").alias("name"))
+    companies = _companies(t)
+    found = nm.lookup(names, banned(t), _entries(t), companies, nm.registry_tokens(companies))[0]
+    return found.select("norm", "rank", "score", "matched_name", "active")
+
+
 def _parties(t: Tables) -> DataFrame:
     """Parts as applications: turned name as applicant, plain name as organisation when large."""
     turned = F.concat(F.substring_index("p_name", " ", -1), F.lit(" "), F.substring_index("p_name", " ", 1))

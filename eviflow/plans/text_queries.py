@@ -379,3 +379,18 @@ def verbatim_contains(t: Tables) -> DataFrame:
     phrase = c.select("conv_id", "turn", F.array_join(F.slice(tx.words("text"), 1, 2), "\n").alias("phrase"))
     answer = c.select("conv_id", (F.col("turn") - 1).alias("turn"), "text")
     return phrase.join(answer, ["conv_id", "turn"]).select("conv_id", "turn", tx.contains_norm("text", "phrase").alias("found"))
+
+
+@query(
+    "contexts",
+    r"""
+WITH d AS (SELECT doc_id, text, strpos(text, 'en') AS p FROM documents)
+SELECT doc_id, trim(regexp_replace(substr(text, greatest(p - 56, 0) + 1, p + 56 - greatest(p - 56, 0)),
+  '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ') AS context FROM d WHERE p > 0
+""",
+)
+def contexts(t: Tables) -> DataFrame:
+    """The text around the first place of a syllable in every document that holds it."""
+    at = F.col("at")
+    found = t.spread("documents").select("doc_id", "text", (F.locate("en", "text") - 1).alias("at")).filter(at >= 0)
+    return found.select("doc_id", tx.context("text", at, at + 2).alias("context"))
