@@ -30,7 +30,7 @@ def query(name: str, table: str = "documents", sql: str | None = None):
 @query("op1_mixture")
 def op1(documents, folder):
     found = mixture.mix(documents, folder, carry=["doc_id"])
-    return found.select("doc.doc_id", "size", "source_size", "target", "taken")
+    return found.select("doc.doc_id", "size", "source_size", "target", "taken", "draws")
 
 
 @query("op2_vptree", table="embeddings", sql=oracles.NEAREST)

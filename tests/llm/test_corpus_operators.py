@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from llm_fixtures import PROSE, awkward, awkward_rows, documents, folder, nothing, spark  # noqa: F401
+from pyspark.sql import functions as F
 
 from eviflow.llm import language, mixture, quality_model, sharding, suffix, vptree
 from eviflow.llm.dc3 import ranks
@@ -23,14 +24,72 @@ def n_words(text):
 # Mixture
 
 
-def test_targets():
-    assert mixture.targets([100, 100, 100], (5, 2, 1)) == [200.0, pytest.approx(250 * 2 / 3), pytest.approx(250 / 3)]
-    assert mixture.targets([], (5, 2, 1)) == [] and mixture.targets([0, 10], (5, 2, 1)) == [0.0, 15.0]
-    sizes = [3, 1000, 50, 0, 7]
-    found = mixture.targets(sizes)
+def slow_targets(sizes, weights=(5, 2, 1), total=1.5, most=2.0):
+    left, out = total * sum(sizes), [0.0] * len(sizes)
+    open_ = [i for i, s in enumerate(sizes) if s]
+    while open_:
+        all_ = sum(weights[i % len(weights)] for i in open_)
+        share = {i: left * weights[i % len(weights)] / all_ for i in open_}
+        over = [i for i in open_ if share[i] > most * sizes[i]]
+        for i in over or open_:
+            out[i] = most * sizes[i] if over else share[i]
+        left -= sum(out[i] for i in over)
+        open_ = [i for i in open_ if i not in over] if over else []
+    return out
+
+
+def found_targets(spark, folder, sizes):
+    rows = spark.createDataFrame([(f"s{i:05}", n) for i, n in enumerate(sizes)], "source string, size long")
+    found = mixture.source_targets(rows, folder).orderBy("s").collect()
+    assert [r["source"] for r in found] == [f"s{i:05}" for i in range(len(sizes))]
+    return [r["target"] for r in found]
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [], [0, 10], [0], [3, 1000, 50, 0, 7], [1, 4, 16, 64, 256, 1024, 4096, 5]])
+def test_targets(spark, folder, sizes):
+    found = found_targets(spark, folder, sizes)
+    assert found == pytest.approx(slow_targets(sizes))
     assert sum(found) == pytest.approx(1.5 * sum(sizes)) and all(t <= 2 * s + 1e-9 for t, s in zip(found, sizes, strict=True))
 
 
+def test_blocks_of_many_sources(spark, folder):
+    """100,000 sources, a third of all blocks in one: every quota and every shard's size is exact."""
+    quotas = spark.range(100_000).select(F.col("id").alias("s"), F.when(F.col("id") == 777, 100_000).otherwise(F.col("id") % 5).alias("quota"))
+    dealt = mixture.deal_blocks(quotas, 8, seed=3).toPandas()
+    ends = np.array(dealt["room"].tolist())
+    want = np.where(dealt["node"] == 777, 100_000, dealt["node"] % 5)
+    assert len(dealt) == 100_000 and (ends[:, -1] == want).all()
+    shards = np.diff(ends, axis=1, prepend=0)
+    assert shards.min() >= 0 and np.ptp(shards.sum(axis=0)) <= 1
+    assert all(np.gcd(a, max(q, 1)) == 1 for a, q in zip(dealt["step"], want))
+
+
+@pytest.mark.parametrize("table", ["awkward", "documents"])
+def test_mix_taken_from_blocks(request, folder, table):
+    """What every document gives, counted word by word over the blocks that the plan deals to each shard."""
+    docs, shards, size = request.getfixturevalue(table), 5, 64
+    rows = mixture.mix(docs, folder, carry=["doc_id", "source"], block_words=size, bucket_docs=3, shards=shards).collect()
+    plan = {r["source"]: r for r in docs.sparkSession.read.parquet(f"{folder}/plan").collect()}
+    hashed = docs.sparkSession.read.parquet(f"{folder}/sizes").collect()
+    of = defaultdict(list)
+    for r in hashed:
+        of[r["source"]].append(((r["h"] % -(-plan[r["source"]]["n_docs"] // 3)), r["h"], r["size"], r["doc"]["doc_id"]))
+    want = Counter()
+    for source, own in of.items():
+        p, stream = plan[source], [doc for _, _, n, doc in sorted(own, key=lambda o: o[:3]) for _ in range(n)]
+        for shard in range(shards):
+            for place in range(p["ends"][shard - 1] if shard else 0, p["ends"][shard]):
+                block = next(b for b in range(p["quota"]) if b * p["step"] % p["quota"] == place)
+                for word in range(block * size, min((block + 1) * size, p["take"])):
+                    want[source, stream[word % len(stream)], shard] += 1
+    found = Counter()
+    for r in rows:
+        for d in r["draws"]:
+            found[r["doc"]["source"], r["doc"]["doc_id"], d["shard"]] += d["words"]
+        assert r["taken"] == sum(d["words"] for d in r["draws"])
+    assert found == want
+
+
 def test_quota_tree_is_exact():
     quotas = [1000, 17, 0, 3, 260]
     dealt = mixture.split_quotas(quotas, 7, seed=1)
@@ -53,7 +112,7 @@ def test_mix(request, folder, table):
     for r in docs.select("source", "text").collect():
         sizes[r["source"]] += n_words(r["text"])
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    target = dict(zip(order, mixture.targets([sizes[s] for s in order]), strict=True))
+    target = dict(zip(order, slow_targets([sizes[s] for s in order]), strict=True))
     taken, blocks = Counter(), defaultdict(Counter)
     for r in rows:
         source = r["doc"]["source"]
