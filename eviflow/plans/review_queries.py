@@ -10,8 +10,9 @@ from eviflow.operators import evaluate as ev
 from eviflow.operators import review as rv
 from eviflow.operators.common import latest_by_key
 from eviflow.plans import views as v
-from eviflow.plans.registry import Tables, query
+from eviflow.plans.registry import Tables, query, work_folder
 from eviflow.operators.asof import rules_in_force
+from eviflow.sources import audit_log
 from eviflow.sources.writers import upsert_cases, upsert_verdicts
 
 AUDITOR = "officer 3"
@@ -626,6 +627,32 @@ def chain_verify(t: Tables) -> DataFrame:
     return au.verify_chain(log, "case_id", width=2000)
 
 
+@query(
+    "chain_tail_verify",
+    _view(
+        v.V_AUDIT, CHAIN_SQL,
+        """
+v_cut AS (SELECT max(seq) // 2 AS half FROM v_audit)""",
+        """
+v_stored AS (SELECT c.*, c.seq > (SELECT half FROM v_cut) AND a.actor = 'error' AND length(a.detail) = 8 AND a.role IS NULL AS edited FROM v_chain c JOIN v_audit a ON a.seq = c.seq)""",
+        body="""
+SELECT case_id, min(seq) FILTER (WHERE edited) IS NULL AS ok, min(seq) FILTER (WHERE edited) AS broken_at_seq, count(*) AS total,
+  CASE WHEN min(seq) FILTER (WHERE edited) IS NULL THEN arg_max(hash, seq) END AS head FROM v_stored GROUP BY case_id
+""",
+    ),
+)
+def chain_tail_verify(t: Tables) -> DataFrame:
+    """A log appended in two epochs, edited after the first and verified from the last good checkpoint before the edits."""
+    log, folder = v.audit_rows(t), work_folder(t)
+    cut = F.lit((log.agg(F.max("seq")).first()[0] or 0) // 2)
+    audit_log.append(log.filter(F.col("seq") <= cut), folder)
+    start = audit_log.last_good(t.spark, folder)
+    audit_log.append(log.filter(F.col("seq") > cut), folder)
+    edited = (F.col("actor") == "error") & (F.length("detail") == 8) & F.col("role").isNull()
+    rows = audit_log.tail(t.spark, folder, start).withColumn("detail", F.when(edited, "{}").otherwise(F.col("detail")))
+    return audit_log.verify_tail(rows, audit_log.heads_at(t.spark, folder, start), width=2000)
+
+
 # --- evaluation ----------------------------------------------------------------------------------
 SCORED = "v_scored AS (SELECT p.*, t.truth, t.type FROM v_pred p JOIN v_truth t ON p.case_id = t.case_id AND p.rule_id = t.rule_id)"
 
