@@ -58,6 +58,30 @@ def test_pool_without_officers_or_cases(spark, frame):
     assert [(r.n_officers, r.n_free, r.suggested) for r in alone] == [(0, 0, [])] * 3
 
 
+def test_cases_that_say_the_same_are_checked_once(spark, frame):
+    officers, cases = made(4)
+    cases += [(100 + c[0], *c[1:]) for c in cases] + [cases[0], cases[5], (None, *cases[7][1:])]
+    officers, cases = frames(frame, officers, cases)
+    of = dict(map(tuple, assignment.alike(cases).collect()))
+    assert None in of and 7 in of and sum(c == f for c, f in of.items()) <= 61 < len(of) == 121
+    columns = ["case_id", "officer", "level", "n_reasons"]
+    key = lambda r: tuple(str(x) for x in r)
+    want = assignment.conflict_levels(assignment.conflicts(cases, officers))
+    assert sorted(assignment.case_levels(cases, officers).select(columns).collect(), key=key) == sorted(want.select(columns).collect(), key=key)
+    pool, given = (assignment.assignment_pool(cases, officers, levels).collect() for levels in (None, want))
+    assert sorted(pool, key=key) == sorted(given, key=key) and len(pool) == 123
+
+
+def test_pool_reads_runs_not_every_conflict(spark, frame):
+    """An officer's conflicts are no steps of the case's walk: all but two of them are blocked."""
+    officers = frame("ord int, name string, affiliations array<string>", *[(i, f"P{i}", []) for i in range(50)])
+    cases = frame("case_id int, org string, applicant string, text string", *[(c, "O", "A", "") for c in range(9)])
+    levels = cases.crossJoin(officers.filter("ord not in (3, 40)")).selectExpr("case_id", "name as officer", "'block' as level", "1L as n_reasons")
+    pool = assignment.assignment_pool(cases, officers, levels)
+    assert {tuple(sorted(r.suggested)) for r in pool.collect()} == {("P3", "P40")} and {r.n_free for r in pool.collect()} == {2}
+    assert "sequence(0" not in pool._jdf.queryExecution().optimizedPlan().toString()
+
+
 def short_names(rng, n):
     letters = "ABCDE "
     made = {" ".join("".join(rng.choices(letters, k=rng.randrange(1, 16))).split()) for _ in range(n)}
