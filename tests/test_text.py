@@ -141,3 +141,27 @@ def test_attach_several_to_one_case(spark, frame):
     merged, _, refused = sg.attach_documents(cases, frame("case_id string, rule_id string", ("a", "R")), docs)
     assert [r.text for r in merged.collect()] == [f"form\n\n=== DOCUMENT: C ===\n\n{ten}\n\n=== DOCUMENT: B ===\n\n{ten}"]
     assert refused.count() == 1
+
+
+def test_whitespace_other_than_single_blanks_is_rewritten(spark, frame):
+    texts = ["a b c", " a  b ", "a\tb", "a \t b", "\x1c a\n\n b c\xa0d", "", "  ", "a\x1fb c  "]
+    got = [r[0] for r in frame("t string", *[(x,) for x in texts]).select(tx.collapse_space("t")).collect()]
+    assert got == [" ".join(x.split()) for x in texts]
+    blanks = frame("t string", ("x  y\t\tz w \t v",)).select(tx.guard_norm("t")).first()[0]
+    assert blanks == "x y z w v"
+    money = frame("t string", ("A$ 5 and aud 7, 9 Australian Dollars; 3 doLLars – ’tis﷐﷑ _8_ AUD",)).select(tx.guard_norm("t")).first()[0]
+    assert money == "$5 and $7, $9; $3 - 'tis﷐﷑ $8"
+
+
+def test_context_is_worked_out_for_its_readers_only(spark, frame):
+    from eviflow.operators import crosscheck as xck
+
+    docs = frame("case_id int, doc_ord int, doc string, body string", (1, 0, "D", "the total  budget is\n$12,000 now﷐. Letter of 3 pages. PH.D. 1999"), (2, 0, "E", None), (3, 0, "F", ""))
+    found = xck.extract_values(docs)
+    assert sorted((r.category, r.value, r.context) for r in found.collect()) == [
+        ("budget_total", 12000, "the total budget is $12,000 now. Letter of 3 pages. PH.D. 1999"),
+        ("letter_pages", 3, "the total budget is $12,000 now. Letter of 3 pages. PH.D. 1999"),
+        ("phd_year", 1999, "the total budget is $12,000 now. Letter of 3 pages. PH.D. 1999"),
+    ]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert tx.UNEVEN_SPACE in plan(found) and tx.UNEVEN_SPACE not in plan(found.select("case_id", "category", "value"))
