@@ -1,9 +1,10 @@
 import random
 
 from conftest import rows
+from pyspark.sql import Row
 
 from eviflow.operators import guards as gd
-from eviflow.streaming.verdicts import current_verdicts, verdict_stream
+from eviflow.streaming.verdicts import LatestVerdicts, current_verdicts, verdict_stream
 
 RULES = "ruleset_id string, rule_id string, type string, title string, quote string"
 DOSSIER = "case_id long, seq long, ruleset_id string, text string, directorate string"
@@ -66,3 +67,38 @@ def test_arriving_batches_equal_the_batch_job(spark, frame, tmp_path):
     found = rows(current_verdicts(spark.read.parquet(f"{tmp_path}/out")), *columns)
     assert found == want
     assert {r[-1] for r in found} >= {"override", "confirm", None} and {r[-3] for r in found} >= {"hand", "compiler", None}
+
+
+class CountedValue:
+    """A value state that counts its calls."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+def test_a_case_costs_two_state_calls_however_many_rules(spark):
+    value = CountedValue()
+    handle = type("Handle", (), {"getValueState": lambda self, *_: value})()
+    state = LatestVerdicts()
+    state.init(handle)
+    hits = [{"rule_id": "R1", "layer": gd.COMPILED, "ord": 0, "verdict": "not_met", "reason": "r"}]
+    nothing = dict(case_id=1, rule_id=None, ruleset_id="F", verdict=None, confidence=None, note=None)
+    verdict = lambda k, seq: Row(**nothing | {"seq": seq, "hits": None, "rule_id": f"R{k}", "verdict": "met"})
+    first = list(state.handleInputRows((1,), iter([Row(**nothing, seq=1, hits=hits), *[verdict(k, 2 + k) for k in range(30)]]), None))
+    assert len(first) == 30 and {r.rule_id for r in first if r.hit_verdict} == {"R1"} and value.calls == 2
+    again = list(state.handleInputRows((1,), iter([verdict(1, 40), verdict(2, 1), Row(**nothing, seq=35, hits=[])]), None))
+    assert value.calls == 4 and len(again) == 30
+    assert [(r.rule_id, r.seq, r.hit_verdict) for r in again if r.verdict] == [("R1", 40, None)]
+    assert list(state.handleInputRows((1,), iter([verdict(2, 50)]), None))[0].seq == 50 and value.calls == 6
