@@ -1,4 +1,7 @@
-"""Near copies by exact Jaccard similarity of word shingles: prefix keys, a verifying join, connected components.
+"""Near copies by exact Jaccard similarity of word shingles: SimHash, prefix keys, a verifying join, connected components.
+
+SimHash goes first: sets whose fingerprints differ in ``NEAR_BITS`` bits at most are compared as sets, and those that are
+similar are linked. At a similarity of 0.8 about ten of 64 bits differ, so prefixes find the pairs that fingerprints miss.
 
 Two sets of a and b shingles with a similarity of t or more share at least t * max(a, b) of them. So in any one order of
 all shingles, their first ``n - ceil(t * n) + 1`` shingles (prefixes) share one, and texts are compared only where
@@ -6,8 +9,9 @@ prefixes meet. The order puts shingles that are frequent in a bounded sample las
 which pairs are found. A pair's first common shingle has places in both orders that bound its overlap, so places too far
 back don't count as meeting; in crowded keys, parities of the hashes bound how far sets differ; what is left is compared as sets.
 
-A crowd of near copies does not meet pairwise: in ``rounds`` rounds each key's texts meet one of them only, and texts that
-are linked by then are not compared again. The last round compares all pairs of a key that are still apart.
+A crowd of near copies does not meet pairwise: of ``rounds`` rounds the first is that of SimHash, in the others each key's
+texts meet one of them only, and texts that are linked by then are not compared again. The last round, after these, compares
+all pairs of a key that are still apart.
 
 Shingles and sets are known by 64-bit hashes. Defined cases: words are cut and lower-cased as in ``simhash``; a text of
 fewer words is one shingle; null, empty and word-free texts have the empty set and are copies of each other; equal sets
@@ -24,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eviflow.llm.common import batch_of, binary_text, written
+from eviflow.llm import simhash
+from eviflow.llm.common import batch_of, binary_text, freed, written
 from eviflow.llm.components import components
 
 SAMPLE_DOCS = 20_000
@@ -35,6 +40,8 @@ FILTER_BITS = 1 << 23
 PARITIES = [f"p{i}" for i in range(8)]
 #: Keys of more sets compare parities before a pair is made.
 CROWD = 64
+#: Fingerprints that differ in so many bits meet; they are cut into two blocks more, of which two are equal then.
+NEAR_BITS = 3
 
 
 def shingles(text: bytes | None, words: int = 5) -> np.ndarray:
@@ -74,12 +81,12 @@ def common_shingles(rows: DataFrame, words: int, sample_docs: int) -> tuple[np.n
 
 
 def prefixes(rows: DataFrame, words: int, percent: int, sample_docs: int) -> DataFrame:
-    """(row, class, n, parities, prefix) of every text: the hash of its set, the set's size, parities and first shingles.
+    """(row, class, n, fp, parities, prefix) of every text: the hash of its set, the set's size, SimHash, parities and first shingles.
 
-    The prefix is null where the same task gave that of an equal set before.
+    SimHash and prefix are null where the same task gave those of an equal set before.
     """
     shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, words, sample_docs))
-    schema = pa.schema([("row", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), *[(p, pa.int64()) for p in PARITIES], ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), *[(p, pa.int64()) for p in PARITIES], ("prefix", pa.list_(pa.int64()))])
     bits = np.uint64(64 * len(PARITIES) - 1)
 
     def run(batches):
@@ -94,21 +101,22 @@ def prefixes(rows: DataFrame, words: int, percent: int, sample_docs: int) -> Dat
                 sign = xxh3_64_intdigest(own.tobytes())
                 parity = np.packbits(np.bincount((own & bits).astype(np.int64), minlength=64 * len(PARITIES)) & 1, bitorder="little").view("<i8").tolist()
                 if sign in seen:
-                    out.append((row, sign, len(own), *parity, None))
+                    out.append((row, sign, len(own), None, *parity, None))
                     continue
                 if len(seen) > 1 << 18:
                     seen.clear()
                 seen.add(sign)
+                mark = simhash.majority(own)
                 if len(hashes):
                     at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
                     own = own[np.argsort(np.where(hashes[at] == own, counts[at], 0), kind="stable")]
                 size = len(own)
                 first = size + (-percent * size // 100) + 1 if size else 0
-                out.append((row, sign, size, *parity, own[:first].view(np.int64)))
+                out.append((row, sign, size, mark - (mark >> 63 << 64), *parity, own[:first].view(np.int64)))
             row, sign, *rest = zip(*out, strict=True) if out else [[]] * len(schema)
             yield batch_of(schema, (row, np.array(sign, dtype=np.uint64).view(np.int64), *rest))
 
-    return rows.select("row", binary_text().alias("text")).mapInArrow(run, f"row long, class long, n long, {', '.join(f'{p} long' for p in PARITIES)}, prefix array<long>")
+    return rows.select("row", binary_text().alias("text")).mapInArrow(run, f"row long, class long, n long, fp long, {', '.join(f'{p} long' for p in PARITIES)}, prefix array<long>")
 
 
 def shared_keys(batches):
@@ -151,6 +159,17 @@ def likely(of: DataFrame):
     return passes(F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS)))
 
 
+def simhash_pairs(classes: DataFrame, folder: str) -> DataFrame:
+    """(a, b): stars over the classes whose fingerprints (``fp``) reach each other by ``NEAR_BITS`` differing bits or fewer."""
+    heads = written(classes.groupBy("fp").agg(F.min("class").alias("head")), folder, "heads")
+    near = simhash.links(heads.select("fp"), NEAR_BITS, NEAR_BITS + 2).distinct()
+    for side in ("a", "b"):
+        near = near.join(heads.select(F.col("fp").alias(side), F.col("head").alias(f"of_{side}")), side)
+    equal = classes.join(heads, "fp").filter(F.col("class") != F.col("head"))
+    pairs = near.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).union(equal.select("head", "class"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def within_bounds(a: str, b: str, percent: int):
     """Can the pair be similar enough, if the shingle at ``at`` is the first in order that it shares?"""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -201,32 +220,28 @@ def similar(pairs: DataFrame, classes: DataFrame, rows: DataFrame, folder: str,
 
 def near_copies(rows: DataFrame, folder: str, words: int = 5, percent: int = 80, rounds: int = 2, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(row, first) of every row of ``rows`` (row, text): the least row that it reaches by pairs of ``percent`` or more."""
+    spark = rows.sparkSession
     marks = written(prefixes(rows, words, percent, sample_docs), folder, "prefixes")
-    classes = written(marks.groupBy("class").agg(F.min("row").alias("first"), F.min("n").alias("n"), *[F.min(p).alias(p) for p in PARITIES]), folder, "classes")
+    classes = written(marks.groupBy("class").agg(F.min("row").alias("first"), *[F.min(c).alias(c) for c in ("n", "fp", *PARITIES)]), folder, "classes")
     keys = marks.filter(F.col("prefix").isNotNull()).select("class", "n", F.posexplode("prefix").alias("at", "key"))
     keys = keys.select("key", "class", "n", F.col("at").cast("long").alias("at")).repartition("key").sortWithinPartitions("key", "class")
     keys = written(keys.mapInArrow(shared_keys, "key long, class long, n long, at long"), folder, "keys")
+    marks = written(marks.select("row", "class"), folder, "marks")
+    freed(spark, folder, "prefixes")
     links = tried = None
     labels = classes.select("class", F.col("class").alias("label")).limit(0)
     parities = classes.select("class", *PARITIES)
     for k in range(rounds + 1):
-        now = keys.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-        apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64(F.lit(k), "class").alias("turn"), "class", "n", "at", "label")).alias("one"), F.count("*").alias("held"))
-        apart = apart.filter(F.col("low") != F.col("high")).select("key", "held", "one.*")
-        if k < rounds:
-            met = now.alias("x").join(apart.alias("y"), "key")
+        if k == 0 < rounds:
+            pairs = simhash_pairs(classes, folder)
         else:
-            left = written(now.join(apart.select("key", "held"), "key"), folder, "apart")
-            few, many = left.filter(F.col("held") <= CROWD), left.filter(F.col("held") > CROWD).join(parities, "class")
-            met = few.alias("x").join(few.alias("y"), "key").filter(F.col("x.class") < F.col("y.class"))
-            crowd = many.alias("x").join(many.alias("y"), "key").filter((F.col("x.class") < F.col("y.class")) & parities_allow("x", "y", percent))
-        fits = (F.col("x.label") != F.col("y.label")) & within_bounds("x", "y", percent)
-        pair = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
-        pairs = met.filter(fits).select(*pair)
-        pairs = (pairs if k < rounds else pairs.union(crowd.filter(fits).select(*pair))).distinct()
+            pairs = key_pairs(keys, labels, parities, folder, k, k == rounds, percent)
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(plausible(pairs, classes, percent), folder, f"pairs-{k}")
+        if k == rounds:
+            freed(spark, folder, "keys", "apart")
         found = written(similar(pairs, classes, rows, folder, str(k), words, percent), folder, f"links-{k}")
+        freed(spark, folder, f"asked-{k}", f"sets-{k}")
         tried = pairs if tried is None else tried.union(pairs)
         links = found if links is None else links.union(found)
         labels = written(components(links, f"{folder}/components-{k}").select(F.col("node").alias("class"), "label"), folder, f"labels-{k}")
@@ -234,3 +249,19 @@ def near_copies(rows: DataFrame, folder: str, words: int = 5, percent: int = 80,
     least = grouped.groupBy("label").agg(F.min("first").alias("least"))
     of_class = written(grouped.join(least, "label").select("class", F.col("least").alias("first")), folder, "firsts")
     return marks.join(of_class, "class").select("row", "first")
+
+
+def key_pairs(keys: DataFrame, labels: DataFrame, parities: DataFrame, folder: str, turn: int, last: bool, percent: int) -> DataFrame:
+    """(a, b): the classes that meet in a key and are not linked yet; all of them in the last round, else with one of each key."""
+    now = keys.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64(F.lit(turn), "class").alias("turn"), "class", "n", "at", "label")).alias("one"), F.count("*").alias("held"))
+    apart = apart.filter(F.col("low") != F.col("high")).select("key", "held", "one.*")
+    fits = (F.col("x.label") != F.col("y.label")) & within_bounds("x", "y", percent)
+    pair = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
+    if not last:
+        return now.alias("x").join(apart.alias("y"), "key").filter(fits).select(*pair).distinct()
+    left = written(now.join(apart.select("key", "held"), "key"), folder, "apart")
+    few, many = left.filter(F.col("held") <= CROWD), left.filter(F.col("held") > CROWD).join(parities, "class")
+    met = few.alias("x").join(few.alias("y"), "key").filter(F.col("x.class") < F.col("y.class"))
+    crowd = many.alias("x").join(many.alias("y"), "key").filter((F.col("x.class") < F.col("y.class")) & parities_allow("x", "y", percent))
+    return met.filter(fits).select(*pair).union(crowd.filter(fits).select(*pair)).distinct()

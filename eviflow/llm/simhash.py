@@ -41,6 +41,11 @@ def fingerprint(text: bytes | None, words: int = 4) -> int:
         ends = np.cumsum(lengths + 1) - 1
         starts = (ends - lengths)[: len(parts) - words + 1].tolist()
         hashes = list(map(xxh64_intdigest, [joined[a:b] for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], repeat(42)))
+    return majority(hashes)
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), CHUNK):
         octets = np.array(hashes[at : at + CHUNK], dtype="<u8").view(np.uint8).reshape(-1, 8)

@@ -41,8 +41,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document of each near-duplicate group: that of the smallest doc_id. Repeated rows and null ids are rows of their own.
 
     Documents are linked where the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. SimHash
-    cannot tell: at 0.8 about ten of 64 bits differ, so the pairs come from ``jaccard``, whole. A null doc_id is above all
-    others; among equal ones the text's hash decides, and then the table's order. An empty table stays empty.
+    fingerprints of the sets give the first pairs, which are checked exactly; at 0.8 about ten of 64 bits differ, so
+    ``jaccard`` finds the pairs that fingerprints miss by prefixes. A null doc_id is above all others; among equal ones the text's hash decides, and then the table's order. An empty table stays empty.
     """
     folder = stage_folder(spark, docs, "simhash")
     rows = written(packed(docs, F.monotonically_increasing_id().alias("row")), folder, "numbered")

@@ -465,6 +465,32 @@ def test_near_copies_are_those_of_all_pairs(spark, folder, rounds, sample_docs):
     assert sum((marks[i] ^ marks[j]).bit_count() > 4 for i, j in pairs) > 100  # pairs that four bits of SimHash miss
 
 
+def test_simhash_round_links_near_fingerprints(spark, folder):
+    from eviflow.llm import jaccard, simhash
+    from eviflow.llm.components import local_components
+
+    sets = {jaccard.shingles((t or "").encode()).tobytes() for t in copied_texts()}
+    marks = [simhash.majority(np.frombuffer(s, dtype=np.uint64)) for s in sets]
+    rows = [(i, m - (m >> 63 << 64)) for i, m in enumerate([*marks, marks[0]])]
+    near = [(i, j) for i, (_, x) in enumerate(rows) for j, (_, y) in enumerate(rows[:i]) if ((x ^ y) & (1 << 64) - 1).bit_count() <= jaccard.NEAR_BITS]
+    want = local_components(len(rows), *(np.array(x) for x in zip(*near, strict=True)))
+    found = [tuple(r) for r in jaccard.simhash_pairs(spark.createDataFrame(rows, "class long, fp long"), folder).collect()]
+    assert all(a < b for a, b in found) and (want != np.arange(len(rows))).sum() > 10
+    assert local_components(len(rows), *(np.array(x) for x in zip(*found, strict=True))).tolist() == want.tolist()
+
+
+def test_near_copies_begin_with_simhash_and_free_their_tables(spark, folder):
+    from eviflow.llm import jaccard
+
+    rows = spark.createDataFrame(list(enumerate(copied_texts())), "row long, text string")
+    jaccard.near_copies(rows, folder).count()
+    marks = {r["class"]: r["fp"] for r in spark.read.parquet(f"{folder}/classes").collect()}
+    links = spark.read.parquet(f"{folder}/links-0").collect()
+    assert links and any(marks[r["a"]] != marks[r["b"]] for r in links)
+    for name in ("prefixes", "keys", "apart", "sets-0", "sets-2"):
+        assert spark.read.parquet(f"{folder}/{name}").count() == 0, name
+
+
 def test_no_near_copies(spark, folder):
     from eviflow.llm import jaccard
 
