@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from math import inf
 
@@ -35,9 +35,22 @@ from eviflow.llm.common import batch_of, binary_text, rows_of
 BLANK = "▁"
 WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 CACHED = 150_000
+ONE = (1,)
 BYTE_WEIGHT = 1e6  # above any path of pieces over one character
 
 
+def lengths_by_start(pieces: Iterable[str]) -> dict[str, tuple[int, ...]]:
+    """The lengths that a piece can have, longest first, by the next three characters, or two where no longer piece starts so."""
+    found: dict[str, set[int]] = {}
+    for piece in pieces:
+        if len(piece) > 1:
+            found.setdefault(piece[:3], {1}).add(len(piece))
+    for start, lengths in found.items():
+        if len(start) == 3 and 2 in found.get(start[:2], ()):
+            lengths.add(2)
+    return {start: tuple(sorted(lengths, reverse=True)) for start, lengths in found.items()}
+
+
 class Transducer:
     """Pieces, byte arcs and arc weights of one model file."""
 
@@ -55,6 +68,7 @@ class Transducer:
         self.ids = {p: i for i, p in enumerate(names) if not special[i] and i not in self.octet}
         self.text = {i: p for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
+        self.sizes = lengths_by_start(self.ids)
         self.by_word = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.agree: dict[tuple[int | None, int], bool] = {}
         self.known: dict[str, bytes] = {}
@@ -104,12 +118,14 @@ class Transducer:
 
     def finite(self, text: str) -> tuple[int, ...]:
         """Ids on the one path of ``text`` without an infinite arc: depth first, long pieces first, dead states kept."""
-        n, ids, longest, agree = len(text), self.ids, self.longest, self.agree
+        n, ids, sizes, agree = len(text), self.ids, self.sizes, self.agree
         path: list[tuple[int, int | None, int]] = []  # position, piece before it, length of the arc taken
-        at, last, size, dead = 0, None, min(longest, n), set()
+        at, last, below, dead = 0, None, n + 1, set()  # arcs of a length below that are left to try
         while at < n:
             taken = None
-            while size:
+            for size in sizes.get(text[at : at + 3]) or sizes.get(text[at : at + 2]) or ONE:
+                if size >= below:
+                    continue
                 piece = ids.get(text[at : at + size])
                 if piece is not None:
                     if (ok := agree.get((last, piece))) is None:
@@ -117,19 +133,17 @@ class Transducer:
                     if ok and (at + size, piece) not in dead:
                         taken = piece
                         break
-                size -= 1
             if taken is None and text[at] not in ids and (at + 1, None) not in dead:
                 size, fallback = 1, True
             elif taken is None:
                 dead.add((at, last))
-                at, last, size = path.pop()
-                size -= 1
+                at, last, below = path.pop()
                 continue
             else:
                 fallback = False
             path.append((at, last, size))
             at, last = at + size, None if fallback else taken
-            size = min(longest, n - at)
+            below = n - at + 1
         out: list[int] = []
         for k, (at, _, size) in enumerate(path):
             piece = path[k + 1][1] if k + 1 < len(path) else last
