@@ -11,7 +11,8 @@ back don't count as meeting; in crowded keys, parities of the hashes bound how f
 
 A crowd of near copies does not meet pairwise: of ``rounds`` rounds the first is that of SimHash, in the others each key's
 texts meet one of them only, and texts that are linked by then are not compared again. The last round, after these, compares
-all pairs of a key that are still apart.
+all pairs of a key that are still apart. Links are kept as labels: a round's links lead from label to label, once each, so
+components never see the many links of a crowd, nor those of earlier rounds again.
 
 Shingles and sets are known by 64-bit hashes. Defined cases: words are cut and lower-cased as in ``simhash``; a text of
 fewer words is one shingle; null, empty and word-free texts have the empty set and are copies of each other; equal sets
@@ -228,7 +229,7 @@ def near_copies(rows: DataFrame, folder: str, words: int = 5, percent: int = 80,
     keys = written(keys.mapInArrow(shared_keys, "key long, class long, n long, at long"), folder, "keys")
     marks = written(marks.select("row", "class"), folder, "marks")
     freed(spark, folder, "prefixes")
-    links = tried = None
+    tried = None
     labels = classes.select("class", F.col("class").alias("label")).limit(0)
     parities = classes.select("class", *PARITIES)
     for k in range(rounds + 1):
@@ -243,14 +244,24 @@ def near_copies(rows: DataFrame, folder: str, words: int = 5, percent: int = 80,
         found = written(similar(pairs, classes, rows, folder, str(k), words, percent), folder, f"links-{k}")
         freed(spark, folder, f"asked-{k}", f"sets-{k}")
         tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        labels = written(components(links, f"{folder}/components-{k}").select(F.col("node").alias("class"), "label"), folder, f"labels-{k}")
+        labels = relabelled(labels, found, folder, k)
     grouped = classes.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = grouped.groupBy("label").agg(F.min("first").alias("least"))
     of_class = written(grouped.join(least, "label").select("class", F.col("least").alias("first")), folder, "firsts")
     return marks.join(of_class, "class").select("row", "first")
 
 
+def relabelled(labels: DataFrame, found: DataFrame, folder: str, turn: int) -> DataFrame:
+    """(class, label): ``labels`` after the links ``found`` (a, b) between classes; a class without a label is its own."""
+    of = {s: labels.select(F.col("class").alias(s), F.col("label").alias(f"of_{s}")) for s in ("a", "b")}
+    edges = found.join(of["a"], "a", "left").join(of["b"], "b", "left")
+    edges = edges.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    moves = written(components(edges, f"{folder}/components-{turn}").select(F.col("node").alias("label"), F.col("label").alias("now")), folder, f"moves-{turn}")
+    old = labels.join(moves, "label", "left").select("class", F.coalesce("now", "label").alias("label"))
+    new = moves.join(labels, moves["label"] == labels["class"], "left_anti").select(F.col("label").alias("class"), F.col("now").alias("label"))
+    return written(old.union(new), folder, f"labels-{turn}")
+
+
 def key_pairs(keys: DataFrame, labels: DataFrame, parities: DataFrame, folder: str, turn: int, last: bool, percent: int) -> DataFrame:
     """(a, b): the classes that meet in a key and are not linked yet; all of them in the last round, else with one of each key."""
     now = keys.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))

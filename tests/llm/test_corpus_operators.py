@@ -491,6 +491,54 @@ def test_near_copies_begin_with_simhash_and_free_their_tables(spark, folder):
         assert spark.read.parquet(f"{folder}/{name}").count() == 0, name
 
 
+def test_lengths_by_start_miss_no_piece():
+    from itertools import product
+
+    from eviflow.llm.pieces import ONE, lengths_by_start
+
+    pieces = {"a", "ab", "abc", "abca", "b", "cab", "caba", "cb"}
+    sizes = lengths_by_start(pieces)
+    for text in map("".join, product("abcd", repeat=4)):
+        held = [n for n in range(4, 0, -1) if text[:n] in pieces]
+        tried = sizes.get(text[:3]) or sizes.get(text[:2]) or ONE
+        assert [n for n in tried if text[:n] in pieces] == held
+    assert sizes["abc"] == (4, 3, 2, 1) and sizes["cab"] == (4, 3, 1) and "abd" not in sizes
+
+
+def test_links_of_earlier_rounds_are_not_carried_on(spark, folder, monkeypatch):
+    from eviflow.llm import jaccard
+    from eviflow.llm.components import components
+
+    given, root = [], {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    def counted(edges, where):
+        pairs = [tuple(r) for r in edges.select("a", "b").collect()]
+        assert all(find(a) != find(b) for a, b in pairs)  # not linked by earlier rounds
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        given.append(len(pairs))
+        return components(edges, where)
+
+    monkeypatch.setattr(jaccard, "components", counted)
+    draw = np.random.default_rng(5)
+    body = [f"word{i}" for i in range(100)]
+    texts = []
+    for _ in range(60):
+        words = list(body)
+        for at in draw.choice(100, 2, replace=False):
+            words[at] = f"other{draw.integers(1 << 30)}"
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(4)
+    found = dict(map(tuple, jaccard.near_copies(rows, folder).collect()))
+    assert [found[i] for i in range(60)] == slow_groups(texts)[0]
+    assert len(given) == 3 and sum(given) > 0
+
+
 def test_no_near_copies(spark, folder):
     from eviflow.llm import jaccard
 
