@@ -10,14 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eviflow.functions import text as tx
-from eviflow.operators.common import join_keyed, top_k
+from eviflow.operators.common import computed, join_keyed, top_k
 
 TOKEN = r"(?U)\b\w\w+\b"
 
 
-def term_array(text: Column) -> Column:
-    """Lower-case words of two letters or more, and their bigrams."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+def tokens_of(text: Column) -> Column:
+    """Lower-case words of two letters or more."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def term_array(tokens: Column) -> Column:
+    """The words and their bigrams."""
     n = F.size(tokens)
     pairs = F.arrays_zip(
         F.slice(tokens, 1, F.greatest(n - 1, F.lit(0))).alias("a"), F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))).alias("b")
@@ -28,7 +32,8 @@ def term_array(text: Column) -> Column:
 def term_counts(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, term, tf weight 1 + ln tf)."""
     return (
-        df.select(*keys, F.explode(term_array(F.col(text))).alias("term"))
+        computed(df.select(*keys, text), tokens_of(F.col(text)).alias("_tokens"))
+        .select(*keys, F.explode(term_array(F.col("_tokens"))).alias("term"))
         .groupBy(*keys, "term")
         .agg((F.lit(1.0) + F.log(F.count("*"))).alias("tf"))
     )
@@ -57,30 +62,39 @@ def retrieve(chunks: DataFrame, case_sets: DataFrame, rules: DataFrame, k: int =
     """Top ``k`` chunks per (case, rule) by cosine, ties by chunk id; chunks without a shared term score 0.
 
     Scores come from joins on (case, term): no case meets a rule it shares no term with, except through its first
-    ``k`` chunks, which are all the zero-score rows a top ``k`` can hold.
+    ``k`` chunks, which are all the zero-score rows a top ``k`` can hold. Terms meet their rules where they lie by chunk,
+    so they are summed per (chunk, rule) at once; only the sums are dealt by rule.
     """
     counted = term_counts(chunks, ["case_id", "chunk_id"])
     n = chunks.groupBy("case_id").agg(F.count("*").alias("n"))
+    sets = case_sets.select("case_id", "ruleset_id")
     df = F.count("*").over(Window.partitionBy("case_id", "term"))
     weighed = counted.withColumn("df", df).join(n, "case_id").withColumn("idf", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
     w = F.col("tf") * F.col("idf")
-    norm = F.sqrt(F.sum(w * w).over(Window.partitionBy("case_id", "chunk_id")))
+    weighed = weighed.select("case_id", "chunk_id", "term", "df", "idf", w.alias("w")).repartition("case_id", "chunk_id")
     asked = term_counts(rule_query(rules), ["ruleset_id", "rule_id"]).withColumnRenamed("tf", "q_tf")
-    sets = case_sets.select("case_id", "ruleset_id")
-    met = join_keyed(weighed.withColumn("norm", norm).join(sets, "case_id"), asked, ["ruleset_id", "term"])
-    q = F.col("q_tf") * F.col("idf")
+    asked = asked.withColumn("_asked", F.count("*").over(Window.partitionBy("ruleset_id", "term")))
+    sets_of = sets.withColumn("_sets", F.count("*").over(Window.partitionBy("case_id")))
+    met = join_keyed(join_keyed(weighed, sets_of, ["case_id"]), asked, ["ruleset_id", "term"], "left")
+    q, w = F.col("q_tf") * F.col("idf"), F.col("w")
+    # A term stands in a row per rule that asks for it, or in one without a rule; each gives its share of the chunk's length.
+    length = F.sum(w * w / (F.coalesce("_asked", F.lit(1)) * F.col("_sets")))
     # A term of the case stands in ``df`` rows per rule; each gives its share of the query's length.
-    q_norm = F.sqrt(F.sum(q * q / F.col("df")).over(Window.partitionBy("case_id", "rule_id")))
-    scored = (
-        met.withColumn("q_norm", q_norm)
-        .groupBy("case_id", "rule_id", "chunk_id")
-        .agg((F.sum(q * w) / (F.first("norm") * F.first("q_norm"))).alias("raw"))
+    summed = met.groupBy("case_id", "chunk_id", "rule_id", F.col("q_tf").isNull().alias("_rest")).agg(
+        F.sum(q * w).alias("dot"), F.sum(q * q / F.col("df")).alias("q_share"), length.alias("share")
     )
+    norm = F.sqrt(F.sum("share").over(Window.partitionBy("case_id", "chunk_id")))
+    scored = summed.withColumn("norm", norm).filter(~F.col("_rest")).select("case_id", "rule_id", "chunk_id", "dot", "q_share", "norm")
     first = top_k(chunks.select("case_id", "chunk_id"), ["case_id"], [F.asc("chunk_id")], k).drop("rank")
     blank = join_keyed(first.join(sets, "case_id"), rules.select("ruleset_id", "rule_id"), ["ruleset_id"]).select(
-        "case_id", "rule_id", "chunk_id", F.lit(0.0).alias("raw")
+        "case_id", "rule_id", "chunk_id", F.lit(0.0).alias("dot"), F.lit(0.0).alias("q_share"), F.lit(None).cast("double").alias("norm")
+    )
+    # One exchange by (case, rule) serves the merge with the blank rows, the query's length and the ranks.
+    best = scored.unionByName(blank).repartition("case_id", "rule_id").groupBy("case_id", "rule_id", "chunk_id").agg(
+        F.sum("dot").alias("dot"), F.sum("q_share").alias("q_share"), F.max("norm").alias("norm")
     )
-    best = scored.unionByName(blank).groupBy("case_id", "rule_id", "chunk_id").agg(F.max("raw").alias("raw"))
+    q_norm = F.sqrt(F.sum("q_share").over(Window.partitionBy("case_id", "rule_id")))
+    best = best.withColumn("q_norm", q_norm).withColumn("raw", F.coalesce(F.col("dot") / (F.col("norm") * F.col("q_norm")), F.lit(0.0)))
     ranked = top_k(
         best.withColumn("_order", F.round("raw", 10)),
         ["case_id", "rule_id"],
