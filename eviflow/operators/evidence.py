@@ -11,6 +11,8 @@ from eviflow.functions import text as tx
 from eviflow.operators.common import first_items
 
 KEY = ["case_id", "rule_id"]
+#: Attestations of more characters are searched by automaton, whose time is linear in both texts.
+LONG_ATTESTATION = 500
 
 
 # --- facts and judgements ------------------------------------------------------------------------
@@ -109,7 +111,16 @@ def cite_ok(quote: Column | str, text: Column | str) -> Column:
 
 def attestation_found(attestation: Column, source: Column, min_words: int = fv.ATTEST_MIN_WORDS) -> Column:
     """Does the source hold ``min_words`` consecutive words of the attestation?"""
-    return sim.longest_span(tx.words(F.lower(attestation)), tx.ws_norm(source), F.lit(min_words)).isNotNull()
+    words, text, n = tx.words(F.lower(attestation)), tx.ws_norm(source), F.lit(min_words)
+
+    def held(p):
+        runs = F.sequence(F.lit(1), F.size(p["words"]) - n + 1)
+        found = F.exists(runs, lambda i: F.contains(p["text"], F.array_join(F.slice(p["words"], i, n), " ")))
+        return F.when(F.size(p["words"]) >= n, found).otherwise(False)
+
+    short = F.transform(F.array(F.struct(words.alias("words"), text.alias("text"))), held)[0]
+    long = F.length(attestation) > LONG_ATTESTATION
+    return F.when(long, sim.longest_span(F.when(long, words), F.when(long, text), n).isNotNull()).otherwise(short)
 
 
 def attestation_span(df: DataFrame, min_words: int = fv.ATTEST_MIN_WORDS, name: str = "span") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eviflow.operators import audit as au
 from eviflow.operators import evaluate as ev
 from eviflow.operators import review as rv
-from eviflow.operators.common import latest_by_key
+from eviflow.operators.common import cut, latest_by_key
 from eviflow.plans import views as v
 from eviflow.plans.registry import Tables, query, work_folder
 from eviflow.operators.asof import rules_in_force
@@ -328,7 +328,10 @@ def confirmation_audit(t: Tables) -> DataFrame:
         )
     )
     texts = v.cases(t).select("case_id", F.lit("Here THE form lists\npart of the goods.").alias("text"))
-    return rv.confirmation_audit(v.verdicts(t).withColumn("officer_reason", typed), texts)
+    # The audit reads the verdicts three times, so the latest lines are found once.
+    asked = ["case_id", "rule_id", "ai_verdict", "final_verdict", "note", "guard_level", "aq", "officer_reason", "confirmed_at"]
+    rows = cut(v.verdicts(t).withColumn("officer_reason", typed).select(*asked), work_folder(t))
+    return rv.confirmation_audit(rows, texts)
 
 
 @query(
