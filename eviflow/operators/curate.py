@@ -191,7 +191,7 @@ def map_votes(df: DataFrame) -> DataFrame:
 def classify_labels(votes: DataFrame, overridden: DataFrame) -> DataFrame:
     """Secondary label class per (ruleset, case, rule): ok, disagree or weak; a code override makes it weak."""
     vetoed = overridden.select(*LABEL).distinct().withColumn("_veto", F.lit(True))
-    return votes.join(vetoed, LABEL, "left").select(
+    return votes.join(vetoed.hint("merge"), LABEL, "left").select(
         *LABEL,
         F.when(F.col("_veto"), "weak")
         .when(F.forall("votes", lambda v: v == "yes"), "ok")
@@ -213,7 +213,8 @@ def label_cases(cases: DataFrame, rules: DataFrame, votes: DataFrame, classes: D
         F.forall("votes", lambda v: v == "yes").alias("_yes"),
         F.forall("votes", lambda v: v == "no").alias("_no"),
     )
-    joined = rows.join(polled, LABEL, "left").join(classes, LABEL, "left")
+    # Votes and classes are about as many as the rows, however well their files are packed: never broadcast.
+    joined = rows.join(polled.hint("merge"), LABEL, "left").join(classes.hint("merge"), LABEL, "left")
     is_target = F.coalesce(F.col("rule_id") == F.col("target"), F.lit(False))
     labels = joined.select(
         *LABEL,
@@ -250,7 +251,7 @@ def apply_edits(cases: DataFrame, labels: DataFrame, edits: DataFrame) -> tuple[
     confirm_target clears the flag of a target case, dispute takes a case out, confirm_control and flag_weak change
     one label; the last edit of each kind decides. Every edited ruleset loses its approval.
     """
-    known = edits.join(cases.select(*CASE, "target"), CASE)
+    known = edits.join(cases.select(*CASE, "target").hint("merge"), CASE)
     status_edits = known.filter(
         (F.col("action") == "dispute") | ((F.col("action") == "confirm_target") & F.col("target").isNotNull())
     )

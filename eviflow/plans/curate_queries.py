@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from eviflow import fixed_values as fv
 from eviflow.operators import curate as cu
+from eviflow.operators.common import cut
 from eviflow.plans import views as v
-from eviflow.plans.registry import Tables, query
+from eviflow.plans.registry import Tables, query, work_folder
 
 
 def _re(pattern: str) -> str:
@@ -144,21 +145,21 @@ def map_votes(t: Tables) -> DataFrame:
     return _votes(t).select("case_id", "rule_id", F.array_join("votes", ",").alias("votes"))
 
 
-def _classes(t: Tables) -> DataFrame:
-    votes = _votes(t)
+def _classes_of(votes: DataFrame) -> DataFrame:
     return cu.classify_labels(votes, votes.filter("l_discount = 0.1"))
 
 
 @query("classify_labels", v.ctes(SHEET, body="SELECT * FROM v_class"))
 def classify_labels(t: Tables) -> DataFrame:
-    return _classes(t)
+    return _classes_of(_votes(t))
 
 
 def _label_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Every case is labelled against the seven line numbers."""
-    sheet = _sheet(t)
+    # The sheet with its votes is read five times, so it is made once.
+    sheet = cut(_votes(t).select("ruleset_id", "case_id", "rule_id", "target", "votes", "l_discount"), work_folder(t))
     rules = sheet.select("ruleset_id", "rule_id").distinct()
-    return cu.label_cases(sheet.select("ruleset_id", "case_id", "target").distinct(), rules, _votes(t), _classes(t))
+    return cu.label_cases(sheet.select("ruleset_id", "case_id", "target").distinct(), rules, sheet, _classes_of(sheet))
 
 
 LABELLED = """
