@@ -34,7 +34,7 @@ from eviflow.llm.common import batch_of, binary_text, rows_of
 
 BLANK = "▁"
 WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-CACHED = 150_000
+CACHED = 250_000
 ONE = (1,)
 BYTE_WEIGHT = 1e6  # above any path of pieces over one character
 
@@ -72,6 +72,7 @@ class Transducer:
         self.by_word = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.agree: dict[tuple[int | None, int], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the words known before; those met again move to ``known``
         self.spelled = [self.octet[i] if i in self.octet else self.text.get(i, "").encode() for i in range(n)]
 
     def normalised(self, text: str) -> str:
@@ -130,7 +131,7 @@ class Transducer:
                 if piece is not None:
                     if (ok := agree.get((last, piece))) is None:
                         ok = self.weight(last, piece) == 0
-                    if ok and (at + size, piece) not in dead:
+                    if ok and not (dead and (at + size, piece) in dead):
                         taken = piece
                         break
             if taken is None and text[at] not in ids and (at + 1, None) not in dead:
@@ -144,7 +145,11 @@ class Transducer:
             path.append((at, last, size))
             at, last = at + size, None if fallback else taken
             below = n - at + 1
-        out: list[int] = []
+        out: list[int] = [before for _, before, _ in path[1:]]
+        out.append(last)
+        if None not in out:
+            return tuple(out)
+        out = []
         for k, (at, _, size) in enumerate(path):
             piece = path[k + 1][1] if k + 1 < len(path) else last
             out.extend([self.bytes.get(b, self.unknown) for b in text[at : at + size].encode()] if piece is None else [piece])
@@ -173,13 +178,14 @@ class Transducer:
     def encode(self, text: str) -> np.ndarray:
         words = WORDS.findall(self.normalised(text)) if self.by_word else [self.normalised(text)] * bool(text)
         if len(self.known) > CACHED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         if len(self.agree) > 4 * CACHED:
             self.agree.clear()
-        known, out = self.known, []
+        known, older, out = self.known, self.older, []
         for word in words:
             if (ids := known.get(word)) is None:
-                ids = array("i", self.shortest(word)).tobytes()
+                if (ids := older.get(word)) is None:
+                    ids = array("i", self.shortest(word)).tobytes()
                 if len(word) <= 64 and len(known) < 2 * CACHED:
                     known[word] = ids
             out.append(ids)
