@@ -2,7 +2,7 @@
 
 import pytest
 
-from eviflow.plans import views
+from eviflow.plans import name_queries, views
 from eviflow.plans.registry import PARTITIONS, Tables
 
 
@@ -42,3 +42,10 @@ def test_streamed_orders_are_dealt(spark, frame, unset, tmp_path):
     got = held(spark, views.money_figures(streamed(spark, tmp_path, "orders")).select(*columns), tmp_path / "got")
     assert got == sorted(tuple(r) for r in views.money_figures(Tables(spark, str(tmp_path))).select(*columns).collect())
     assert got[0] == (1, 1000, 120003, 3000) and len(got) == 7
+
+
+def test_streamed_parts_are_dealt(spark, frame, unset, tmp_path):
+    frame("p_partkey long, p_name string, p_size int", *[(k, f"one name {k}", 5 * k) for k in range(9)]).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    parties = name_queries._parties(streamed(spark, tmp_path, "part"))
+    got = held(spark, parties.na.fill("none"), tmp_path / "got")
+    assert [k for k, _, _ in got] == list(range(9)) and got[3][1] == "3 one"
