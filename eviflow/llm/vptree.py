@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAF = 256
+#: Queries that look through a tree at a time; the pairs that each of them meets on the way are held until they are scored.
+QUERIES = 1024
 
 
-def products(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Row by row inner products, added in coordinate order."""
-    total = np.zeros(len(points))
-    for k in range(points.shape[1]):
-        total += queries[:, k] * points[:, k]
+def products(queries: np.ndarray, points: np.ndarray, q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs (queries[q], points[p]), added in coordinate order; vectors are not copied pair by pair."""
+    total = np.zeros(len(p))
+    for own, other in zip(queries.T.copy(), points.T.copy()):  # a point's further coordinate is not the query's
+        total += own[q] * other[p]
     return total
 
 
@@ -110,9 +112,17 @@ def shard_search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     starts = np.searchsorted(point[by_point], np.arange(len(distinct) + 1))
     longest = (distinct**2).sum(axis=1).max()
     lifted = np.c_[distinct, np.sqrt(np.maximum(longest - (distinct**2).sum(axis=1), 0))]
+    tree, found = Tree(lifted), []
+    for low in range(0, len(queries), QUERIES):
+        found.append(block_search(tree, ids[by_point], starts, query_ids[low : low + QUERIES], queries[low : low + QUERIES], k, relax))
+    return pd.concat(found)
+
+
+def block_search(tree: Tree, ids: np.ndarray, starts: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, relax: float) -> pd.DataFrame:
+    """:func:`shard_search` for some queries; point i of ``tree`` is that of the rows ``ids[starts[i]:starts[i + 1]]``."""
     # One point more than k, as the query's own row may be the only one of its point.
-    q, p = Tree(lifted).search(np.c_[queries, np.zeros(len(queries))], k + 1, relax)
-    score = products(queries[q], distinct[p])
+    q, p = tree.search(np.c_[queries, np.zeros(len(queries))], k + 1, relax)
+    score = products(queries, tree.points, q, p)
     keep = np.lexsort((-score, q))
     q, p, score = q[keep], p[keep], score[keep]
     # Points below the (k+1)-th best score of their query can't matter; ties of it stay.
@@ -123,7 +133,7 @@ def shard_search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     q, p, score = q[keep], p[keep], score[keep]
     sizes = np.minimum(starts[p + 1] - starts[p], k + 1)
     row = np.repeat(starts[p], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out = pd.DataFrame({"query_id": query_ids[np.repeat(q, sizes)], "vec_id": ids[by_point[row]], "score": np.repeat(score, sizes)})
+    out = pd.DataFrame({"query_id": query_ids[np.repeat(q, sizes)], "vec_id": ids[row], "score": np.repeat(score, sizes)})
     out = out[out["query_id"] != out["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
     return out.groupby("query_id", sort=False).head(k)[["query_id", "vec_id", "score"]]
 
