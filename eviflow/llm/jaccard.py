@@ -10,8 +10,10 @@ which pairs are found. A pair's first common shingle has places in both orders t
 back don't count as meeting; in crowded keys, parities of the hashes bound how far sets differ; what is left is compared as sets.
 
 A crowd of near copies does not meet pairwise: of ``rounds`` rounds the first is that of SimHash, in the others each key's
-texts meet one of them only, and texts that are linked by then are not compared again. The last round, after these, compares
-all pairs of a key that are still apart. Links are kept as labels: a round's links lead from label to label, once each, so
+texts meet one of them only, and texts that are linked by then are not compared again. In crowded keys more such rounds, with
+``PIVOTS`` texts to meet, go on while more pairs are apart than there are sets and a round takes a good part of them away. The last round, after these, compares
+all pairs of a key that are still apart. Pairs pass parities of 512 bits, then parities as long as the sets, before sets are
+sent. Links are kept as labels: a round's links lead from label to label, once each, so
 components never see the many links of a crowd, nor those of earlier rounds again.
 
 Shingles and sets are known by 64-bit hashes. Defined cases: words are cut and lower-cased as in ``simhash``; a text of
@@ -21,6 +23,8 @@ are collapsed before the search; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+import itertools
 from itertools import repeat
 
 import numpy as np
@@ -39,6 +43,12 @@ FREQUENT = 200_000
 FILTER_BITS = 1 << 23
 #: 64-bit words of a set's parities: each bit is the parity of the hashes that fall on it.
 PARITIES = [f"p{i}" for i in range(8)]
+#: Prefix keys are dealt in so many passes, so that one part of them is shuffled at a time.
+PASSES = 4
+#: Texts of a crowded key that the others meet in one of the rounds for crowds.
+PIVOTS = 8
+#: Another round is worth it where the last one left at most this share of the pairs apart.
+WORTH = 0.7
 #: Keys of more sets compare parities before a pair is made.
 CROWD = 64
 #: Fingerprints that differ in so many bits meet; they are cut into two blocks more, of which two are equal then.
@@ -81,13 +91,27 @@ def common_shingles(rows: DataFrame, words: int, sample_docs: int) -> tuple[np.n
     return hashes[order], often["n"].to_numpy(dtype=np.int64)[order]
 
 
+def wide_parity(items: np.ndarray) -> bytes:
+    """The parities of a set's hashes in as many bits as twice the set's size and more, a power of two, 512 at least."""
+    bits = max(512, 1 << (2 * len(items) - 1).bit_length()) if len(items) else 512
+    return np.packbits(np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def wide_differ(a: bytes, b: bytes) -> int:
+    """Bits that differ of two :func:`wide_parity`, the longer one folded to the length of the other."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    if len(x) < len(y):
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+
+
 def prefixes(rows: DataFrame, words: int, percent: int, sample_docs: int) -> DataFrame:
-    """(row, class, n, fp, parities, prefix) of every text: the hash of its set, the set's size, SimHash, parities and first shingles.
+    """(row, class, n, fp, parities, wide, prefix) of every text: the hash of its set, the set's size, SimHash, parities and first shingles.
 
-    SimHash and prefix are null where the same task gave those of an equal set before.
+    SimHash, wide parities and prefix are null where the same task gave those of an equal set before.
     """
     shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, words, sample_docs))
-    schema = pa.schema([("row", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), *[(p, pa.int64()) for p in PARITIES], ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), *[(p, pa.int64()) for p in PARITIES], ("wide", pa.binary()), ("prefix", pa.list_(pa.int64()))])
     bits = np.uint64(64 * len(PARITIES) - 1)
 
     def run(batches):
@@ -102,22 +126,22 @@ def prefixes(rows: DataFrame, words: int, percent: int, sample_docs: int) -> Dat
                 sign = xxh3_64_intdigest(own.tobytes())
                 parity = np.packbits(np.bincount((own & bits).astype(np.int64), minlength=64 * len(PARITIES)) & 1, bitorder="little").view("<i8").tolist()
                 if sign in seen:
-                    out.append((row, sign, len(own), None, *parity, None))
+                    out.append((row, sign, len(own), None, *parity, None, None))
                     continue
                 if len(seen) > 1 << 18:
                     seen.clear()
                 seen.add(sign)
-                mark = simhash.majority(own)
+                mark, wide = simhash.majority(own), wide_parity(own)
                 if len(hashes):
                     at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
                     own = own[np.argsort(np.where(hashes[at] == own, counts[at], 0), kind="stable")]
                 size = len(own)
                 first = size + (-percent * size // 100) + 1 if size else 0
-                out.append((row, sign, size, mark - (mark >> 63 << 64), *parity, own[:first].view(np.int64)))
+                out.append((row, sign, size, mark - (mark >> 63 << 64), *parity, wide, own[:first].view(np.int64)))
             row, sign, *rest = zip(*out, strict=True) if out else [[]] * len(schema)
             yield batch_of(schema, (row, np.array(sign, dtype=np.uint64).view(np.int64), *rest))
 
-    return rows.select("row", binary_text().alias("text")).mapInArrow(run, f"row long, class long, n long, fp long, {', '.join(f'{p} long' for p in PARITIES)}, prefix array<long>")
+    return rows.select("row", binary_text().alias("text")).mapInArrow(run, f"row long, class long, n long, fp long, {', '.join(f'{p} long' for p in PARITIES)}, wide binary, prefix array<long>")
 
 
 def shared_keys(batches):
@@ -185,6 +209,19 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(parities_allow("of_a", "of_b", percent)).select("a", "b")
 
 
+def finer(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose wide parities allow the similarity; 512 bits say little of sets as large as that."""
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col("wide").alias(f"of_{side}")), side)
+
+    @F.pandas_udf("long")
+    def differ(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([wide_differ(x, y) for x, y in zip(a, b)], dtype="int64")
+
+    allowed = (100 + percent) * differ("of_a", "of_b") <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    return pairs.filter(allowed).select("a", "b")
+
+
 def parities_allow(a: str, b: str, percent: int):
     """Can the pair be similar enough, as each parity that differs stands for a shingle of one set only?"""
     differ = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITIES), F.lit(0))
@@ -223,34 +260,55 @@ def near_copies(rows: DataFrame, folder: str, words: int = 5, percent: int = 80,
     """(row, first) of every row of ``rows`` (row, text): the least row that it reaches by pairs of ``percent`` or more."""
     spark = rows.sparkSession
     marks = written(prefixes(rows, words, percent, sample_docs), folder, "prefixes")
-    classes = written(marks.groupBy("class").agg(F.min("row").alias("first"), *[F.min(c).alias(c) for c in ("n", "fp", *PARITIES)]), folder, "classes")
-    keys = marks.filter(F.col("prefix").isNotNull()).select("class", "n", F.posexplode("prefix").alias("at", "key"))
-    keys = keys.select("key", "class", "n", F.col("at").cast("long").alias("at")).repartition("key").sortWithinPartitions("key", "class")
-    keys = written(keys.mapInArrow(shared_keys, "key long, class long, n long, at long"), folder, "keys")
+    classes = written(marks.groupBy("class").agg(F.min("row").alias("first"), *[F.min(c).alias(c) for c in ("n", "fp", *PARITIES, "wide")]), folder, "classes")
+    keys = met_keys(marks, folder)
     marks = written(marks.select("row", "class"), folder, "marks")
     freed(spark, folder, "prefixes")
     tried = None
     labels = classes.select("class", F.col("class").alias("label")).limit(0)
     parities = classes.select("class", *PARITIES)
-    for k in range(rounds + 1):
+    sets, left = classes.count(), None
+    for k in itertools.count():
+        before, left = left, apart_pairs(keys, labels, folder, k) if k >= rounds else None
+        last = k >= rounds and (left <= sets or before is not None and left > WORTH * before)
         if k == 0 < rounds:
             pairs = simhash_pairs(classes, folder)
         else:
-            pairs = key_pairs(keys, labels, parities, folder, k, k == rounds, percent)
+            pairs = key_pairs(keys, labels, parities, folder, k, last, percent, PIVOTS if k >= rounds and not last else 1)
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(plausible(pairs, classes, percent), folder, f"pairs-{k}")
-        if k == rounds:
+        pairs = written(finer(plausible(pairs, classes, percent), classes, percent), folder, f"pairs-{k}")
+        if last:
             freed(spark, folder, "keys", "apart")
         found = written(similar(pairs, classes, rows, folder, str(k), words, percent), folder, f"links-{k}")
         freed(spark, folder, f"asked-{k}", f"sets-{k}")
         tried = pairs if tried is None else tried.union(pairs)
         labels = relabelled(labels, found, folder, k)
+        if last:
+            break
     grouped = classes.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = grouped.groupBy("label").agg(F.min("first").alias("least"))
     of_class = written(grouped.join(least, "label").select("class", F.col("least").alias("first")), folder, "firsts")
     return marks.join(of_class, "class").select("row", "first")
 
 
+def met_keys(marks: DataFrame, folder: str) -> DataFrame:
+    """(key, class, n, at): the prefixes' shingles that several classes share, found in ``PASSES`` parts of the keys."""
+    exploded = marks.filter(F.col("prefix").isNotNull()).select("class", "n", F.posexplode("prefix").alias("at", "key"))
+    exploded = exploded.select("key", "class", "n", F.col("at").cast("long").alias("at"))
+    parts = []
+    for i in range(PASSES):
+        part = exploded.filter(F.pmod("key", F.lit(PASSES)) == i).repartition("key").sortWithinPartitions("key", "class")
+        parts.append(written(part.mapInArrow(shared_keys, "key long, class long, n long, at long"), folder, f"keys/{i}"))
+    return functools.reduce(DataFrame.union, parts)
+
+
+def apart_pairs(keys: DataFrame, labels: DataFrame, folder: str, turn: int) -> float:
+    """How many pairs of classes of different labels the crowded keys hold; a pair counts in each of its keys."""
+    now = keys.join(labels, "class", "left").groupBy("key", F.coalesce("label", "class").alias("label")).agg(F.count("*").cast("double").alias("n"))
+    held = now.groupBy("key").agg(F.sum("n").alias("held"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
+    return written(held.filter(F.col("held") > CROWD).agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs")), folder, f"left-{turn}").first()[0]
+
+
 def relabelled(labels: DataFrame, found: DataFrame, folder: str, turn: int) -> DataFrame:
     """(class, label): ``labels`` after the links ``found`` (a, b) between classes; a class without a label is its own."""
     of = {s: labels.select(F.col("class").alias(s), F.col("label").alias(f"of_{s}")) for s in ("a", "b")}
@@ -262,11 +320,15 @@ def relabelled(labels: DataFrame, found: DataFrame, folder: str, turn: int) -> D
     return written(old.union(new), folder, f"labels-{turn}")
 
 
-def key_pairs(keys: DataFrame, labels: DataFrame, parities: DataFrame, folder: str, turn: int, last: bool, percent: int) -> DataFrame:
-    """(a, b): the classes that meet in a key and are not linked yet; all of them in the last round, else with one of each key."""
+def key_pairs(keys: DataFrame, labels: DataFrame, parities: DataFrame, folder: str, turn: int, last: bool, percent: int, pivots: int = 1) -> DataFrame:
+    """(a, b): the classes that meet in a key and are not linked yet; all of them in the last round, else with one of each key.
+
+    With more ``pivots`` only crowded keys count, and their classes meet so many."""
     now = keys.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64(F.lit(turn), "class").alias("turn"), "class", "n", "at", "label")).alias("one"), F.count("*").alias("held"))
-    apart = apart.filter(F.col("low") != F.col("high")).select("key", "held", "one.*")
+    ones = [F.min(F.struct(F.xxhash64(*[F.lit(x) for x in ((turn, i) if i else (turn,))], "class").alias("turn"), "class", "n", "at", "label")).alias(f"one{i}") for i in range(pivots)]
+    apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), *ones, F.count("*").alias("held"))
+    apart = apart.filter((F.col("low") != F.col("high")) & (F.col("held") > (CROWD if pivots > 1 else 0)))
+    apart = apart.select("key", "held", F.explode(F.array_distinct(F.transform(F.array(*[f"one{i}" for i in range(pivots)]), lambda x: x.dropFields("turn")))).alias("one")).select("key", "held", "one.*")
     fits = (F.col("x.label") != F.col("y.label")) & within_bounds("x", "y", percent)
     pair = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
     if not last:

@@ -45,7 +45,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     ``jaccard`` finds the pairs that fingerprints miss by prefixes. A null doc_id is above all others; among equal ones the text's hash decides, and then the table's order. An empty table stays empty.
     """
     folder = stage_folder(spark, docs, "simhash")
-    rows = written(packed(docs, F.monotonically_increasing_id().alias("row")), folder, "numbered")
+    rows = written(packed(docs, F.monotonically_increasing_id().alias("row")), folder, "numbered", "zstd")
     found = written(jaccard.near_copies(rows.select("row", F.col("doc.text").alias("text")), folder), folder, "groups")
     many = found.filter(F.col("row") != F.col("first")).select("first").distinct()
     members = found.join(many, "first").join(rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.xxhash64("doc.text").alias("hash")), "row")
